@@ -55,7 +55,25 @@ CARGO_LINES = ['openssl = "0.10"', 'openssl-sys = "0.9"', 'serde = "1"', '  hype
 MANIFEST_NAMES = ["package.json", "requirements.txt", "go.mod", "Cargo.toml"]
 
 SCAN_TYPES = ["single_file", "multi_file", "zip", "repository"]
-DECLARED_LANGUAGES = ["js", "TypeScript", "py", "golang", "C#", "klingon"]
+
+# Language as declared, line added to the text.
+DECLARED = [
+    ("js", "const r = eval(x);"),
+    ("TypeScript", 'localStorage.setItem("token", t);'),
+    ("py", "except:"),
+    ("golang", 'token := "abcd1234"'),
+    ("C#", 'string password = "abcd1234";'),
+    ("klingon", "import pickle"),
+]
+
+PAGE_LINES = ["document.write(x);", "except:", "plain"]
+
+ONE_LINE_HEREDOC = "$a = <<<SQL SELECT $x SQL;"
+HEREDOC = "$b = <<<SQL\nSELECT $y\nSQL;"
+
+CUSTOM_RULE_IDS = ["A02-PHP-001", "A03-JS-002", "BP-PY-001"]
+CUSTOM_SEVERITIES = ["low", "HIGH", "Critical", "medium", "bogus", None]
+CUSTOM_LANGUAGES = [["python"], ["javascript", "js"], ["go"], [], None]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,15 +126,49 @@ def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.col("turn")
     return spread(table(spark, sf_dir, "conversations")).select(
         F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string")).alias("id"),
-        pick(DECLARED_LANGUAGES, turn % len(DECLARED_LANGUAGES)).alias("declared_language"),
-        F.col("text").alias("content"),
+        pick([d for d, _ in DECLARED], turn % len(DECLARED)).alias("declared_language"),
+        F.concat_ws("\n", "text", pick([line for _, line in DECLARED], turn % len(DECLARED))).alias("content"),
+    )
+
+
+def heredoc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as PHP files with one or two one-line heredocs and one over several lines."""
+    doc = F.col("doc_id")
+    filler = F.repeat(F.lit("x = 1\n"), (doc % 7).cast("int"))
+    second = F.when(doc % 2 == 1, F.lit(ONE_LINE_HEREDOC + "\n")).otherwise("")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id",
+        F.concat(F.lit("h/d"), doc.cast("string"), F.lit(".php")).alias("path"),
+        F.concat(F.col("text"), F.lit(f"\n{ONE_LINE_HEREDOC}\n"), filler, second, filler, F.lit(HEREDOC)
+                 ).alias("content"),
+    )
+
+
+def custom_rule_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as custom rule packs of one rule each: pack, json. Many leave optional fields out."""
+    key = F.col("p_partkey")
+    rule_id = (F.when(key % 10 == 0, F.lit(None)).when(key % 10 == 1, pick(CUSTOM_RULE_IDS, key % 3))
+               .otherwise(F.concat(F.lit("PART-"), (key % 500).cast("string"))))
+    languages = F.array(*[F.lit(None) if names is None else F.array(*[F.lit(n) for n in names]).cast("array<string>")
+                          for names in CUSTOM_LANGUAGES])
+    rule = F.struct(
+        rule_id.alias("id"),
+        F.when(key % 4 != 0, F.col("p_name")).alias("name"),
+        F.when(key % 3 == 0, F.lit("PARTS")).alias("category"),
+        pick(CUSTOM_SEVERITIES, key % len(CUSTOM_SEVERITIES)).alias("severity"),
+        F.get(languages, (key % len(CUSTOM_LANGUAGES)).cast("int")).alias("languages"),
+        F.array("p_brand").alias("patterns"),
+        F.when(key % 7 == 0, F.array("p_type")).alias("multi_line_patterns"),
     )
+    return table(spark, sf_dir, "part").select(
+        key.alias("pack"), F.to_json(F.struct(F.array(rule).alias("rules"))).alias("json"))
 
 
 def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without a name, whose language only their content tells: all ``pages``."""
-    return spread(table(spark, sf_dir, "pages")).select("page_id", F.lit("input").alias("path"),
-                                                       F.col("html").alias("content"))
+    """Texts without a name, whose language only their content tells: all ``pages``, a line added."""
+    line = pick(PAGE_LINES, F.col("page_id") % len(PAGE_LINES))
+    return spread(table(spark, sf_dir, "pages")).select(
+        "page_id", F.lit("input").alias("path"), F.concat_ws("\n", "html", line).alias("content"))
 
 
 def manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
