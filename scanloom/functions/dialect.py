@@ -18,6 +18,9 @@ SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 WORD = r"\p{L}\p{N}_"
 DIGIT = r"\p{Nd}"
 
+MAX_SPELLINGS = 12
+GATE_LENGTH = 3
+
 _CLASSES = {"s": SPACE, "w": WORD, "d": DIGIT}
 _BOUNDARY = rf"(?:(?<![{WORD}])(?=[{WORD}])|(?<=[{WORD}])(?![{WORD}]))"
 _NOT_BOUNDARY = rf"(?:(?<![{WORD}])(?![{WORD}])|(?<=[{WORD}])(?=[{WORD}]))"
@@ -129,23 +132,64 @@ def required_text(pattern: str) -> list[tuple[str, ...]]:
     return sorted(dict.fromkeys(strong), key=lambda n: (len(n), -min(map(len, n))))
 
 
+def choose_gates(needs: list[list[tuple[str, ...]]]) -> list[tuple[str, ...]]:
+    """For each pattern, given what it requires, texts one of which must be present; few texts serve all patterns.
+
+    A text is stood for by the shortest text it contains ("execute" by "exec"), and patterns prefer texts that
+    are looked for anyway. A pattern that requires nothing has an empty gate.
+    """
+    known = sorted({t for need in needs for texts in need for t in texts if len(t) >= GATE_LENGTH}, key=lambda t: (len(t), t))
+    root = {t: next((k for k in known if k in t), t) for need in needs for texts in need for t in texts}
+    options = [[tuple(dict.fromkeys(root[t] for t in texts)) for texts in need] for need in needs]
+    uses: dict[str, int] = {}
+    for choices in options:
+        for t in {t for texts in choices for t in texts}:
+            uses[t] = uses.get(t, 0) + 1
+    chosen: set[str] = set()
+    gates: list[tuple[str, ...]] = [()] * len(needs)
+    for i in sorted(range(len(needs)), key=lambda i: (len(options[i]), i)):
+        if options[i]:
+            gates[i] = min(options[i], key=lambda texts: (
+                min(map(len, texts)) < GATE_LENGTH, len(set(texts) - chosen), -sum(uses[t] for t in texts), len(texts)))
+            chosen.update(gates[i])
+    return gates
+
+
 def _needs(parsed) -> list[tuple[str, ...]]:
-    needs, run = [], []
+    """Walk a parsed regex; ``run`` holds the texts that may stand at the current place, all of them spelled out.
+
+    ``tail`` is the part of them after the last choice: one text to look for where ``run`` has several.
+    """
+    needs: list[tuple[str, ...]] = []
+    run: tuple[str, ...] = ("",)
+    tail = ""
 
     def close():
-        if run:
-            needs.append(("".join(run),))
-            run.clear()
+        nonlocal run, tail
+        if all(run):
+            needs.append(run)
+        if len(run) > 1 and len(tail) >= GATE_LENGTH:
+            needs.append((tail,))
+        run, tail = ("",), ""
+
+    def extend(texts: list[str]):
+        nonlocal run, tail
+        if len(run) * len(texts) > MAX_SPELLINGS:
+            close()
+        elif len(texts) > 1 and min(map(len, run)) >= GATE_LENGTH:
+            needs.append(run)  # fewer texts to look for, though less telling
+        run = tuple(dict.fromkeys(r + t for r in run for t in texts))
+        tail = tail + texts[0] if len(texts) == 1 else ""
 
     def walk(items):
         for op, arg in items:
             name = str(op)
-            if name == "LITERAL" and arg < 128:
-                run.append(chr(arg).lower())
-            elif name == "SUBPATTERN":
+            if name == "SUBPATTERN":
                 walk(arg[-1])
             elif name == "AT":
-                pass
+                continue
+            elif (texts := _spelled(name, arg)) is not None:
+                extend(texts)
             else:
                 close()
                 if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0:
@@ -160,6 +204,23 @@ def _needs(parsed) -> list[tuple[str, ...]]:
     return needs
 
 
+def _spelled(name: str, arg) -> list[str] | None:
+    """All texts an item stands for, if they are few and plain."""
+    if name == "LITERAL":
+        return [chr(arg).lower()] if arg < 128 else None
+    if name == "IN" and all(str(o) == "LITERAL" and a < 128 for o, a in arg):
+        return sorted({chr(a).lower() for _, a in arg}) if len(arg) <= MAX_SPELLINGS else None
+    if name == "BRANCH" and len(arg[1]) <= MAX_SPELLINGS:
+        texts = []
+        for branch in arg[1]:
+            parts = [_spelled(str(o), a) for o, a in branch]
+            if any(p is None or len(p) != 1 for p in parts):
+                return None
+            texts.append("".join(p[0] for p in parts))
+        return texts
+    return None
+
+
 def _any_branch(branches) -> tuple[str, ...]:
     """One required text per branch, or nothing when some branch needs none."""
     picked = []

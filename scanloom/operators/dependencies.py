@@ -19,6 +19,7 @@ from scanloom.functions.dialect import java_body
 from scanloom.functions.text import base_name, lines_of, strip
 from scanloom.operators.match import DEPENDENCY
 from scanloom.rules import read_pack
+from scanloom.sources.local import local_table
 
 MAX_ADVISORIES = 50_000
 ADVISORY_SCHEMA = "ecosystem string, package string, severity string, reason string, safe_version string"
@@ -58,11 +59,7 @@ def read_advisories(path: str) -> list[dict]:
 
 
 def advisories_df(spark: SparkSession, advisories: Sequence[dict] | None = None) -> DataFrame:
-    return spark.createDataFrame(
-        [(a["ecosystem"], a["package"], a["severity"], a["reason"], a.get("safe_version"))
-         for a in (load_advisories() if advisories is None else advisories)],
-        ADVISORY_SCHEMA,
-    )
+    return local_table(spark, load_advisories() if advisories is None else list(advisories), ADVISORY_SCHEMA)
 
 
 def is_manifest(path: Column) -> Column:

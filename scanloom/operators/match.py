@@ -11,19 +11,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.fixed_values import LANGUAGE_KEYS
-from scanloom.functions.dialect import SPACE
+from scanloom.functions.dialect import SPACE, choose_gates
 from scanloom.functions.language import UNKNOWN
 from scanloom.functions.text import fold_case, lines_of
 from scanloom.rules import Pattern, Rule, language_rules, patterns_df
+from scanloom.sources.local import local_table
 
 SAST_SINGLE, SAST_MULTI, SECRET, DEPENDENCY = range(4)  # order of the passes in a report
 
 HIT = ("struct<pass_ord:int,rule_ord:int,pattern_idx:int,match_idx:int,"
        "line_number:int,line_end:int,code_snippet:string>")
 CANDIDATES = "array<struct<start:int,rule_ord:int,pattern_idx:int,match_idx:int,end:int>>"
-PATTERN = "struct<pass_ord:int,rule_ord:int,idx:int,java:string,needs:array<array<string>>"
+PATTERN = "struct<pass_ord:int,rule_ord:int,idx:int,java:string,gate:array<string>,needs:array<array<string>>"
 BUNDLE_SCHEMA = (
-    f"language string, single_rules array<array<{PATTERN}>>>, "
+    f"language string, gate_texts array<string>, single_rules array<array<{PATTERN}>>>, "
     f"multi_rules array<array<{PATTERN},twins:array<struct<rule_ord:int,idx:int>>>>>"
 )
 
@@ -35,14 +36,16 @@ DEDUPE_GAP = 3
 
 # ---- rules as data --------------------------------------------------------------------------------------
 
-def _row(pass_ord: int, rule: Rule, p: Pattern) -> tuple:
-    return pass_ord, rule.ord, p.idx, p.java, [list(n) for n in p.required]
+def _row(pass_ord: int, rule: Rule, p: Pattern) -> dict:
+    return {"pass_ord": pass_ord, "rule_ord": rule.ord, "idx": p.idx, "java": p.java,
+            "needs": [list(n) for n in p.required]}
 
 
-def _multi_group(rules: list[Rule]) -> list[tuple]:
+def _multi_group(rules: list[Rule]) -> list[dict]:
     """Multi-line patterns of the rules that share one id, each with the single-line patterns of the same text."""
     return [
-        (*_row(SAST_MULTI, r, p), [(s.ord, q.idx) for s in rules for q in s.single if q.text == p.text])
+        _row(SAST_MULTI, r, p)
+        | {"twins": [{"rule_ord": s.ord, "idx": q.idx} for s in rules for q in s.single if q.text == p.text]}
         for r in rules for p in r.multi
     ]
 
@@ -58,8 +61,16 @@ def rule_bundles(spark: SparkSession, rules: list[Rule], secrets: list[Rule], mu
         for r in chosen if multi_line else ():
             same_id.setdefault(r.id, []).append(r)
         multi = [_multi_group(group) for group in same_id.values()]
-        rows.append((language, [s for s in single if s], [m for m in multi if m]))
-    return spark.createDataFrame(rows, BUNDLE_SCHEMA)
+        patterns = [p for group in single + multi for p in group]
+        for p, gate in zip(patterns, choose_gates([p["needs"] for p in patterns])):
+            p["gate"] = list(gate)
+        rows.append({
+            "language": language,
+            "gate_texts": sorted({t for p in patterns for t in p["gate"]}),
+            "single_rules": [s for s in single if s],
+            "multi_rules": [m for m in multi if m],
+        })
+    return local_table(spark, rows, BUNDLE_SCHEMA)
 
 
 # ---- matching -------------------------------------------------------------------------------------------
@@ -69,10 +80,18 @@ def _may_match(folded: Column, pattern: Column) -> Column:
     return F.forall(pattern["needs"], lambda need: F.exists(need, lambda text: F.contains(folded, text)))
 
 
-def _possible(rules: Column) -> Column:
-    """Rules cut down to the patterns that may match somewhere in the file."""
-    kept = F.transform(rules, lambda ps: F.filter(ps, lambda p: _may_match(F.col("_folded"), p)))
-    return F.filter(kept, lambda ps: F.size(ps) > 0)
+def _possible(kinds: list[str]) -> Column:
+    """The rules of each kind, cut down to the patterns that may match somewhere in the file."""
+
+    def cut_down(rules: str, present: Column) -> Column:
+        kept = F.transform(rules, lambda ps: F.filter(ps, lambda p: (
+            ((F.size(p["gate"]) == 0) | F.arrays_overlap(p["gate"], present)) & _may_match(F.col("_folded"), p))))
+        return F.filter(kept, lambda ps: F.size(ps) > 0)
+
+    # The one-element array gives the texts found a name, so each is looked for once, not once per pattern.
+    present = F.filter("gate_texts", lambda t: F.contains(F.col("_folded"), t))
+    return F.transform(F.array(present), lambda found: F.struct(
+        *[cut_down(kind, found).alias(kind) for kind in kinds]))[0]
 
 
 def _line(n: Column) -> Column:
@@ -99,12 +118,14 @@ def _single_hits(rules: Column, snippets: bool) -> Column:
 
         return F.filter(F.transform(F.transform("_lines", first_match), hit), lambda h: h.isNotNull())
 
-    return F.flatten(F.transform(_possible(rules), of_rule))
+    return F.flatten(F.transform(rules, of_rule))
 
 
 def _spans(pattern: Column) -> Column:
     """Start and end line of every non-blank match of the pattern in the whole text, in order."""
-    content = F.translate(F.col("content"), OPEN + CLOSE, STAND_IN * 2)
+    content = F.col("content")
+    holds_marks = F.contains(content, F.lit(OPEN)) | F.contains(content, F.lit(CLOSE))
+    content = F.when(holds_marks, F.translate(content, OPEN + CLOSE, STAND_IN * 2)).otherwise(content)
     marked = F.regexp_replace(content, pattern["java"], F.lit(f"{OPEN}$0{CLOSE}"))
     marked = F.regexp_replace(marked, f"{OPEN}([{SPACE}]*){CLOSE}", "$1")
 
@@ -158,7 +179,7 @@ def _multi_hits(rules: Column, single_hits: Column, snippets: bool) -> Column:
 
         return F.transform(F.filter(thin_out(found), lambda c: ~covered(c)), hit)
 
-    return F.flatten(F.transform(_possible(rules), of_group))
+    return F.flatten(F.transform(rules, of_group))
 
 
 def explode_hits(files: DataFrame, bundles: DataFrame, keep: list[str], multi_line: bool = True,
@@ -170,17 +191,18 @@ def explode_hits(files: DataFrame, bundles: DataFrame, keep: list[str], multi_li
     known = F.col("language").isin([*LANGUAGE_KEYS])
     if "in_scan" in files.columns:
         known = known & F.col("in_scan")
-    bundle_columns = ["single_rules"] + (["multi_rules"] if multi_line else [])
+    kinds = ["single_rules"] + (["multi_rules"] if multi_line else [])
     prepared = (
         files.select(*keep, "content", F.when(known, F.col("language")).otherwise(UNKNOWN).alias("_key"))
         .withColumn("_folded", fold_case(F.col("content")))
         .withColumns({"_lines": lines_of(F.col("content")), "_folded_lines": lines_of(F.col("_folded"))})
-        .join(F.broadcast(bundles.select(F.col("language").alias("_key"), *bundle_columns)), "_key")
+        .join(F.broadcast(bundles.withColumnRenamed("language", "_key")), "_key")
+        .withColumn("_possible", _possible(kinds))
     )
-    hits = prepared.withColumn("_single", _single_hits(F.col("single_rules"), snippets).cast(f"array<{HIT}>"))
+    hits = prepared.withColumn("_single", _single_hits(F.col("_possible.single_rules"), snippets).cast(f"array<{HIT}>"))
     found = F.col("_single")
     if multi_line:
-        found = F.concat(found, _multi_hits(F.col("multi_rules"), found, snippets).cast(f"array<{HIT}>"))
+        found = F.concat(found, _multi_hits(F.col("_possible.multi_rules"), found, snippets).cast(f"array<{HIT}>"))
     hits = hits.select(*keep, found.alias("_hits"))
     # An inner explode makes Spark filter on "array not empty" first, which would compute the array twice.
     exploded = hits.select(*keep, F.explode_outer("_hits").alias("h")).select(*keep, "h.*")

@@ -24,6 +24,7 @@ from scanloom.sources import derived
 from scanloom.sources import history as history_store
 from scanloom.sources import reports
 from scanloom.sources.checkpoint import fresh_dir
+from scanloom.sources.local import local_table
 from scanloom.sources.files import decode_text, expand_archives, relative_path, with_selection
 from scanloom.streaming import incremental
 
@@ -301,8 +302,8 @@ def resolve_language_alias(spark, sf):
 
 def rule_languages(spark: SparkSession) -> DataFrame:
     """Which rule applies to which language: language, rule_ord, rule_id."""
-    keys = spark.createDataFrame([(lang, key) for lang, names in LANGUAGE_KEYS.items() for key in names],
-                                 "language string, key string")
+    keys = local_table(spark, [{"language": lang, "key": key} for lang, names in LANGUAGE_KEYS.items() for key in names],
+                       "language string, key string")
     rules = builtin(spark).select("rule_ord", F.col("id").alias("rule_id"), F.explode("languages").alias("key"))
     return keys.join(F.broadcast(rules), "key").select("language", "rule_ord", "rule_id").distinct()
 

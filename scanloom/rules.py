@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from scanloom.fixed_values import CUSTOM_RULE_DEFAULTS, LANGUAGE_KEYS, MATCH_TYPES
 from scanloom.functions.dialect import is_live, required_text, to_java
+from scanloom.sources.local import local_table
 
 RULES_PATH_CONF = "spark.scanloom.rules.path"
 MAX_RULES = 5_000  # rules become literals of the plan, so a pack is configuration, not data
@@ -87,11 +88,8 @@ def secret_rules() -> list[Rule]:
 
 
 def catalog_df(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    return spark.createDataFrame(
-        [(r.ord, r.id, r.name, r.category, r.severity, list(r.languages), list(r.patterns),
-          list(r.multi_line_patterns), r.description, r.remediation) for r in rules],
-        CATALOG_SCHEMA,
-    )
+    rows = [{"rule_ord": r.ord} | {c: getattr(r, c) for c in RULE_SCHEMA.fieldNames()} for r in rules]
+    return local_table(spark, rows, CATALOG_SCHEMA)
 
 
 def patterns_df(spark: SparkSession, passes: list[tuple[int, str, list[Rule]]]) -> DataFrame:
@@ -100,14 +98,15 @@ def patterns_df(spark: SparkSession, passes: list[tuple[int, str, list[Rule]]])
     ``passes`` names for every pass its number, the kind of patterns it runs ("single" or "multi") and its rules.
     """
     rows = [
-        (pass_ord, r.ord, p.idx, r.id, r.name, r.category, r.severity, r.description, r.remediation, p.text,
-         MATCH_TYPES[pass_ord])
+        {"pass_ord": pass_ord, "rule_ord": r.ord, "pattern_idx": p.idx, "rule_id": r.id, "rule_name": r.name,
+         "category": r.category, "severity": r.severity, "description": r.description,
+         "remediation": r.remediation, "matched_pattern": p.text, "match_type": MATCH_TYPES[pass_ord]}
         for pass_ord, kind, rules in passes
         for r in rules
         for p in getattr(r, kind)
     ]
-    return spark.createDataFrame(
-        rows,
+    return local_table(
+        spark, rows,
         "pass_ord int, rule_ord int, pattern_idx int, rule_id string, rule_name string, category string, "
         "severity string, description string, remediation string, matched_pattern string, match_type string",
     )
@@ -155,14 +154,17 @@ def merge_rules(builtin: DataFrame, custom: DataFrame) -> DataFrame:
     ``builtin`` has CATALOG_SCHEMA; ``custom`` has ``position`` (unique) and the rule columns.
     """
     cols = RULE_SCHEMA.fieldNames()
-    last = custom.groupBy("id").agg(F.max_by(F.struct("position", *cols), "position").alias("c"))
-    kept = builtin.join(last, "id", "left").select(
+    ids = F.broadcast(builtin.select("id"))
+    # At most one row per built-in rule, however many custom rules there are.
+    last = custom.join(ids, "id", "left_semi").groupBy("id").agg(
+        F.max_by(F.struct("position", *cols), "position").alias("c"))
+    kept = builtin.join(F.broadcast(last), "id", "left").select(
         "rule_ord",
         F.lit(0).alias("block"),
         F.lit(0).cast("long").alias("position"),
         *[F.when(F.col("c").isNotNull(), F.col(f"c.{c}")).otherwise(F.col(c)).alias(c) for c in cols],
     )
-    added = custom.join(F.broadcast(builtin.select("id")), "id", "left_anti").select(
+    added = custom.join(ids, "id", "left_anti").select(
         F.lit(None).cast("int").alias("rule_ord"), F.lit(1).alias("block"),
         F.col("position").cast("long").alias("position"), *cols)
     return kept.unionByName(added)
