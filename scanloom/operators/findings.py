@@ -77,11 +77,12 @@ def report_order() -> list[Column]:
 
 
 def canonical_order(findings: DataFrame, first: list[str] = ()) -> DataFrame:
-    return findings.orderBy(*first, *report_order())
+    """Findings in report order. They are checkpointed first: a sort samples its input, and would scan files twice."""
+    return checkpointed(findings).orderBy(*first, *report_order())
 
 
 def order_by_severity(findings: DataFrame, first: list[str] = ()) -> DataFrame:
-    return findings.orderBy(*first, severity_order(F.col("severity")), *report_order())
+    return checkpointed(findings).orderBy(*first, severity_order(F.col("severity")), *report_order())
 
 
 def number_findings(findings: DataFrame, group: str) -> DataFrame:
@@ -89,11 +90,12 @@ def number_findings(findings: DataFrame, group: str) -> DataFrame:
 
     A window over the group would put a large group into one task. Instead rows are range-partitioned on group and
     report order, so a large group covers many partitions; rows are counted within their partition, and each
-    partition adds what the group has in the partitions before it. The numbered rows are checkpointed, because
-    partition numbers must not change between the two uses.
+    partition adds what the group has in the partitions before it. The placed rows are checkpointed, because
+    partition numbers must not change between their two uses, and the findings are, because a range partitioning
+    samples its input first.
     """
     keys = [F.col(group), *report_order()]
-    ranged = findings.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged = checkpointed(findings).repartitionByRange(*keys).sortWithinPartitions(*keys)
     placed = checkpointed(ranged.withColumns({
         "_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
 

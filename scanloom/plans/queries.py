@@ -23,9 +23,9 @@ from scanloom.rules import builtin_rules, catalog_df, merge_rules, parse_rule_pa
 from scanloom.sources import derived
 from scanloom.sources import history as history_store
 from scanloom.sources import reports
-from scanloom.sources.checkpoint import fresh_dir
-from scanloom.sources.local import local_table
+from scanloom.sources.checkpoint import checkpointed, fresh_dir
 from scanloom.sources.files import decode_text, expand_archives, relative_path, with_selection
+from scanloom.sources.local import local_table
 from scanloom.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,11 +233,11 @@ def findings_from_json(spark, sf):
 @query
 def report_json(spark, sf):
     """Reports written as JSON and read back."""
-    found = repo_results(spark, sf)
+    found = checkpointed(scan_sast(selected(spark, sf), keep=["repo"], keep_clean=True))
     header = reports.report_header(met.scan_summary(found, ["repo"]), met.by_category(found, ["repo"]), "repo",
                                    F.lit(GENERATED_AT))
     path = fresh_dir(spark, "report")
-    reports.write_json(corpus_findings(spark, sf), header, "repo", path)
+    reports.write_json(found.filter(F.col("rule_id").isNotNull()), header, "repo", path)
     written = spark.read.schema(
         "repo string, metadata struct<generated_at:string,total_vulnerabilities:bigint,security_score:double,"
         "security_grade:string>, statistics struct<by_severity:map<string,bigint>,by_category:map<string,bigint>,"

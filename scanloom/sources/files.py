@@ -55,17 +55,21 @@ def with_selection(files: DataFrame, inner_path: str = "inner_path",
     return files.withColumns({"listed": listed, "in_scan": listed & is_selected(F.col(inner_path), extensions)})
 
 
+TREE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def read_tree(spark: SparkSession, root: str, repo_depth: int = 1, pruned: bool = True,
-              extensions: Sequence[str] | None = None) -> DataFrame:
-    """All files below ``root``: repo, path, inner_path, raw.
+              extensions: Sequence[str] | None = None, stream: bool = False) -> DataFrame:
+    """All files below ``root``, or as a stream those that arrive there: repo, path, inner_path, raw.
 
     The first ``repo_depth`` folders name the repository. With ``pruned``, skipped folders and other kinds of file
-    are left out while files are listed (the filters are on file metadata), so their content is never read.
+    are left out by file metadata while files are listed, so their content is never read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    url = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    reader = spark.readStream.schema(TREE_SCHEMA) if stream else spark.read
+    files = reader.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
+    url = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     path = F.regexp_extract(url, r"(?s)^[a-z0-9+.-]+:(?://[^/]*)?\Q" + base + r"\E/(.*)\z", 1)
     inner = F.regexp_extract(path, r"(?s)^(?:[^/]*/){%d}(.*)\z" % repo_depth, 1)
     if pruned:
