@@ -1,0 +1,53 @@
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from scanloom.plans.scan import scan_sast, with_language
+from scanloom.sources.files import decode_text, read_tree
+from scanloom.streaming import incremental
+
+
+def arriving(spark, root):
+    return with_language(read_tree(spark, root, stream=True).withColumn("content", decode_text(F.col("raw"))))
+
+
+def test_each_file_is_scanned_once(spark, tmp_path):
+    root, out, state = (str(tmp_path / d) for d in ("trees", "out", "state"))
+
+    def put(name, text):
+        path = tmp_path / "trees" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+
+    def run():
+        incremental.run_to_end(lambda: incremental.scan_stream(arriving(spark, root), out, state, secrets=[], keep=["repo"]))
+        return sorted((r.repo, r.file_path, r.rule_id) for r in spark.read.parquet(out).collect())
+
+    put("r/a.py", "except:")
+    put("r/node_modules/b.js", "eval(x)")
+    assert run() == [("r", "r/a.py", "BP-PY-001")]
+    assert run() == [("r", "r/a.py", "BP-PY-001")]
+    put("r/c.go", 'token := "abcd1234"')
+    both = run()
+    assert both == [("r", "r/a.py", "BP-PY-001"), ("r", "r/c.go", "A05-GO-001")]
+    batch = scan_sast(with_language(read_tree(spark, root).withColumn("content", decode_text(F.col("raw")))), keep=["repo"])
+    assert sorted((r.repo, r.file_path, r.rule_id) for r in batch.collect()) == both
+
+
+def test_daily_figures_update_across_batches(spark, tmp_path):
+    src, out, state = (str(tmp_path / d) for d in ("src", "out", "state"))
+
+    def add(rows):
+        spark.createDataFrame([(datetime.fromisoformat(t), s) for t, s in rows], "ts timestamp, severity string").coalesce(1) \
+            .write.mode("append").parquet(src)
+
+    def run():
+        events = spark.readStream.schema("ts timestamp, severity string").parquet(src)
+        incremental.run_to_end(lambda: incremental.keep_latest(incremental.daily_severity(events), out, state))
+        got = incremental.read_latest(spark, out, "day", ["total", "critical", "high", "medium", "low"])
+        return sorted(map(tuple, got.collect()))
+
+    add([("2024-01-01T10:00:00", "High"), ("2024-01-01T11:00:00", None), ("2024-01-02T01:00:00", "Low")])
+    assert run() == [("2024-01-01", 1, 0, 1, 0, 0), ("2024-01-02", 1, 0, 0, 0, 1)]
+    add([("2024-01-01T23:00:00", "Critical"), ("2024-01-02T02:00:00", "Medium")])
+    assert run() == [("2024-01-01", 2, 1, 1, 0, 0), ("2024-01-02", 2, 0, 0, 1, 1)]
