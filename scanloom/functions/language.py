@@ -7,18 +7,28 @@ from pyspark.sql import functions as F
 
 from scanloom.fixed_values import CONTENT_LANGUAGE, DOCKERFILE_NAMES, EXTENSION_LANGUAGE, LANGUAGE_KEYS
 from scanloom.functions.dialect import java_body
-from scanloom.functions.text import base_name, extension
+from scanloom.functions.reuse import built_once
+from scanloom.functions.text import base_name, extension, literal_map
 
 UNKNOWN = "unknown"
 
 
-def _lookup(key: Column, table: dict[str, str]) -> Column:
-    entries = F.create_map(*[F.lit(x) for entry in table.items() for x in entry])
-    return F.try_element_at(entries, key)
+@built_once
+def _extension_map() -> Column:
+    return literal_map(EXTENSION_LANGUAGE)
+
+
+@built_once
+def _name_map() -> Column:
+    names: dict[str, str] = {}
+    for language, keys in LANGUAGE_KEYS.items():
+        for name in [*keys, language]:
+            names.setdefault(name, language)
+    return literal_map(names)
 
 
 def language_of_extension(ext: Column) -> Column:
-    return _lookup(ext, EXTENSION_LANGUAGE)
+    return F.try_element_at(_extension_map(), ext)
 
 
 def language_of_content(content: Column) -> Column:
@@ -40,11 +50,7 @@ def detect_language(path: Column, content: Column) -> Column:
 
 def resolve_language(declared: Column, content: Column) -> Column:
     """Language of a text whose language is named by hand: alias or name, else as if it were a file suffix."""
-    names = {}
-    for language, keys in LANGUAGE_KEYS.items():
-        for name in [*keys, language]:
-            names.setdefault(name, language)
     return F.coalesce(
-        _lookup(F.lower(declared), names),
+        F.try_element_at(_name_map(), F.lower(declared)),
         detect_language(F.concat(F.lit("file."), declared), content),
     )

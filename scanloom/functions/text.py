@@ -40,9 +40,11 @@ def newline_normalized(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
+def literal_map(table: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for entry in table.items() for x in entry])
+
+
 def spread(df, workers: int | None = None):
-    """Deal rows out to all cores when the input has fewer splits than cores; larger inputs stay as they are."""
-    spark = df.sparkSession
-    want = workers or spark.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
-    return df if have >= want else df.repartition(want)
+    """Deal rows out to all cores when the input has fewer than two splits per core; larger inputs stay as they are."""
+    want = workers or df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * want else df.repartition(want)

@@ -16,7 +16,7 @@ from scanloom.fixed_values import (
     DEPENDENCY_CWE, DEPENDENCY_OWASP, ECOSYSTEM_RULE_PREFIX, MANIFEST_ECOSYSTEM, MANIFEST_FILES, UNPINNED_VERSIONS,
 )
 from scanloom.functions.dialect import java_body
-from scanloom.functions.text import base_name, lines_of, strip
+from scanloom.functions.text import base_name, lines_of, literal_map, strip
 from scanloom.operators.match import DEPENDENCY
 from scanloom.rules import read_pack
 from scanloom.sources.local import local_table
@@ -68,8 +68,7 @@ def is_manifest(path: Column) -> Column:
 
 def ecosystem_of(path: Column) -> Column:
     """Ecosystem whose scan reads the manifest; null where none does."""
-    entries = F.create_map(*[F.lit(x) for entry in MANIFEST_ECOSYSTEM.items() for x in entry])
-    return F.try_element_at(entries, F.lower(base_name(path)))
+    return F.try_element_at(literal_map(MANIFEST_ECOSYSTEM), F.lower(base_name(path)))
 
 
 # ---- packages of a manifest, as an array ----------------------------------------------------------------

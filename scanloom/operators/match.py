@@ -7,12 +7,15 @@ runs on a file, and then on a line, that holds the plain text every match of it
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.fixed_values import LANGUAGE_KEYS
 from scanloom.functions.dialect import SPACE, choose_gates
 from scanloom.functions.language import UNKNOWN
+from scanloom.functions.reuse import built_once
 from scanloom.functions.text import fold_case, lines_of
 from scanloom.rules import Pattern, Rule, language_rules, patterns_df
 from scanloom.sources.local import local_table
@@ -50,7 +53,7 @@ def _multi_group(rules: list[Rule]) -> list[dict]:
     ]
 
 
-def rule_bundles(spark: SparkSession, rules: list[Rule], secrets: list[Rule], multi_line: bool = True) -> DataFrame:
+def rule_bundles(spark: SparkSession, rules: Sequence[Rule], secrets: Sequence[Rule], multi_line: bool = True) -> DataFrame:
     """For every language the rules that apply to it; secret rules apply to all, also where the language is unknown."""
     rows = []
     for language in [*LANGUAGE_KEYS, UNKNOWN]:
@@ -80,7 +83,8 @@ def _may_match(folded: Column, pattern: Column) -> Column:
     return F.forall(pattern["needs"], lambda need: F.exists(need, lambda text: F.contains(folded, text)))
 
 
-def _possible(kinds: list[str]) -> Column:
+@built_once
+def _possible(kinds: tuple[str, ...]) -> Column:
     """The rules of each kind, cut down to the patterns that may match somewhere in the file."""
 
     def cut_down(rules: str, present: Column) -> Column:
@@ -182,6 +186,18 @@ def _multi_hits(rules: Column, single_hits: Column, snippets: bool) -> Column:
     return F.flatten(F.transform(rules, of_group))
 
 
+@built_once
+def _single_column(snippets: bool) -> Column:
+    return _single_hits(F.col("_possible.single_rules"), snippets).cast(f"array<{HIT}>")
+
+
+@built_once
+def _all_hits_column(snippets: bool) -> Column:
+    single = F.col("_single")
+    multi = _multi_hits(F.col("_possible.multi_rules"), single, snippets).cast(f"array<{HIT}>")
+    return F.concat(single, multi).alias("_hits")
+
+
 def explode_hits(files: DataFrame, bundles: DataFrame, keep: list[str], multi_line: bool = True,
                  snippets: bool = True, keep_clean: bool = False) -> DataFrame:
     """One row per hit, the text left behind; ``keep_clean`` adds one row without a rule for each clean file.
@@ -191,7 +207,7 @@ def explode_hits(files: DataFrame, bundles: DataFrame, keep: list[str], multi_li
     known = F.col("language").isin([*LANGUAGE_KEYS])
     if "in_scan" in files.columns:
         known = known & F.col("in_scan")
-    kinds = ["single_rules"] + (["multi_rules"] if multi_line else [])
+    kinds = ("single_rules", "multi_rules") if multi_line else ("single_rules",)
     prepared = (
         files.select(*keep, "content", F.when(known, F.col("language")).otherwise(UNKNOWN).alias("_key"))
         .withColumn("_folded", fold_case(F.col("content")))
@@ -199,17 +215,14 @@ def explode_hits(files: DataFrame, bundles: DataFrame, keep: list[str], multi_li
         .join(F.broadcast(bundles.withColumnRenamed("language", "_key")), "_key")
         .withColumn("_possible", _possible(kinds))
     )
-    hits = prepared.withColumn("_single", _single_hits(F.col("_possible.single_rules"), snippets).cast(f"array<{HIT}>"))
-    found = F.col("_single")
-    if multi_line:
-        found = F.concat(found, _multi_hits(F.col("_possible.multi_rules"), found, snippets).cast(f"array<{HIT}>"))
-    hits = hits.select(*keep, found.alias("_hits"))
+    hits = prepared.withColumn("_single", _single_column(snippets))
+    hits = hits.select(*keep, _all_hits_column(snippets) if multi_line else F.col("_single").alias("_hits"))
     # An inner explode makes Spark filter on "array not empty" first, which would compute the array twice.
     exploded = hits.select(*keep, F.explode_outer("_hits").alias("h")).select(*keep, "h.*")
     return exploded if keep_clean else exploded.filter(F.col("rule_ord").isNotNull())
 
 
-def with_rule(hits: DataFrame, passes: list[tuple[int, str, list[Rule]]], keep_clean: bool = False) -> DataFrame:
+def with_rule(hits: DataFrame, passes: list[tuple[int, str, Sequence[Rule]]], keep_clean: bool = False) -> DataFrame:
     """Attach what findings repeat from their rule (packs are bounded by MAX_RULES, hence the broadcast)."""
     dim = patterns_df(hits.sparkSession, passes)
     return hits.join(F.broadcast(dim), ["pass_ord", "rule_ord", "pattern_idx"], "left" if keep_clean else "inner")

@@ -6,6 +6,8 @@ its own, match positions come from running sums over gaps, and thinning out is a
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from scanloom import fixed_values as fv
 from scanloom.operators.dependencies import KNOWN_TEXT, UNPINNED_TEXT, load_advisories
 from scanloom.plans import queries as q
@@ -136,7 +138,7 @@ def languages_of(rule: Rule) -> list[str]:
     return [x for x in fv.LANGUAGE_KEYS if language_rules([rule], x)]
 
 
-def single_sql(rules: list[Rule], lines: str, any_language: bool = False) -> str:
+def single_sql(rules: Sequence[Rule], lines: str, any_language: bool = False) -> str:
     parts = []
     for r in rules:
         if not r.single:
@@ -148,13 +150,13 @@ def single_sql(rules: list[Rule], lines: str, any_language: bool = False) -> str
     return "SELECT * FROM (" + "\nUNION ALL ".join(parts) + ") WHERE pattern_idx IS NOT NULL"
 
 
-def rules_values(rules: list[Rule]) -> str:
+def rules_values(rules: Sequence[Rule]) -> str:
     rows = ", ".join(f"({r.ord}, {lits([r.id, r.name, r.category, r.severity, r.description, r.remediation])})"
                      for r in rules)
     return (f"(VALUES {rows}) AS r(rule_ord, rule_id, rule_name, category, severity, description, remediation)")
 
 
-def patterns_values(rules: list[Rule], kind: str) -> str:
+def patterns_values(rules: Sequence[Rule], kind: str) -> str:
     rows = ", ".join(f"({r.ord}, {p.idx}, {lit(p.text)})" for r in rules for p in getattr(r, kind))
     return f"(VALUES {rows}) AS p(rule_ord, pattern_idx, matched_pattern)"
 
@@ -169,7 +171,7 @@ def newlines(text: str) -> str:
     return f"(length({text}) - length(replace({text}, chr(10), '')))"
 
 
-def multi_ctes(rules: list[Rule]) -> str:
+def multi_ctes(rules: Sequence[Rule]) -> str:
     parts = []
     for r in rules:
         for p in r.multi:

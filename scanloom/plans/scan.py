@@ -22,7 +22,7 @@ def with_language(files: DataFrame) -> DataFrame:
     return files.withColumn("language", detect_language(F.col("path"), F.col("content")))
 
 
-def scan_code(files: DataFrame, rules: list[Rule] | None = None, secrets: list[Rule] | None = None,
+def scan_code(files: DataFrame, rules: Sequence[Rule] | None = None, secrets: Sequence[Rule] | None = None,
               keep: Sequence[str] = (), multi_line: bool = True, snippets: bool = True,
               keep_clean: bool = False) -> DataFrame:
     """Language rules and secret rules over the same files, the text being read once.
@@ -44,11 +44,11 @@ def scan_code(files: DataFrame, rules: list[Rule] | None = None, secrets: list[R
     return found.select(*keep[:-2], "language", *FINDING_COLUMNS, *ORDER_COLUMNS)
 
 
-def scan_sast(files: DataFrame, rules: list[Rule] | None = None, **options) -> DataFrame:
+def scan_sast(files: DataFrame, rules: Sequence[Rule] | None = None, **options) -> DataFrame:
     """Findings of the language rules alone."""
     return scan_code(files, rules, [], **options)
 
 
-def scan_secrets(files: DataFrame, secrets: list[Rule] | None = None, **options) -> DataFrame:
+def scan_secrets(files: DataFrame, secrets: Sequence[Rule] | None = None, **options) -> DataFrame:
     """Findings of the secret rules alone."""
     return scan_code(files, [], secrets, multi_line=False, **options)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import cache
 from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,20 +81,22 @@ def read_pack(name: str) -> dict:
     return json.loads(resources.files("scanloom.packs").joinpath(name).read_text(encoding="utf-8"))
 
 
-def builtin_rules() -> list[Rule]:
-    return [Rule.of(i, r) for i, r in enumerate(read_pack("owasp_rules.json")["rules"], 1)]
+@cache
+def builtin_rules() -> tuple[Rule, ...]:
+    return tuple(Rule.of(i, r) for i, r in enumerate(read_pack("owasp_rules.json")["rules"], 1))
 
 
-def secret_rules() -> list[Rule]:
-    return [Rule.of(i, r) for i, r in enumerate(read_pack("secret_rules.json")["rules"], 1)]
+@cache
+def secret_rules() -> tuple[Rule, ...]:
+    return tuple(Rule.of(i, r) for i, r in enumerate(read_pack("secret_rules.json")["rules"], 1))
 
 
-def catalog_df(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+def catalog_df(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
     rows = [{"rule_ord": r.ord} | {c: getattr(r, c) for c in RULE_SCHEMA.fieldNames()} for r in rules]
     return local_table(spark, rows, CATALOG_SCHEMA)
 
 
-def patterns_df(spark: SparkSession, passes: list[tuple[int, str, list[Rule]]]) -> DataFrame:
+def patterns_df(spark: SparkSession, passes: list[tuple[int, str, Sequence[Rule]]]) -> DataFrame:
     """One row per pattern, with everything a finding repeats from its rule.
 
     ``passes`` names for every pass its number, the kind of patterns it runs ("single" or "multi") and its rules.
@@ -112,7 +116,7 @@ def patterns_df(spark: SparkSession, passes: list[tuple[int, str, list[Rule]]])
     )
 
 
-def language_rules(rules: list[Rule], language: str) -> list[Rule]:
+def language_rules(rules: Sequence[Rule], language: str) -> list[Rule]:
     """Rules filed under any name of the language; names are compared exactly."""
     keys = set(LANGUAGE_KEYS.get(language, ()))
     return [r for r in rules if keys & set(r.languages)]
@@ -183,7 +187,7 @@ def collect_rules(spark: SparkSession, merged: DataFrame) -> list[Rule]:
     return rules
 
 
-def load_rules(spark: SparkSession, custom_path: str | None = None) -> list[Rule]:
+def load_rules(spark: SparkSession, custom_path: str | None = None) -> Sequence[Rule]:
     """The built-in catalogue, merged with the custom pack at ``custom_path`` or ``spark.scanloom.rules.path``."""
     path = custom_path or spark.conf.get(RULES_PATH_CONF, None)
     builtin = builtin_rules()

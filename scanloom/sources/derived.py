@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanloom.functions.reuse import built_once
 from scanloom.functions.scoring import grade, score_of_penalty
 from scanloom.functions.text import spread
 
@@ -92,6 +93,11 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_of(documents: DataFrame) -> DataFrame:
     """Per-row and deterministic, so it serves streams as well."""
+    return documents.select(*_corpus_columns())
+
+
+@built_once
+def _corpus_columns() -> list[Column]:
     doc = F.col("doc_id")
     kind = doc % len(CORPUS_FILES)
     variant = F.expr(f"doc_id div {len(CORPUS_FILES)}") % 4
@@ -99,13 +105,13 @@ def corpus_of(documents: DataFrame) -> DataFrame:
     name = pick([n for n, _, _ in CORPUS_FILES], kind)
     line_a = F.when(variant.isin(1, 3), pick([a for _, a, _ in CORPUS_FILES], kind))
     line_b = F.when(variant.isin(2, 3), pick([b for _, _, b in CORPUS_FILES], kind))
-    return documents.select(
-        "doc_id",
+    return [
+        F.col("doc_id"),
         repo.alias("repo"),
         F.concat_ws("/", repo, pick(CORPUS_DIRS, doc % len(CORPUS_DIRS)), F.concat(F.lit("d"), doc.cast("string")),
                     name).alias("path"),
         F.concat_ws("\n", F.col("text"), line_a, line_b).alias("content"),
-    )
+    ]
 
 
 def multiline_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.fixed_values import DOCKERFILE_NAMES, EXTENSION_LANGUAGE, SKIP_DIRS
+from scanloom.functions.reuse import built_once
 from scanloom.functions.text import base_name, extension, newline_normalized
 
 REPLACEMENT, STAND_IN = "\ufffd", "\ufddf"
@@ -39,7 +40,12 @@ def relative_path(path: Column, root: Column) -> Column:
 def in_skipped_dir(inner_path: Column) -> Column:
     """Whether a folder on the way to the file, below the root of the tree, is one of those not looked into."""
     dirs = F.split(F.lower(inner_path), "/")
-    return F.arrays_overlap(F.slice(dirs, 1, F.size(dirs) - 1), F.array(*[F.lit(d) for d in SKIP_DIRS]))
+    return F.arrays_overlap(F.slice(dirs, 1, F.size(dirs) - 1), _skip_dirs())
+
+
+@built_once
+def _skip_dirs() -> Column:
+    return F.array(*[F.lit(d) for d in SKIP_DIRS])
 
 
 def is_selected(path: Column, extensions: Sequence[str] | None = None) -> Column:

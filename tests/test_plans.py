@@ -59,4 +59,4 @@ def test_manifests_are_read_once(spark, sf):
 def test_large_inputs_are_not_dealt_out_again(spark, sf):
     from scanloom.functions.text import spread
     many = derived.table(spark, sf, "documents").repartition(64)
-    assert spread(many, 8) is many
+    assert spread(many, 8) is many and spread(many, 33) is not many
