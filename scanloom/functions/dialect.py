@@ -228,5 +228,5 @@ def _any_branch(branches) -> tuple[str, ...]:
         single = [n for n in _needs(branch) if n]
         if not single:
             return ()
-        picked.extend(max(single, key=lambda n: min(map(len, n))))
+        picked.extend(max(single, key=lambda n: (min(map(len, n)) >= GATE_LENGTH, -len(n), min(map(len, n)))))
     return tuple(dict.fromkeys(picked))

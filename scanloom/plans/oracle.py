@@ -427,7 +427,7 @@ ORACLE = {
     "scan_corpus_files": ON_CORPUS + f"SELECT {SHORT}, matched_pattern FROM findings",
     "scan_text_rows": findings(TEXTS) + f"SELECT id, language, {SHORT} FROM findings",
     "scan_pages": findings(PAGES) + f"SELECT page_id, language, {SHORT} FROM findings",
-    "expand_archive_files": f"""WITH {CORPUS}
+    "expand_archives": f"""WITH {CORPUS}
 SELECT 'a' || doc_id AS archive, inner_path, md5(content) AS content_md5, false AS failed FROM corpus WHERE doc_id % 50 <> 7
 UNION ALL SELECT 'a' || doc_id, 'NOTE', md5('packed' || chr(10)), false FROM corpus WHERE doc_id % 50 <> 7
 UNION ALL SELECT 'a' || doc_id, NULL, NULL, true FROM corpus WHERE doc_id % 50 = 7""",
@@ -441,7 +441,7 @@ SELECT c.rule_ord, id, name, c.category, c.severity, array_to_string(languages,
 FROM catalog c LEFT JOIN (SELECT rule_id, count(*) AS n FROM findings GROUP BY rule_id) ON rule_id = id""",
     "custom_rules_load": f"""WITH {CUSTOM} SELECT position, id, name, category, severity, '' AS description,
   '' AS remediation, languages, patterns, multi_line_patterns FROM custom""",
-    "merge_rule_packs": MERGED + "SELECT rule_ord, block, position, id, name, category, severity, languages FROM merged",
+    "merge_rules": MERGED + "SELECT rule_ord, block, position, id, name, category, severity, languages FROM merged",
     "advisory_by_severity": f"""WITH {MANIFESTS} SELECT ecosystem, severity, count(*) AS uses, count(DISTINCT name) AS packages
 FROM packages JOIN advisory USING (ecosystem, name) GROUP BY ALL""",
     "manifest_files": f"""WITH {CORPUS}, {MANIFESTS} SELECT path FROM (SELECT path FROM corpus UNION ALL SELECT path FROM manifest)
@@ -458,7 +458,7 @@ WHERE lower(regexp_extract(path, '[^/]*$')) IN ({lits(fv.MANIFEST_FILES)})""",
     "history_read": HISTORY + f"SELECT id, scan_type, source, {TS}, total, critical, high, medium, low, score, grade FROM history",
     "history_top50": HISTORY + f"""SELECT id, source, {TS}, total, score, grade
 FROM (SELECT * FROM history ORDER BY ts DESC, id DESC LIMIT {fv.HISTORY_KEEP})""",
-    "detect_languages": f"""WITH {FILES}, {PAGES} SELECT path, language FROM files
+    "detect_language": f"""WITH {FILES}, {PAGES} SELECT path, language FROM files
 UNION ALL SELECT 'page' || page_id, language FROM src""",
     "resolve_language_alias": f"WITH {TEXTS} SELECT id, declared_language, language FROM src",
     "applicable_rules": f"""WITH {SELECTED}, {RULE_LANGUAGES}

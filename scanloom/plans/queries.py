@@ -38,7 +38,7 @@ HISTORY_SEARCH = "USER1"
 
 
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
+    QUERIES[f.__name__.removesuffix("_query")] = f
     return f
 
 
@@ -148,7 +148,7 @@ def _archive_members(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def expand_archive_files(spark, sf):
+def expand_archives_query(spark, sf):
     members = _archive_members(spark, sf)
     return members.select("archive", "inner_path", F.md5(F.encode("content", "UTF-8")).alias("content_md5"),
                           F.col("error").isNotNull().alias("failed"))
@@ -199,7 +199,7 @@ def merged_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def merge_rule_packs(spark, sf):
+def merge_rules_query(spark, sf):
     return merged_rules(spark, sf).select(
         "rule_ord", "block", "position", "id", "name", "category", "severity",
         F.array_join("languages", ",").alias("languages"))
@@ -286,7 +286,7 @@ def history_top50(spark, sf):
 # ---- projections, filters, predicates -------------------------------------------------------------------
 
 @query
-def detect_languages(spark, sf):
+def detect_language_query(spark, sf):
     named = corpus(spark, sf).select("path", "language")
     pages = derived.page_rows(spark, sf)
     by_content = pages.select(F.concat(F.lit("page"), F.col("page_id").cast("string")).alias("path"),

@@ -60,3 +60,8 @@ def test_large_inputs_are_not_dealt_out_again(spark, sf):
     from scanloom.functions.text import spread
     many = derived.table(spark, sf, "documents").repartition(64)
     assert spread(many, 8) is many and spread(many, 33) is not many
+
+
+def test_first_findings_are_cut_before_the_shuffle(spark, sf):
+    text = plan(queries.QUERIES["first_20"](spark, sf))
+    assert re.search(r"WindowGroupLimit.*Partial", text)
