@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import tarfile
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,22 +54,26 @@ def is_selected(path: Column, extensions: Sequence[str] | None = None) -> Column
     return extension(path).isin(wanted) | F.lower(base_name(path)).isin(DOCKERFILE_NAMES)
 
 
+def in_tree_scan(inner_path: Column, extensions: Sequence[str] | None = None) -> Column:
+    return ~in_skipped_dir(inner_path) & is_selected(inner_path, extensions)
+
+
 def with_selection(files: DataFrame, inner_path: str = "inner_path",
                    extensions: Sequence[str] | None = None) -> DataFrame:
     """Add ``listed`` (not below a skipped folder) and ``in_scan`` (listed and of a wanted kind)."""
-    listed = ~in_skipped_dir(F.col(inner_path))
-    return files.withColumns({"listed": listed, "in_scan": listed & is_selected(F.col(inner_path), extensions)})
+    inner = F.col(inner_path)
+    return files.withColumns({"listed": ~in_skipped_dir(inner), "in_scan": in_tree_scan(inner, extensions)})
 
 
 TREE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def read_tree(spark: SparkSession, root: str, repo_depth: int = 1, pruned: bool = True,
-              extensions: Sequence[str] | None = None, stream: bool = False) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, repo_depth: int = 1, only: Callable[[Column], Column] | None = None,
+              stream: bool = False) -> DataFrame:
     """All files below ``root``, or as a stream those that arrive there: repo, path, inner_path, raw.
 
-    The first ``repo_depth`` folders name the repository. With ``pruned``, skipped folders and other kinds of file
-    are left out by file metadata while files are listed, so their content is never read.
+    The first ``repo_depth`` folders name the repository. ``only`` is a condition on the path inside it; it is put
+    on file metadata, so files it leaves out are dropped while files are listed and never read.
     """
     reader = spark.readStream.schema(TREE_SCHEMA) if stream else spark.read
     files = reader.format("binaryFile").option("recursiveFileLookup", True).load(root)
@@ -78,19 +82,22 @@ def read_tree(spark: SparkSession, root: str, repo_depth: int = 1, pruned: bool
     url = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     path = F.regexp_extract(url, r"(?s)^[a-z0-9+.-]+:(?://[^/]*)?\Q" + base + r"\E/(.*)\z", 1)
     inner = F.regexp_extract(path, r"(?s)^(?:[^/]*/){%d}(.*)\z" % repo_depth, 1)
-    if pruned:
-        files = files.filter(~in_skipped_dir(inner) & is_selected(inner, extensions))
+    if only is not None:
+        files = files.filter(only(inner))
     repo = F.regexp_extract(path, r"(?s)^((?:[^/]*/){%d})" % repo_depth, 1)
     return files.select(F.rtrim(repo, F.lit("/")).alias("repo"), path.alias("path"), inner.alias("inner_path"),
                         F.col("content").alias("raw"))
 
 
-def _members(name: str, raw: bytes) -> Iterator[tuple[str, bytes]]:
+def _members(raw: bytes, names: frozenset[str] | None) -> Iterator[tuple[str, bytes]]:
+    def wanted(path: str) -> bool:
+        return names is None or path.rpartition("/")[2].lower() in names
+
     data = io.BytesIO(raw)
     if zipfile.is_zipfile(data):
         with zipfile.ZipFile(data) as zf:
             for info in zf.infolist():
-                if not info.is_dir():
+                if not info.is_dir() and wanted(info.filename):
                     yield info.filename, zf.read(info)
         return
     data.seek(0)
@@ -100,15 +107,17 @@ def _members(name: str, raw: bytes) -> Iterator[tuple[str, bytes]]:
         raise ValueError("Unsupported archive format. Use ZIP or TAR.") from e
     with tf:
         for member in tf:
-            if member.isfile():
+            if member.isfile() and wanted(member.name):
                 yield member.name, tf.extractfile(member).read()
 
 
-def expand_archives(archives: DataFrame) -> DataFrame:
+def expand_archives(archives: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
     """Members of zip and tar archives (archive STRING, raw BINARY) as archive, inner_path, raw, error.
 
     Members leave in batches of bounded size. An archive that cannot be read gives one row with its error.
+    ``only`` restricts members to these base names (lower case); others are not unpacked.
     """
+    names = None if only is None else frozenset(only)
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["archive", "inner_path", "raw", "error"]
@@ -116,7 +125,7 @@ def expand_archives(archives: DataFrame) -> DataFrame:
         for batch in batches:
             for archive, raw in zip(batch["archive"], batch["raw"]):
                 try:
-                    for inner, data in _members(archive, raw):
+                    for inner, data in _members(raw, names):
                         rows.append((archive, inner.removeprefix("./"), data, None))
                         held += len(data)
                         if held > ARCHIVE_BATCH_BYTES:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scanloom.plans.scan import scan_sast, with_language
 from scanloom.sources import checkpoint
 from scanloom.sources.files import (
-    decode_strict, decode_text, expand_archives, is_selected, in_skipped_dir, read_tree, relative_path, with_selection,
+    decode_strict, decode_text, expand_archives, is_selected, in_skipped_dir, in_tree_scan, read_tree, relative_path, with_selection,
 )
 
 
@@ -65,7 +65,7 @@ def tree(tmp_path):
 
 
 def test_tree_scan(spark, tree):
-    files = read_tree(spark, tree).withColumn("content", decode_text(F.col("raw")))
+    files = read_tree(spark, tree, only=in_tree_scan).withColumn("content", decode_text(F.col("raw")))
     found = scan_sast(with_language(files), keep=["repo"]).select("repo", "file_path", "rule_id", "line_number").collect()
     assert sorted(map(tuple, found)) == [
         ("repo1", "repo1/Dockerfile", "DOCKER-001", 1), ("repo1", "repo1/a.py", "BP-PY-001", 1),
@@ -75,7 +75,7 @@ def test_tree_scan(spark, tree):
 
 def test_tree_is_pruned_while_listed(spark, tree):
     """Files left out must not be read: they are gone from the scan itself, not filtered after it."""
-    pruned = read_tree(spark, tree)
+    pruned = read_tree(spark, tree, only=in_tree_scan)
     scan = [line for line in pruned._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in line]
     assert len(scan) == 1
     node = pruned._jdf.queryExecution().executedPlan()
@@ -83,14 +83,14 @@ def test_tree_is_pruned_while_listed(spark, tree):
     while node.children().size():
         node = node.children().apply(0)
     assert node.metrics().apply("numFiles").value() == 4
-    assert read_tree(spark, tree, pruned=False).count() == 7
+    assert read_tree(spark, tree).count() == 7
 
 
 def test_root_itself_may_be_a_skipped_name(spark, tmp_path):
     path = tmp_path / "build" / "r" / "a.py"
     path.parent.mkdir(parents=True)
     path.write_text("except:")
-    assert read_tree(spark, str(tmp_path / "build")).count() == 1
+    assert read_tree(spark, str(tmp_path / "build"), only=in_tree_scan).count() == 1
     assert read_tree(spark, str(tmp_path / "build" / "r"), repo_depth=0).select("repo", "inner_path").collect() == [("", "a.py")]
 
 
@@ -121,6 +121,12 @@ def test_archives(spark, kind):
         (None, "Unsupported archive format. Use ZIP or TAR.")]
 
 
+def test_only_some_members(spark):
+    raw = archive("w:gz", {"a/Package.JSON": b"{}", "b.py": b"x"})
+    got = expand_archives(spark.createDataFrame([("a", bytearray(raw))], "archive string, raw binary"), ["package.json"])
+    assert [r.inner_path for r in got.collect()] == ["a/Package.JSON"]
+
+
 def test_checkpoint_dir_is_the_sessions(spark):
     named = spark.conf.get("spark.checkpoint.dir")
     assert checkpoint.shared_dir(spark) == named

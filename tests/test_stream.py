@@ -3,12 +3,12 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from scanloom.plans.scan import scan_sast, with_language
-from scanloom.sources.files import decode_text, read_tree
+from scanloom.sources.files import decode_text, in_tree_scan, read_tree
 from scanloom.streaming import incremental
 
 
 def arriving(spark, root):
-    return with_language(read_tree(spark, root, stream=True).withColumn("content", decode_text(F.col("raw"))))
+    return with_language(read_tree(spark, root, only=in_tree_scan, stream=True).withColumn("content", decode_text(F.col("raw"))))
 
 
 def test_each_file_is_scanned_once(spark, tmp_path):
@@ -30,7 +30,7 @@ def test_each_file_is_scanned_once(spark, tmp_path):
     put("r/c.go", 'token := "abcd1234"')
     both = run()
     assert both == [("r", "r/a.py", "BP-PY-001"), ("r", "r/c.go", "A05-GO-001")]
-    batch = scan_sast(with_language(read_tree(spark, root).withColumn("content", decode_text(F.col("raw")))), keep=["repo"])
+    batch = scan_sast(with_language(read_tree(spark, root, only=in_tree_scan).withColumn("content", decode_text(F.col("raw")))), keep=["repo"])
     assert sorted((r.repo, r.file_path, r.rule_id) for r in batch.collect()) == both
 
 
