@@ -40,15 +40,35 @@ def is_live(pattern: str) -> bool:
 
 def to_java(pattern: str, multi_line: bool = False, ignore_case: bool = True) -> str:
     flags = ("iu" if ignore_case else "") + ("s" if multi_line else "") + "d"
+    if multi_line and _sre.parse(pattern).getwidth()[0] == 0:
+        # Where the first choice is the empty match, Python goes on to look for another match at the same place and
+        # Java does not. Blank matches do not count, so ask for one that leaves less text behind it than before it.
+        return f"(?{flags})(?=([\\s\\S]*))(?:{java_body(pattern, 1)})(?!\\1\\z)"
     return f"(?{flags})" + java_body(pattern)
 
 
-def java_body(pattern: str) -> str:
-    out, names, groups = [], {}, 0
+_CODE_POINT = re.compile(r"\\(?:(0[0-7]{0,2}|[1-3][0-7]{2})|U([0-9A-Fa-f]{8})|(v))")
+
+
+def _code_point(pattern: str, i: int) -> tuple[str, int] | None:
+    """An escape that names one character otherwise than Java does, and the index after it."""
+    found = _CODE_POINT.match(pattern, i)
+    if not found:
+        return None
+    octal, long, _ = found.groups()
+    code = int(octal, 8) if octal else int(long, 16) if long else 0x0B
+    return f"\\x{{{code:x}}}", found.end()
+
+
+def java_body(pattern: str, groups_before: int = 0) -> str:
+    out, names, groups = [], {}, groups_before
     i, n = 0, len(pattern)
     while i < n:
         c = pattern[i]
-        if c == "\\" and i + 1 < n:
+        if point := _code_point(pattern, i):
+            out.append(point[0])
+            i = point[1]
+        elif c == "\\" and i + 1 < n:
             e = pattern[i + 1]
             if e in "swd":
                 out.append(f"[{_CLASSES[e]}]")
@@ -60,6 +80,10 @@ def java_body(pattern: str) -> str:
                 out.append(_NOT_BOUNDARY)
             elif e == "Z":
                 out.append(r"\z")
+            elif e in "123456789":
+                number = re.compile(r"\d\d?").match(pattern, i + 1).group()
+                out.append(f"(?:\\{int(number) + groups_before})")
+                i += len(number) - 1
             else:
                 out.append(c + e)
             i += 2
@@ -107,7 +131,10 @@ def _java_class(pattern: str, start: int) -> tuple[str, int]:
     first = True
     while first or pattern[i] != "]":
         c = pattern[i]
-        if c == "\\":
+        if point := _code_point(pattern, i):
+            out.append(point[0])
+            i = point[1]
+        elif c == "\\":
             e = pattern[i + 1]
             if e in "swd":
                 out.append(_CLASSES[e])

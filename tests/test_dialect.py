@@ -106,6 +106,8 @@ def test_fold_case_finds_what_case_blind_regexes_find(spark):
     ("(?P<q>['\"])x(?P=q)", "'x'"), ("(?P<q>['\"])x(?P=q)", "'x\""), ("a{,2}b", "aaab"), ("a{b}", "a{b}"),
     ("[]a]+", "]a"), ("[[a]", "["), ("[a&&b]", "&"), (r"(a)\1", "aa"), (r"x\Z", "x"), (r"[\w.]+@", "é.b@"), (r"[^\s]", "\x1c"),
     (r"[\S]", "a"), (r"\Bb", "ab"), (r"\bb", "ab"), (r"\d", "٣"), (r"\W", "é"), (r"a$", "a\n"), (r"a.b", "a\rb"),
+    (r"a\vb", "a\x0bb"), (r"a\vb", "a\nb"), (r"\0", "\x00"), (r"\07x", "\x07x"), (r"\101", "A"), (r"[\101]", "A"),
+    (r"\U0001F600", "😀"), (r"\x41\u0042", "ab"), (r"[\v]", "\n"),
 ])
 def test_python_constructs(spark, pattern, text):
     df = spark.createDataFrame([(text,)], "t string")
