@@ -118,7 +118,7 @@ def first_findings(findings: DataFrame, group: str, n: int = FIRST_FINDINGS) ->
     """
     findings = checkpointed(findings)
     numbered = findings.withColumn(
-        "finding_number", F.row_number().over(Window.partitionBy(group).orderBy(*report_order())))
+        "finding_number", F.row_number().over(Window.partitionBy(group).orderBy(*report_order())).cast("long"))
     totals = findings.groupBy(group).agg(F.count("*").alias("_total"))
     return (numbered.filter(F.col("finding_number") <= n).join(totals, group)
             .withColumn("remaining", F.greatest(F.col("_total") - n, F.lit(0))).drop("_total"))
