@@ -25,7 +25,7 @@ SAST_SINGLE, SAST_MULTI, SECRET, DEPENDENCY = range(4)  # order of the passes in
 HIT = ("struct<pass_ord:int,rule_ord:int,pattern_idx:int,match_idx:int,"
        "line_number:int,line_end:int,code_snippet:string>")
 CANDIDATES = "array<struct<start:int,rule_ord:int,pattern_idx:int,match_idx:int,end:int>>"
-PATTERN = "struct<pass_ord:int,rule_ord:int,idx:int,java:string,gate:array<string>,needs:array<array<string>>"
+PATTERN = "struct<pass_ord:int,rule_ord:int,idx:int,java:string,folded:boolean,gate:array<string>,needs:array<array<string>>"
 BUNDLE_SCHEMA = (
     f"language string, gate_texts array<string>, single_rules array<array<{PATTERN}>>>, "
     f"multi_rules array<array<{PATTERN},twins:array<struct<rule_ord:int,idx:int>>>>>"
@@ -40,7 +40,7 @@ DEDUPE_GAP = 3
 # ---- rules as data --------------------------------------------------------------------------------------
 
 def _row(pass_ord: int, rule: Rule, p: Pattern) -> dict:
-    return {"pass_ord": pass_ord, "rule_ord": rule.ord, "idx": p.idx, "java": p.java,
+    return {"pass_ord": pass_ord, "rule_ord": rule.ord, "idx": p.idx, "java": p.java, "folded": p.folded,
             "needs": [list(n) for n in p.required]}
 
 
@@ -110,7 +110,8 @@ def _single_hits(rules: Column, snippets: bool) -> Column:
         def first_match(line: Column, i: Column) -> Column:
             folded = F.get(F.col("_folded_lines"), i)
             return F.aggregate(patterns, F.lit(None).cast("int"), lambda found, p: F.coalesce(
-                found, F.when(_may_match(folded, p) & F.rlike(line, p["java"]), p["idx"])))
+                found, F.when(
+                    _may_match(folded, p) & F.rlike(F.when(p["folded"], folded).otherwise(line), p["java"]), p["idx"])))
 
         def hit(idx: Column, i: Column) -> Column:
             around = F.concat_ws("\n", *[_line(i + d) for d in range(-2, 3)]) if snippets else F.lit("")
@@ -127,20 +128,27 @@ def _single_hits(rules: Column, snippets: bool) -> Column:
 
 def _spans(pattern: Column) -> Column:
     """Start and end line of every non-blank match of the pattern in the whole text, in order."""
-    content = F.col("content")
+    content = F.when(pattern["folded"], F.col("_folded")).otherwise(F.col("content"))
     holds_marks = F.contains(content, F.lit(OPEN)) | F.contains(content, F.lit(CLOSE))
     content = F.when(holds_marks, F.translate(content, OPEN + CLOSE, STAND_IN * 2)).otherwise(content)
     marked = F.regexp_replace(content, pattern["java"], F.lit(f"{OPEN}$0{CLOSE}"))
-    marked = F.regexp_replace(marked, f"{OPEN}([{SPACE}]*){CLOSE}", "$1")
 
     def lines_with(mark: str, lines: Column) -> Column:
         def times(line: Column) -> Column:
-            return F.length(line) - F.length(F.replace(line, F.lit(mark), F.lit("")))
+            without = F.replace(line, F.lit(mark), F.lit(""))
+            return F.when(F.contains(line, F.lit(mark)), F.length(line) - F.length(without)).otherwise(0)
         return F.flatten(F.transform(lines, lambda line, i: F.array_repeat(i + 1, times(line))))
 
-    # The one-element array gives the marked lines a name, so the regex runs once for both marks.
-    return F.transform(F.array(lines_of(marked)), lambda lines: F.arrays_zip(
-        lines_with(OPEN, lines).alias("start"), lines_with(CLOSE, lines).alias("end")))[0]
+    def of_lines(lines: Column) -> Column:
+        return F.arrays_zip(lines_with(OPEN, lines).alias("start"), lines_with(CLOSE, lines).alias("end"))
+
+    def of_text(text: Column) -> Column:
+        without_blank = F.regexp_replace(text, f"{OPEN}([{SPACE}]*){CLOSE}", "$1")
+        # One-element arrays give the marked text and its lines a name, so neither is computed for each mark.
+        spans = F.transform(F.array(lines_of(without_blank)), of_lines)[0]
+        return F.when(F.contains(text, F.lit(OPEN)), spans)
+
+    return F.coalesce(F.transform(F.array(marked), of_text)[0], F.array().cast("array<struct<start:int,end:int>>"))
 
 
 def thin_out(candidates: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scanloom.fixed_values import CUSTOM_RULE_DEFAULTS, LANGUAGE_KEYS, MATCH_TYPES
-from scanloom.functions.dialect import is_live, required_text, to_java
+from scanloom.functions.dialect import is_live, lower_case, required_text, to_java
 from scanloom.sources.local import local_table
 
 RULES_PATH_CONF = "spark.scanloom.rules.path"
@@ -39,6 +39,7 @@ class Pattern:
     idx: int
     text: str
     java: str
+    folded: bool  # whether ``java`` is to run on lower-case text
     required: tuple[tuple[str, ...], ...]
 
 
@@ -64,11 +65,13 @@ class Rule:
         texts = {k: tuple(p for p in row.get(k) or () if p is not None)
                  for k in ("languages", "patterns", "multi_line_patterns")}
 
+        def compiled(i, p, multi_line):
+            lowered = lower_case(p) if ignore_case else None
+            java = to_java(p, multi_line, ignore_case) if lowered is None else to_java(lowered, multi_line, False)
+            return Pattern(i, p, java, lowered is not None, tuple(required_text(p)))
+
         def live(kind, multi_line):
-            return tuple(
-                Pattern(i, p, to_java(p, multi_line, ignore_case), tuple(required_text(p)))
-                for i, p in enumerate(texts[kind]) if is_live(p)
-            )
+            return tuple(compiled(i, p, multi_line) for i, p in enumerate(texts[kind]) if is_live(p))
 
         return Rule(
             ord, row["id"], row["name"], row["category"], row["severity"], **texts,

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from scanloom.functions.dialect import CASE_TWINS, choose_gates, is_live, java_body, required_text, to_java
+from scanloom.functions.dialect import CASE_TWINS, choose_gates, is_live, java_body, lower_case, required_text, to_java
 from scanloom.functions.text import fold_case, strip
 from scanloom.rules import builtin_rules, secret_rules
 from scanloom.sources import derived
@@ -48,8 +48,10 @@ def probe_lines(spark, sf):
 
 def test_single_line_patterns_match_as_in_python(spark, probe_lines):
     patterns = [(r, p) for r, kind, p in all_patterns() if kind == "single"]
-    lines = spark.createDataFrame(list(enumerate(probe_lines)), "i int, line string").repartition(8)
-    hits = lines.select("i", F.array(*[F.col("line").rlike(p.java) for _, p in patterns]).alias("hits")).collect()
+    lines = spark.createDataFrame(list(enumerate(probe_lines)), "i int, line string").repartition(8).withColumn(
+        "folded", fold_case(F.col("line")))
+    hits = lines.select("i", F.array(*[
+        (F.col("folded") if p.folded else F.col("line")).rlike(p.java) for _, p in patterns]).alias("hits")).collect()
     assert len(hits) == len(probe_lines)
     for row in hits:
         line = probe_lines[row.i]
@@ -115,6 +117,29 @@ def test_python_constructs(spark, pattern, text):
     assert hit == bool(re.search(pattern, text, re.IGNORECASE))
 
 
+@pytest.mark.parametrize("pattern, lowered", [
+    ("SELECT.*\\+", "select.*\\+"), (r"\W\S\D\B[A-Za-z_]", r"\W\S\D\B[a-za-z_]"), ("(?i)Ab", "ab"), ("[0-Z]", None), ("[!-~]", None),
+    ("(?P<Q>X)(?P=Q)", "(?P<Q>x)(?P=Q)"), (r"\x41", None), ("É", None), ("(?-i:A)", None), ("[^A-Z]", "[^a-z]"), (r"(A)\1", None),
+    ("a(?=B[C-D])", "a(?=b[c-d])"), ("[^\x00-\x7f]", None),
+])
+def test_lower_case_patterns(pattern, lowered):
+    assert lower_case(pattern) == lowered
+
+
+def test_nearly_all_rules_run_on_lower_case_text():
+    assert sum(p.folded for r in builtin_rules() for p in (*r.single, *r.multi)) == 318 + 37 - 3
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(pieces, min_size=1, max_size=6), st.text(alphabet="abcdefghiklmnopqrsxyzABKSZ( ſé", max_size=14))
+def test_lower_case_property(parts, text):
+    pattern = "".join(parts)
+    if is_live(pattern) and lower_case(pattern) is not None:
+        folded = "".join(CASE_TWINS.get(c, c) for c in text).lower()
+        found = [m.span() for m in re.finditer(pattern, text, re.IGNORECASE)]
+        assert found == [m.span() for m in re.finditer(lower_case(pattern), folded)]
+
+
 def test_dead_patterns():
     dead = [(r.id, i) for r in builtin_rules() for i, p in enumerate(r.patterns) if not is_live(p)]
     assert dead == [("A05-SH-001", 1), ("DOCKER-004", 0), ("DOCKER-004", 1)]
