@@ -89,35 +89,29 @@ def read_tree(spark: SparkSession, root: str, repo_depth: int = 1, only: Callabl
                         F.col("content").alias("raw"))
 
 
-def _members(raw: bytes, names: frozenset[str] | None) -> Iterator[tuple[str, bytes]]:
+def _expander(names: frozenset[str] | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """What runs on executors. Its parts are nested so that they travel with it: executors need not have this package."""
+
     def wanted(path: str) -> bool:
         return names is None or path.rpartition("/")[2].lower() in names
 
-    data = io.BytesIO(raw)
-    if zipfile.is_zipfile(data):
-        with zipfile.ZipFile(data) as zf:
-            for info in zf.infolist():
-                if not info.is_dir() and wanted(info.filename):
-                    yield info.filename, zf.read(info)
-        return
-    data.seek(0)
-    try:
-        tf = tarfile.open(fileobj=data, mode="r:*")
-    except tarfile.TarError as e:
-        raise ValueError("Unsupported archive format. Use ZIP or TAR.") from e
-    with tf:
-        for member in tf:
-            if member.isfile() and wanted(member.name):
-                yield member.name, tf.extractfile(member).read()
-
-
-def expand_archives(archives: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
-    """Members of zip and tar archives (archive STRING, raw BINARY) as archive, inner_path, raw, error.
-
-    Members leave in batches of bounded size. An archive that cannot be read gives one row with its error.
-    ``only`` restricts members to these base names (lower case); others are not unpacked.
-    """
-    names = None if only is None else frozenset(only)
+    def members(raw: bytes, wanted: Callable[[str], bool]) -> Iterator[tuple[str, bytes]]:
+        data = io.BytesIO(raw)
+        if zipfile.is_zipfile(data):
+            with zipfile.ZipFile(data) as zf:
+                for info in zf.infolist():
+                    if not info.is_dir() and wanted(info.filename):
+                        yield info.filename, zf.read(info)
+            return
+        data.seek(0)
+        try:
+            tf = tarfile.open(fileobj=data, mode="r:*")
+        except tarfile.TarError as e:
+            raise ValueError("Unsupported archive format. Use ZIP or TAR.") from e
+        with tf:
+            for member in tf:
+                if member.isfile() and wanted(member.name):
+                    yield member.name, tf.extractfile(member).read()
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["archive", "inner_path", "raw", "error"]
@@ -125,7 +119,9 @@ def expand_archives(archives: DataFrame, only: Sequence[str] | None = None) -> D
         for batch in batches:
             for archive, raw in zip(batch["archive"], batch["raw"]):
                 try:
-                    for inner, data in _members(raw, names):
+                    for _ in members(raw, lambda path: True):
+                        pass  # an archive broken anywhere has no members at all, so read it through first
+                    for inner, data in members(raw, wanted):
                         rows.append((archive, inner.removeprefix("./"), data, None))
                         held += len(data)
                         if held > ARCHIVE_BATCH_BYTES:
@@ -136,5 +132,15 @@ def expand_archives(archives: DataFrame, only: Sequence[str] | None = None) -> D
         if rows:
             yield pd.DataFrame(rows, columns=columns)
 
+    return expand
+
+
+def expand_archives(archives: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
+    """Members of zip and tar archives (archive STRING, raw BINARY) as archive, inner_path, raw, error.
+
+    Members leave in batches of bounded size. An archive that cannot be read gives one row with its error.
+    ``only`` restricts members to these base names (lower case).
+    """
+    names = None if only is None else frozenset(only)
     return archives.select("archive", "raw").mapInPandas(
-        expand, "archive string, inner_path string, raw binary, error string")
+        _expander(names), "archive string, inner_path string, raw binary, error string")

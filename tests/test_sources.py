@@ -121,6 +121,20 @@ def test_archives(spark, kind):
         (None, "Unsupported archive format. Use ZIP or TAR.")]
 
 
+@pytest.mark.parametrize("kind", ["zip", "w", "w:gz"])
+@pytest.mark.parametrize("only", [None, ["package.json"]])
+def test_archives_broken_halfway_have_no_members(spark, kind, only):
+    import random
+    noise = random.Random(1).randbytes
+    raw = bytearray(archive(kind, {"package.json": b"{}", "a": noise(50_000), "b": noise(50_000)}))
+    if kind == "zip":
+        raw[60_000] ^= 0xFF
+    else:
+        del raw[70_000:]
+    got = expand_archives(spark.createDataFrame([("x", raw)], "archive string, raw binary"), only).collect()
+    assert [(r.inner_path, r.error is not None) for r in got] == [(None, True)]
+
+
 def test_only_some_members(spark):
     raw = archive("w:gz", {"a/Package.JSON": b"{}", "b.py": b"x"})
     got = expand_archives(spark.createDataFrame([("a", bytearray(raw))], "archive string, raw binary"), ["package.json"])
