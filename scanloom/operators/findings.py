@@ -61,7 +61,10 @@ def at_least(findings: DataFrame, severity: str) -> DataFrame:
 
 
 def report_order() -> list[Column]:
-    """Findings of one file as a report lists them: by line, then multi-line by rule id, secrets, dependencies."""
+    """Findings of one file as a report lists them: by line, then multi-line by rule id, secrets, dependencies.
+
+    All keys are short, since a sort sends samples of them to the driver.
+    """
     single = F.col("pass_ord") != 1
     return [
         F.col("file_path"),
@@ -72,7 +75,7 @@ def report_order() -> list[Column]:
         F.col("pattern_idx"),
         F.col("match_idx"),
         F.col("rule_id"),
-        F.col("code_snippet"),
+        F.col("rule_name"),  # names the package of a dependency finding
     ]
 
 

@@ -417,7 +417,7 @@ rule_language AS (
 FIRST = fv.FIRST_FINDINGS
 NUMBERED = EVERYTHING + """, numbered AS (
   SELECT *, row_number() OVER (PARTITION BY repo ORDER BY file_path COLLATE C, pass_ord,
-      CASE WHEN pass_ord = 1 THEN rule_id END NULLS FIRST, line_number, rule_ord, pattern_idx, rule_id, code_snippet) AS finding_number,
+      CASE WHEN pass_ord = 1 THEN rule_id END NULLS FIRST, line_number, rule_ord, pattern_idx, rule_id, rule_name) AS finding_number,
     count(*) OVER (PARTITION BY repo) AS findings_in_group
   FROM everything)
 """

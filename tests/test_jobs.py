@@ -1,8 +1,12 @@
 import io
+import os
+import subprocess
+import sys
 import zipfile
 
 from pyspark.sql import functions as F
 
+from conftest import SMALL
 from scanloom.plans import jobs
 from scanloom.sources.history import read_history
 
@@ -65,3 +69,19 @@ def test_texts(spark):
                                   "id int, declared_language string, content string")
     got = {(r.id, r.rule_id) for r in jobs.scan_texts(texts, ["id"]).collect()}
     assert got == {(1, "BP-PY-001"), (3, "SECRET-AWS-KEY")}
+
+
+def test_executors_need_not_have_the_package(tmp_path):
+    """Workers started in another folder cannot import this package; archives must still be read."""
+    script = tmp_path / "run.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+from scanloom.plans.queries import QUERIES
+print("ROWS", QUERIES["expand_archives"](spark, {SMALL!r}).count())
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS 396" in done.stdout, done.stderr[-2000:]
