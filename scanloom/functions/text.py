@@ -42,6 +42,16 @@ def newline_normalized(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
+def one_json_value(text: Column, schema: str, mode: str = "PERMISSIVE") -> Column:
+    """The text as one JSON object; null (or an error) where it is none, or where anything follows it.
+
+    Spark stops reading after the first value, so the text is read as the only entry of a list.
+    """
+    values = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<struct<{schema}>>",
+                         {"mode": mode, "allowSingleQuotes": "false"})
+    return F.when(F.size(values) == 1, values[0])
+
+
 def literal_map(table: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for entry in table.items() for x in entry])
 

@@ -16,7 +16,7 @@ from scanloom.fixed_values import (
     DEPENDENCY_CWE, DEPENDENCY_OWASP, ECOSYSTEM_RULE_PREFIX, MANIFEST_ECOSYSTEM, MANIFEST_FILES, UNPINNED_VERSIONS,
 )
 from scanloom.functions.dialect import java_body
-from scanloom.functions.text import base_name, lines_of, literal_map, strip
+from scanloom.functions.text import base_name, lines_of, literal_map, one_json_value, strip
 from scanloom.operators.match import DEPENDENCY
 from scanloom.rules import read_pack
 from scanloom.sources.local import local_table
@@ -83,7 +83,7 @@ def _package(package: Column, name: Column, line_number: Column, operator: Colum
 
 def npm_entries(content: Column) -> Column:
     """Dependencies of a package.json, in which a development dependency wins over one of the same name."""
-    parsed = F.from_json(content, "dependencies map<string,string>, devDependencies map<string,string>")
+    parsed = one_json_value(content, "dependencies map<string,string>, devDependencies map<string,string>")
     entries = F.concat(*[
         F.coalesce(F.map_entries(parsed[c]), F.array().cast("array<struct<key:string,value:string>>"))
         for c in ("dependencies", "devDependencies")

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from scanloom.fixed_values import CUSTOM_RULE_DEFAULTS, LANGUAGE_KEYS, MATCH_TYPES
 from scanloom.functions.dialect import is_live, lower_case, required_text, to_java
+from scanloom.functions.text import one_json_value
 from scanloom.sources.local import local_table
 
 RULES_PATH_CONF = "spark.scanloom.rules.path"
@@ -30,7 +31,6 @@ RULE_SCHEMA = T.StructType([
     T.StructField("description", T.StringType()),
     T.StructField("remediation", T.StringType()),
 ])
-PACK_SCHEMA = T.StructType([T.StructField("rules", T.ArrayType(RULE_SCHEMA))])
 CATALOG_SCHEMA = T.StructType([T.StructField("rule_ord", T.IntegerType())] + RULE_SCHEMA.fields)
 
 
@@ -142,16 +142,20 @@ def normalize_rules(raw: DataFrame) -> DataFrame:
 def parse_rule_packs(packs: DataFrame, json_col: str = "json") -> DataFrame:
     """Rules inside JSON texts, one row per rule with its position; other columns of ``packs`` pass through."""
     keep = [c for c in packs.columns if c != json_col]
-    exploded = packs.select(
-        *keep, F.posexplode(F.from_json(json_col, PACK_SCHEMA, {"mode": "FAILFAST"})["rules"]).alias("position", "r"))
+    pack = one_json_value(F.col(json_col), f"rules: array<{RULE_SCHEMA.simpleString()}>", "FAILFAST")
+    checked = F.when(pack.isNotNull(), pack).otherwise(F.raise_error(F.lit("a rule pack must be one JSON object")))
+    exploded = packs.select(*keep, F.posexplode(checked["rules"]).alias("position", "r"))
     return normalize_rules(exploded.select(*keep, "position", "r.*"))
 
 
 def read_rule_pack(spark: SparkSession, path: str) -> DataFrame:
     """Custom rules from a JSON file: a missing file has no rules, a broken one is an error."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
+    storage = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not storage.exists(jvm_path):
         return spark.createDataFrame([], T.StructType([T.StructField("position", T.IntegerType())] + RULE_SCHEMA.fields))
+    if storage.getFileStatus(jvm_path).isFile() and storage.getFileStatus(jvm_path).getLen() == 0:
+        raise ValueError(f"rule pack {path} is empty")  # which Spark would read as no text at all
     return parse_rule_packs(spark.read.text(path, wholetext=True).withColumnRenamed("value", "json"))
 
 

@@ -36,7 +36,10 @@ def test_npm_duplicate_keys_last_wins(spark):
         ("b", None, "2", 1), ("a", None, "3", 1)]
 
 
-@pytest.mark.parametrize("text", ["", "not json", "[]", "{}", '{"dependencies": null}', None])
+@pytest.mark.parametrize("text", [
+    "", "not json", "[]", "{}", '{"dependencies": null}', None, "{'dependencies': {'a': '1'}}", '{"dependencies": {"a": "1"}} x',
+    '{"dependencies": {"a": "1"}},{}', '{"dependencies": {"a": "1"},}', '\ufeff{"dependencies": {"a": "1"}}',
+])
 def test_npm_unreadable(spark, text):
     assert packages(spark, "package.json", text) == []
 

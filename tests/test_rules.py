@@ -49,10 +49,11 @@ def test_custom_rule_defaults(spark, tmp_path):
         ([], [], []), (["a"], [], ["go"]), ([], ["b"], [])]
 
 
-def test_missing_pack_has_no_rules_and_broken_pack_fails(spark, tmp_path):
+@pytest.mark.parametrize("text", ["{ not json", "", "{'rules': []}", '{"rules": []} x', '{"rules": []},{}'])
+def test_missing_pack_has_no_rules_and_broken_pack_fails(spark, tmp_path, text):
     assert read_rule_pack(spark, str(tmp_path / "none.json")).count() == 0
     broken = tmp_path / "broken.json"
-    broken.write_text("{ not json")
+    broken.write_text(text)
     with pytest.raises(Exception):
         read_rule_pack(spark, str(broken)).collect()
 
