@@ -47,7 +47,10 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     members = docs.select(F.col(id_col).alias("doc_id"), text.alias("bytes"))
     members = members.select("doc_id", content_hash(F.col("bytes")).alias("h"), F.sha2("bytes", 256).alias("text_sha256"))
     members = members.groupBy("doc_id", "h", "text_sha256").agg(F.count(F.lit(1)).alias("repeats"))
-    found = members.join(text_classes(docs, id_col, text_col), ["h", "text_sha256"])
+    # On a key of its own both sides are dealt out anew, so that a large group of copies can be split over tasks.
+    key = F.concat("h", "text_sha256").alias("key")
+    classes = text_classes(docs, id_col, text_col).select(key, "keep_id", "group_size")
+    found = members.select("doc_id", key, "text_sha256", "repeats").join(classes, "key")
     rows = found.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
     return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")

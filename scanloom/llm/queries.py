@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanloom.llm import exact_dedup, mixing, quality_rules
+from scanloom.llm import exact_dedup, language_id, mixing, packing, personal_data, quality_rules
 from scanloom.llm.common import table
 
+#: Where the public tokenizers lie, on the driver and on every executor.
+TOKENIZER = os.environ.get("SCANLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -62,6 +66,18 @@ FROM counted
 """
 
 
+@query
+def op5_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    profiles = language_id.learn(docs.filter(~language_id.held_out("doc_id")))
+    return language_id.identify(docs, profiles)
+
+
+@query
+def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), TOKENIZER)
+
+
 @query
 def op8_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.classify(table(spark, sf, "documents"))
@@ -77,6 +93,11 @@ FROM n WINDOW w AS (PARTITION BY t)
 """
 
 
+@query
+def op9_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return personal_data.find_personal_data(table(spark, sf, "documents")).drop("found")
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf, "documents"))
