@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanloom.llm import exact_dedup, language_id, mixing, packing, personal_data, quality_rules
+from scanloom.llm import exact_dedup, language_id, mixing, near_dedup, packing, personal_data, quality_rules
 from scanloom.llm.common import table
 
 #: Where the public tokenizers lie, on the driver and on every executor.
@@ -73,6 +73,11 @@ def op5_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language_id.identify(docs, profiles)
 
 
+@query
+def op6_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.components(table(spark, sf, "documents"), shingle=2)
+
+
 @query
 def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), TOKENIZER)
