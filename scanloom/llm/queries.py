@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanloom.llm import exact_dedup, language_id, mixing, near_dedup, packing, personal_data, quality_rules
+from scanloom.llm import exact_dedup, language_id, mixing, near_dedup, packing, personal_data, quality_rules, substring_dedup
 from scanloom.llm.common import table
 
 #: Where the public tokenizers lie, on the driver and on every executor.
@@ -66,6 +66,11 @@ FROM counted
 """
 
 
+@query
+def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf, "documents"))
+
+
 @query
 def op5_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
