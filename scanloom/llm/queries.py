@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanloom.llm import exact_dedup, language_id, mixing, near_dedup, packing, personal_data, quality_rules, substring_dedup
+from scanloom.llm import exact_dedup, language_id, mixing, near_dedup, packing, personal_data, quality_rules, secret_scan, substring_dedup
 from scanloom.llm.common import table
 
 #: Where the public tokenizers lie, on the driver and on every executor.
@@ -23,6 +23,11 @@ def query(f: Query) -> Query:
     return f
 
 
+@query
+def op1_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf, "documents")).drop("found")
+
+
 @query
 def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"))
