@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanloom.llm import exact_dedup, language_id, mixing, near_dedup, packing, personal_data, quality_rules, secret_scan, substring_dedup
+from scanloom.llm import exact_dedup, html_extraction, language_id, mixing, near_dedup, packing, personal_data, quality_rules, secret_scan, substring_dedup
 from scanloom.llm.common import table
 
 #: Where the public tokenizers lie, on the driver and on every executor.
@@ -71,6 +71,11 @@ FROM counted
 """
 
 
+@query
+def op3_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return html_extraction.extract_text(table(spark, sf, "pages"))
+
+
 @query
 def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf, "documents"))
