@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts define it.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
+#: The tokenizer file of the queries, which must lie there on the driver and on every executor.
+TOKENIZER = os.environ.get("SCANLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 #: Parts that an order is cut into so that no key's rows must be sorted by one task.
 ORDER_BUCKETS = 4096
 

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from scanloom.llm import exact_dedup, html_extraction, language_id, mixing, near_dedup, packing, personal_data, quality_rules, secret_scan, substring_dedup
-from scanloom.llm.common import table
-
-#: Where the public tokenizers lie, on the driver and on every executor.
-TOKENIZER = os.environ.get("SCANLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+from scanloom.llm.common import TOKENIZER, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -121,3 +117,10 @@ def op9_personal_data(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf, "documents"))
+
+
+@query
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline  # which imports the operators from here on, so not at the top
+
+    return corpus_pipeline.run(spark, sf)
