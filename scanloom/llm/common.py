@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -67,3 +68,9 @@ def broadcast_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
 def bound(value: Column, use) -> Column:
     """``use(value)`` with the value computed once, where lambda functions would compute it for every element."""
     return F.transform(F.array(value), use)[0]
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of earlier phases now: it does so once the driver has collected their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -8,8 +8,10 @@ the whole sequence as its one element, and one without words has none and links
 2. Each class gets 256 minima, cut into 42 bands of six. Two sets of similarity 0.8 share no band once in 350,000.
 3. In a bucket of classes that share a band, each is paired with the least of them only. Pairs whose packed signatures of
    two bits per minimum, corrected for chance, or whose sizes are too far apart go; whole sets confirm the others.
-4. In buckets that still hold several components, what does not belong to the largest component is paired with what is
-   in other components. A large bucket of near copies is one component by now, so the pairs are few; none is left out.
+4. In buckets that still hold several components, what does not belong to the largest is paired with one more of its
+   members, another for each bucket. What still doesn't belong is compared with everything of other components in such
+   buckets, by the rare elements that linked sets must share: no link is left out, and a large bucket of near copies,
+   nearly one component by now, isn't paired out.
 5. Components are found by spreading least labels along links and jumping along labels, with a checkpoint per round.
 
 Sets are made of 64-bit hashes and compared exactly. No list of links, components or documents comes to the driver.
@@ -31,7 +33,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import text_of
+from scanloom.llm.common import release, text_of
 from scanloom.llm.wordhash import M1, WordHashes, mixed, windows, words_of
 from scanloom.sources.checkpoint import checkpointed
 
@@ -41,8 +43,10 @@ BANDS, ROWS, MINIMA = 42, 6, 256
 #: Bits kept of each minimum, and minima in one word of a signature.
 BITS = 2
 PER_WORD = 64 // BITS
-#: Estimates spread by 0.03 around the similarity, so hardly one in 10**10 of linked pairs is this far below.
-MARGIN = 0.2
+#: Estimates spread by 0.03 around the similarity: one in a million of linked pairs lies MARGIN below.
+MARGIN, SURE = 0.15, 0.03
+#: Rounds in which large buckets are joined up before all that is left is compared.
+TURNS = 1
 #: Shingles whose minima are taken at once.
 BLOCK = 4096
 
@@ -142,7 +146,7 @@ def signed(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def similar_enough(a: Column, b: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+def similar_enough(a: Column, b: Column, n_a: Column, n_b: Column, percent: int, margin: float) -> Column:
     """Whether signatures and sizes leave it possible that the sets are linked."""
     matches = F.lit(MINIMA)
     every = F.lit(int.from_bytes(bytes([0x55] * 8), "big"))
@@ -151,7 +155,7 @@ def similar_enough(a: Column, b: Column, n_a: Column, n_b: Column, percent: int)
         matches = matches - F.bit_count((differ.bitwiseOR(F.shiftrightunsigned(differ, 1))).bitwiseAND(every))
     chance = 1.0 / (1 << BITS)
     estimate = (matches / MINIMA - chance) / (1.0 - chance)
-    return (estimate >= percent / 100 - MARGIN) & (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
+    return (estimate >= percent / 100 - margin) & (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
 
 
 def components_of(links: DataFrame) -> DataFrame:
@@ -171,56 +175,108 @@ def components_of(links: DataFrame) -> DataFrame:
         labels = spread
 
 
-def linked_classes(docs: DataFrame, rows: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """``class, label``: the component of each class that is linked with another. ``rows``: what ``signed`` made of ``docs``."""
-    first = F.min(F.struct("doc_id", "text_key")).alias("first")
-    classes = rows.filter(F.col("class").isNotNull()).groupBy("class").agg(
-        first, F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands")
-    )
-    classes = checkpointed(classes)
+def _shared_bands(classes: DataFrame) -> DataFrame:
+    """``band, class, center``: classes in buckets of two and more, with the least class of their bucket."""
     placed = classes.select("class", F.explode("bands").alias("band"))
     buckets = placed.groupBy("band").agg(F.min("class").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = checkpointed(placed.join(buckets.select("band", "center"), "band"))
+    return checkpointed(placed.join(buckets.select("band", "center"), "band"))
 
-    wanted = shared.select("class").distinct().join(classes.select("class", "first"), "class")
-    wanted = wanted.select("class", F.col("first.doc_id").alias("id"), F.col("first.text_key").alias("key"))
+
+def _sets(docs: DataFrame, classes: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """The whole shingle sets of ``classes``, from the text of each one's first document."""
+    wanted = classes.select("class", F.col("first.doc_id").alias("id"), F.col("first.text_key").alias("key"))
     texts = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text_of(text_col))).alias("key"), F.col(text_col).alias("text"))
     same = [wanted["key"] == texts["key"], wanted["id"].eqNullSafe(texts["id"])]
     texts = texts.join(wanted, same).select("class", "text")
-    sets = checkpointed(texts.mapInArrow(_setter(size), "class binary, elements array<long>").dropDuplicates(["class"]))
-    brief = classes.select("class", "n", "signature").join(shared.select("class").distinct(), "class")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        one = brief.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
-        two = brief.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
-        likely = pairs.join(one, "a").join(two, "b").filter(
-            similar_enough(F.col("s_a"), F.col("s_b"), F.col("n_a"), F.col("n_b"), percent)
-        )
-        likely = likely.select("a", "b").join(sets.select(F.col("class").alias("a"), F.col("elements").alias("x")), "a")
-        likely = likely.join(sets.select(F.col("class").alias("b"), F.col("elements").alias("y")), "b")
-        counted = likely.select("a", "b", "x", "y").mapInArrow(_common, "a binary, b binary, common long, n_a long, n_b long")
-        union = F.col("n_a") + F.col("n_b") - F.col("common")
-        return counted.filter(100 * F.col("common") >= percent * union).select("a", "b")
-
-    stars = shared.filter(F.col("class") != F.col("center")).select(F.col("center").alias("a"), F.col("class").alias("b")).distinct()
-    links = checkpointed(confirmed(stars))
-    labels = components_of(links)
+    return checkpointed(texts.mapInArrow(_setter(size), "class binary, elements array<long>").dropDuplicates(["class"]))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``a, b`` whose whole sets are similar enough."""
+    likely = pairs.join(sets.select(F.col("class").alias("a"), F.col("elements").alias("x")), "a")
+    likely = likely.join(sets.select(F.col("class").alias("b"), F.col("elements").alias("y")), "b")
+    counted = likely.select("a", "b", "x", "y").mapInArrow(_common, "a binary, b binary, common long, n_a long, n_b long")
+    union = F.col("n_a") + F.col("n_b") - F.col("common")
+    return checkpointed(counted.filter(100 * F.col("common") >= percent * union).select("a", "b"))
+
+
+def _likely(one: DataFrame, two: DataFrame, percent: int, margin: float, more: Column | None = None) -> DataFrame:
+    """Pairs ``a, b`` of classes in one bucket that signatures and sizes allow; both sides have ``band, class, n, signature``."""
+    x = one.select("band", *[F.col(c).alias(f"{c}_a") for c in one.columns if c != "band"])
+    y = two.select("band", *[F.col(c).alias(f"{c}_b") for c in two.columns if c != "band"])
+    fit = similar_enough(F.col("signature_a"), F.col("signature_b"), F.col("n_a"), F.col("n_b"), percent, margin)
+    fit = fit & (F.col("class_a") != F.col("class_b"))
+    pairs = x.join(y, "band").filter(fit if more is None else fit & more)
+    return pairs.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
+
+
+def _mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with their own component and the bucket's largest."""
+    labelled = members.join(labels.withColumnRenamed("node", "class"), "class", "left")
+    labelled = labelled.withColumn("label", F.coalesce("label", "class"))
+    by_label = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
+    several = by_label.groupBy("band").agg(F.max(F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
+    return labelled.join(several.filter("labels > 1").select("band", F.col("most.label").alias("main")), "band")
+
+
+def _rest(inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of what doesn't belong to its bucket's largest component with all it may be linked to elsewhere.
+
+    Of two linked sets in one order of all elements, the first ones up to n - ceil(percent/100 n) + 1 have an element in
+    common. With rare elements first, what sets a near copy apart comes first, so a copy that is too different from the
+    others of a large group meets none of them.
+    """
+    lone = F.max(F.col("label") != F.col("main")).alias("lone")
+    whole = inside.groupBy("class").agg(lone, F.first("label").alias("label"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    whole = checkpointed(whole)
+    elements = sets.join(whole.select("class", "n"), "class").select("class", "n", F.explode("elements").alias("element"))
+    often = elements.groupBy("element").agg(F.count(F.lit(1)).alias("k"))
+    placed = elements.join(often, "element").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("k", "element"))).alias("all"))
+    start = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    starts = checkpointed(placed.select("class", F.explode(F.transform(start, lambda x: x.getField("element"))).alias("band")))
+    starts = starts.join(whole, "class").select("band", "class", "n", "signature", "label", "lone")
+    # Pairs of two lone ones are met from both sides; one is enough.
+    once = (F.col("label_a") != F.col("label_b")) & (~F.col("lone_b") | (F.col("class_a") < F.col("class_b")))
+    return _likely(starts.filter("lone"), starts, percent, MARGIN, once)
 
-    labelled = shared.join(labels.withColumnRenamed("node", "class"), "class", "left")
-    labelled = labelled.select("band", "center", "class", F.coalesce("label", "class").alias("label"))
-    by_label = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed_buckets = by_label.groupBy("band").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    inside = labelled.join(mixed_buckets.select("band", F.col("most.label").alias("main")), "band")
-    few = inside.filter(F.col("label") != F.col("main")).select(
-        "band", F.col("class").alias("one"), F.col("label").alias("one_label")
+
+def linked_classes(docs: DataFrame, rows: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``class, label``: the component of each class that is linked with another. ``rows``: what ``signed`` made of ``docs``."""
+    spark = docs.sparkSession
+    first = F.min(F.struct("doc_id", "text_key")).alias("first")
+    classes = rows.filter(F.col("class").isNotNull()).groupBy("class").agg(
+        first, F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands")
     )
-    apart = (F.col("label") != F.col("one_label")) & (F.col("class") != F.col("center")) & (F.col("one") != F.col("center"))
-    rest = inside.join(few, "band").filter(apart)
-    rest = rest.select(F.least("one", "class").alias("a"), F.greatest("one", "class").alias("b")).distinct()
-    more = checkpointed(confirmed(rest))
-    if more.isEmpty():
-        return labels.withColumnRenamed("node", "class")
-    return components_of(links.union(more)).withColumnRenamed("node", "class")
+    classes = checkpointed(classes)
+    shared = _shared_bands(classes)
+    brief = checkpointed(classes.select("class", "first", "n", "signature").join(shared.select("class").distinct(), "class"))
+    sets = _sets(docs, brief, size, id_col, text_col)
+    members = shared.join(brief.select("class", "n", "signature"), "class")
+    release(spark)
+
+    # What estimates rule out in the first two rounds is looked at again in the last, with a margin that loses no link.
+    centers = members.filter(F.col("class") == F.col("center")).select("band", "class", "n", "signature")
+    stars = _likely(members.select("band", "class", "n", "signature"), centers, percent, SURE)
+    links = _confirmed(stars, sets, percent)
+    labels = components_of(links)
+    for turn in range(TURNS):
+        inside = _mixed_buckets(members, labels)
+        main = F.col("label") == F.col("main")
+        # Another member of the largest component for each bucket, so that near copies of near copies meet several.
+        order = F.struct(F.xxhash64("class", "band", F.lit(turn)).alias("order"), "class", "n", "signature")
+        pivots = inside.filter(main).groupBy("band").agg(F.min(order).alias("p")).select("band", "p.class", "p.n", "p.signature")
+        more = _confirmed(_likely(inside.filter(~main).select("band", "class", "n", "signature"), pivots, percent, SURE), sets, percent)
+        release(spark)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        labels = components_of(links)
+
+    more = _confirmed(_rest(checkpointed(_mixed_buckets(members, labels)), sets, percent), sets, percent)
+    release(spark)
+    if not more.isEmpty():
+        labels = components_of(links.union(more))
+    return labels.withColumnRenamed("node", "class")
 
 
 def _grouped(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:

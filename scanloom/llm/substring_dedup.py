@@ -30,7 +30,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import text_of
+from scanloom.llm.common import release, text_of
 from scanloom.llm.wordhash import M1, WordHashes, mixed, windows, words_of
 from scanloom.sources.checkpoint import checkpointed
 
@@ -151,9 +151,8 @@ def _cut(length: int):
     return cut
 
 
-def cut_texts(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> DataFrame:
-    """``key, n_removed, kept_text`` of each distinct text that loses words; ``key`` is the digest of the text."""
-    texts = docs.select(F.unhex(F.md5(text_of(text_col))).alias("key"), text_of(text_col).alias("text"))
+def _with_candidates(texts: DataFrame, length: int) -> DataFrame:
+    """Distinct texts in which some anchor occurs elsewhere too, with the places of such anchors."""
     short_key = F.conv(F.substring(F.hex("key"), 1, 15), 16, 10).cast("long").alias("short_key")
     anchors = texts.select(short_key, "text").mapInArrow(_anchors(length), "short_key long, anchor long, place int")
     often = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
@@ -162,12 +161,24 @@ def cut_texts(docs: DataFrame, length: int = LENGTH, text_col: str = "text") ->
     packed = texts.mapInArrow(_packed, "key binary, blob binary, size long")
     packed = packed.groupBy("key").agg(F.first("blob").alias("blob"), F.first("size").alias("size"), F.count(F.lit(1)).alias("copies"))
     # Texts that share the short key only get each other's places, which makes candidates but no results.
-    held = checkpointed(packed.select("*", short_key).join(found, "short_key").select("key", "blob", "size", "copies", "places"))
+    return checkpointed(packed.select("*", short_key).join(found, "short_key").select("key", "blob", "size", "copies", "places"))
 
+
+def _repeated_starts(held: DataFrame, length: int) -> DataFrame:
+    """Starts of the windows of each text that occur elsewhere too."""
     spread = held.mapInArrow(_windows(length), "key binary, one long, two long, start int, copies long")
     twice = spread.groupBy("one", "two").agg(F.sum("copies").alias("n")).filter("n > 1").select("one", "two")
     starts = spread.select("key", "one", "two", "start").join(twice, ["one", "two"])
-    starts = starts.groupBy("key").agg(F.collect_set("start").alias("starts"))
+    return checkpointed(starts.groupBy("key").agg(F.sort_array(F.collect_set("start")).alias("starts")))
+
+
+def cut_texts(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> DataFrame:
+    """``key, n_removed, kept_text`` of each distinct text that loses words; ``key`` is the digest of the text."""
+    texts = docs.select(F.unhex(F.md5(text_of(text_col))).alias("key"), text_of(text_col).alias("text"))
+    held = _with_candidates(texts, length)
+    release(docs.sparkSession)
+    starts = _repeated_starts(held, length)
+    release(docs.sparkSession)
     rows = held.join(starts, "key").select("key", "blob", "size", "starts")
     return rows.mapInArrow(_cut(length), "key binary, n_removed long, kept_text string")
 
