@@ -73,6 +73,7 @@ def bound(value: Column, use) -> Column:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of earlier phases now: it does so once the driver has collected their plans."""
-    gc.collect()
-    time.sleep(1.5)  # Python tells the JVM once a second which plans it no longer refers to
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):
+        gc.collect()
+        time.sleep(1)  # Python tells the JVM once a second which plans it no longer refers to
+        spark.sparkContext._jvm.System.gc()
