@@ -81,19 +81,6 @@ LOWEST_GRADE = "F"
 
 MATCH_TYPES = ["single-line", "multi-line", "secret", "dependency"]
 
-CATEGORY_TITLES = {
-    "A01": "Broken Access Control",
-    "A02": "Cryptographic Failures",
-    "A03": "Injection",
-    "A04": "Insecure Design",
-    "A05": "Security Misconfiguration",
-    "A06": "Vulnerable and Outdated Components",
-    "A07": "Identification and Authentication Failures",
-    "A08": "Software and Data Integrity Failures",
-    "A09": "Security Logging and Monitoring Failures",
-    "A10": "Server-Side Request Forgery (SSRF)",
-}
-
 MANIFEST_FILES = [
     "package.json", "requirements.txt", "requirements-dev.txt", "go.mod", "cargo.toml",
     "composer.json", "pom.xml", "build.gradle",

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from scanloom.functions.dialect import CASE_TWINS, SPACE
 
-DEAL_BYTES = 16 * 1024 * 1024
 
 
 def base_name(path: Column) -> Column:
@@ -54,16 +53,3 @@ def one_json_value(text: Column, schema: str, mode: str = "PERMISSIVE") -> Colum
 
 def literal_map(table: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for entry in table.items() for x in entry])
-
-
-def spread(df, workers: int | None = None):
-    """Deal rows out to all cores where the input has fewer splits than cores or is small for their number.
-
-    Splits are by bytes, but a Parquet row group is read by one of them, so a small file may be one task's work.
-    Larger inputs stay as they are: their texts are not shuffled.
-    """
-    want = workers or df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= want * DEAL_BYTES and df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want)

@@ -21,7 +21,6 @@ from scanloom.operators.match import DEPENDENCY
 from scanloom.rules import read_pack
 from scanloom.sources.local import local_table
 
-MAX_ADVISORIES = 50_000
 ADVISORY_SCHEMA = "ecosystem string, package string, severity string, reason string, safe_version string"
 PACKAGE = "struct<package:string,name:string,operator:string,version:string,line_number:int>"
 
@@ -48,8 +47,6 @@ UNPINNED_TEXT = {
 def load_advisories(extra: Sequence[dict] = ()) -> list[dict]:
     """Packaged advisories; those of ``extra`` win over packaged ones for the same package."""
     listed = {(a["ecosystem"], a["package"]): a for a in [*read_pack("advisories.json")["advisories"], *extra]}
-    if len(listed) > MAX_ADVISORIES:
-        raise ValueError(f"more than {MAX_ADVISORIES} advisories")
     return list(listed.values())
 
 
@@ -203,9 +200,9 @@ def dependency_rule_id(ecosystem: Column, name: Column) -> Column:
 
 
 def with_advisory(found: DataFrame, advisories: Sequence[dict] | None = None) -> DataFrame:
-    """Left join on the looked-up name; versions are not compared. Advisories are bounded by MAX_ADVISORIES."""
+    """Left join on the looked-up name; versions are not compared."""
     listed = advisories_df(found.sparkSession, advisories).withColumnRenamed("package", "name")
-    return found.join(F.broadcast(listed), ["ecosystem", "name"], "left")
+    return found.join(listed, ["ecosystem", "name"], "left")
 
 
 def dependency_issues(manifests: DataFrame, keep: Sequence[str] = (), advisories: Sequence[dict] | None = None,

@@ -231,6 +231,6 @@ def explode_hits(files: DataFrame, bundles: DataFrame, keep: list[str], multi_li
 
 
 def with_rule(hits: DataFrame, passes: list[tuple[int, str, Sequence[Rule]]], keep_clean: bool = False) -> DataFrame:
-    """Attach what findings repeat from their rule (packs are bounded by MAX_RULES, hence the broadcast)."""
+    """Attach what findings repeat from their rule."""
     dim = patterns_df(hits.sparkSession, passes)
     return hits.join(F.broadcast(dim), ["pass_ord", "rule_ord", "pattern_idx"], "left" if keep_clean else "inner")

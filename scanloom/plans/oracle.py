@@ -263,7 +263,7 @@ MANIFESTS = f"""advisory AS (
 mline AS (
   SELECT p_partkey // 20 AS manifest_id, p_partkey % 20 AS slot, p_size,
     row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) AS n
-  FROM part WHERE p_partkey % 20 < 16),
+  FROM part),
 manifest AS (
   SELECT DISTINCT manifest_id, 'repo' || (manifest_id % 10) AS repo,
     'm' || manifest_id || '/' || {pick(d.MANIFEST_NAMES, 'manifest_id % 4')} AS path FROM mline),

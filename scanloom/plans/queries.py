@@ -644,8 +644,7 @@ def stream_scan(spark, sf):
     """The corpus scan as a stream of documents; its result must equal the batch scan."""
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
     documents = spark.readStream.schema(schema).parquet(f"{sf}/documents*.parquet").select("doc_id", "text")
-    workers = spark.sparkContext.defaultParallelism
-    files = derived.corpus_of(documents.repartition(workers))
+    files = derived.corpus_of(documents)
     files = files.withColumn("inner_path", relative_path(F.col("path"), F.col("repo")))
     files = with_language(with_selection(files)).filter("in_scan")
     output, state = fresh_dir(spark, "stream-out"), fresh_dir(spark, "stream-state")

@@ -18,7 +18,6 @@ from scanloom.functions.text import one_json_value
 from scanloom.sources.local import local_table
 
 RULES_PATH_CONF = "spark.scanloom.rules.path"
-MAX_RULES = 5_000  # rules become literals of the plan, so a pack is configuration, not data
 
 RULE_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
@@ -182,10 +181,8 @@ def merge_rules(builtin: DataFrame, custom: DataFrame) -> DataFrame:
 
 
 def collect_rules(spark: SparkSession, merged: DataFrame) -> list[Rule]:
-    """Bring a merged pack to the driver to become plan literals; packs past MAX_RULES are refused."""
-    rows = merged.orderBy("block", "rule_ord", "position").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"rule pack has more than {MAX_RULES} rules")
+    """Bring a merged pack to the driver to become plan literals."""
+    rows = merged.orderBy("block", "rule_ord", "position").collect()
     rules = [Rule.of(i, row.asDict()) for i, row in enumerate(rows, 1)]
     # Python accepts these patterns; let Java reject what it cannot run here rather than inside a task.
     probes = [F.lit("").rlike(p.java) for r in rules for p in (*r.single, *r.multi)]

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from scanloom.functions.reuse import built_once
 from scanloom.functions.scoring import grade, score_of_penalty
-from scanloom.functions.text import spread
 
 CORPUS_DIRS = ["src", "src/api", "node_modules/x", "lib", "vendor", "app/Build", "infra", "docs"]
 
@@ -45,10 +44,10 @@ MULTILINE_BLOCKS = [
 ]
 
 NPM_NAMES = ["lodash", "jquery", "axios", "express", "ws", "ejs", "vm2", "chalk", "react", "vue", "left-pad", "Moment",
-             "semver", "tar", "yaml", "debug"]
+             "semver", "tar", "yaml", "debug", "moment", "minimist", "node-fetch", "glob"]
 NPM_VERSIONS = ["^1.2.3", "~2.0", "*", "latest", "1.0.0", ">=3.1", "4.5.6", "x"]
 PYPI_NAMES = ["requests", "flask", "Django", "pyyaml", "lxml", "numpy", "pandas", "urllib3", "six", "attrs", "jinja2",
-              "httpx", "certifi", "idna", "pytest", "click"]
+              "httpx", "certifi", "idna", "pytest", "click", "rich", "tqdm", "scipy", "tornado"]
 PYPI_SUFFIXES = ["", "==1.0", ">=2.0", "~=3.1", "[extra]==1.0", "  # note"]
 GO_LINES = ["require golang.org/x/net v0.1", "require (", "\tgolang.org/x/net v0.1", ")", "// golang.org/x/crypto\tx",
             "replace github.com/dgrijalva/jwt-go\t=> x"]
@@ -88,7 +87,7 @@ def pick(values: list[str], index: Column) -> Column:
 
 def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as source files of ten repositories: doc_id, repo, path, content."""
-    return corpus_of(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return corpus_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def corpus_of(documents: DataFrame) -> DataFrame:
@@ -119,7 +118,7 @@ def multiline_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
     block = pick([b for _, b in MULTILINE_BLOCKS], doc % 4)
     filler = F.repeat(F.lit("x = 1\n"), (doc % 5).cast("int"))
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    return table(spark, sf_dir, "documents").select("doc_id", "text").select(
         "doc_id",
         F.concat(F.lit("ml/d"), doc.cast("string"), pick([s for s, _ in MULTILINE_BLOCKS], doc % 4)).alias("path"),
         F.concat(F.col("text"), F.lit("\n"), block,
@@ -130,7 +129,7 @@ def multiline_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pasted texts with a language named by hand: all turns of ``conversations``."""
     turn = F.col("turn")
-    return spread(table(spark, sf_dir, "conversations")).select(
+    return table(spark, sf_dir, "conversations").select(
         F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string")).alias("id"),
         pick([d for d, _ in DECLARED], turn % len(DECLARED)).alias("declared_language"),
         F.concat_ws("\n", "text", pick([line for _, line in DECLARED], turn % len(DECLARED))).alias("content"),
@@ -142,7 +141,7 @@ def heredoc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
     filler = F.repeat(F.lit("x = 1\n"), (doc % 7).cast("int"))
     second = F.when(doc % 2 == 1, F.lit(ONE_LINE_HEREDOC + "\n")).otherwise("")
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    return table(spark, sf_dir, "documents").select("doc_id", "text").select(
         "doc_id",
         F.concat(F.lit("h/d"), doc.cast("string"), F.lit(".php")).alias("path"),
         F.concat(F.col("text"), F.lit(f"\n{ONE_LINE_HEREDOC}\n"), filler, second, filler, F.lit(HEREDOC)
@@ -173,12 +172,12 @@ def custom_rule_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without a name, whose language only their content tells: all ``pages``, a line added."""
     line = pick(PAGE_LINES, F.col("page_id") % len(PAGE_LINES))
-    return spread(table(spark, sf_dir, "pages")).select(
+    return table(spark, sf_dir, "pages").select(
         "page_id", F.lit("input").alias("path"), F.concat_ws("\n", "html", line).alias("content"))
 
 
 def manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as lines of manifests: manifest_id, slot (0-15), line; twenty parts make a manifest."""
+    """Parts as lines of manifests: manifest_id, slot (0-19), line; twenty parts make a manifest."""
     key, size = F.col("p_partkey"), F.col("p_size")
     slot = (key % 20).cast("int")
     manifest = F.expr("p_partkey div 20")
@@ -187,12 +186,12 @@ def manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = (F.when(manifest % 4 == 0, npm).when(manifest % 4 == 1, pypi)
             .when(manifest % 4 == 2, pick(GO_LINES, size % len(GO_LINES)))
             .otherwise(pick(CARGO_LINES, size % len(CARGO_LINES))))
-    return table(spark, sf_dir, "part").filter(slot < 16).select(
+    return table(spark, sf_dir, "part").select(
         manifest.alias("manifest_id"), slot.alias("slot"), line.alias("line"))
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Manifest files made of the lines: manifest_id, path, content. A manifest has at most sixteen lines."""
+    """Manifest files made of the lines: manifest_id, path, content. A manifest has at most twenty lines."""
     rows = manifest_lines(spark, sf_dir).groupBy("manifest_id").agg(
         F.array_sort(F.collect_list(F.struct("slot", "line"))).alias("rows"))
 

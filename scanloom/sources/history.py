@@ -26,6 +26,6 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 def append_history(scans: DataFrame, path: str) -> None:
     """Record scans; scans of pasted text are not kept. Nothing is rewritten: readers take the newest."""
-    kept = scans.filter(F.col("scan_type") != "text")
+    kept = scans.filter(~F.col("scan_type").eqNullSafe("text"))
     kept.select(*[F.col(c) for c in HISTORY_COLUMNS]).withColumn("ts", F.col("ts").cast("timestamp")) \
         .write.mode("append").parquet(path)

@@ -56,14 +56,6 @@ def test_manifests_are_read_once(spark, sf):
     assert text.count("FileScan parquet") == 1
 
 
-def test_large_inputs_are_not_dealt_out_again(spark, sf, monkeypatch):
-    from scanloom.functions import text
-    many = derived.table(spark, sf, "documents").repartition(64)
-    assert text.spread(many, 8) is not many  # small for eight cores
-    monkeypatch.setattr(text, "DEAL_BYTES", 1)
-    assert text.spread(many, 8) is many and text.spread(many, 65) is not many
-
-
 def test_first_findings_are_cut_before_the_shuffle(spark, sf):
     text = plan(queries.QUERIES["first_20"](spark, sf))
     assert re.search(r"WindowGroupLimit.*Partial", text)
