@@ -43,8 +43,8 @@ BANDS, ROWS, MINIMA = 42, 6, 256
 #: Bits kept of each minimum, and minima in one word of a signature.
 BITS = 2
 PER_WORD = 64 // BITS
-#: Estimates spread by 0.03 around the similarity: one in a million of linked pairs lies MARGIN below.
-MARGIN, SURE = 0.15, 0.03
+#: Estimates spread by 0.03 around the similarity. What they rule out is looked at again, by elements.
+MARGIN = 0.03
 #: Rounds in which large buckets are joined up before all that is left is compared.
 TURNS = 1
 #: Shingles whose minima are taken at once.
@@ -146,8 +146,8 @@ def signed(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def similar_enough(a: Column, b: Column, n_a: Column, n_b: Column, percent: int, margin: float) -> Column:
-    """Whether signatures and sizes leave it possible that the sets are linked."""
+def similar_enough(a: Column, b: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    """Whether signatures and sizes make it likely that the sets are linked."""
     matches = F.lit(MINIMA)
     every = F.lit(int.from_bytes(bytes([0x55] * 8), "big"))
     for i in range(MINIMA // PER_WORD):
@@ -155,7 +155,7 @@ def similar_enough(a: Column, b: Column, n_a: Column, n_b: Column, percent: int,
         matches = matches - F.bit_count((differ.bitwiseOR(F.shiftrightunsigned(differ, 1))).bitwiseAND(every))
     chance = 1.0 / (1 << BITS)
     estimate = (matches / MINIMA - chance) / (1.0 - chance)
-    return (estimate >= percent / 100 - margin) & (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
+    return (estimate >= percent / 100 - MARGIN) & (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
 
 
 def components_of(links: DataFrame) -> DataFrame:
@@ -200,13 +200,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return checkpointed(counted.filter(100 * F.col("common") >= percent * union).select("a", "b"))
 
 
-def _likely(one: DataFrame, two: DataFrame, percent: int, margin: float, more: Column | None = None) -> DataFrame:
+def _likely(one: DataFrame, two: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` of classes in one bucket that signatures and sizes allow; both sides have ``band, class, n, signature``."""
     x = one.select("band", *[F.col(c).alias(f"{c}_a") for c in one.columns if c != "band"])
     y = two.select("band", *[F.col(c).alias(f"{c}_b") for c in two.columns if c != "band"])
-    fit = similar_enough(F.col("signature_a"), F.col("signature_b"), F.col("n_a"), F.col("n_b"), percent, margin)
+    fit = similar_enough(F.col("signature_a"), F.col("signature_b"), F.col("n_a"), F.col("n_b"), percent)
     fit = fit & (F.col("class_a") != F.col("class_b"))
-    pairs = x.join(y, "band").filter(fit if more is None else fit & more)
+    pairs = x.join(y, "band").filter(fit)
     return pairs.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
 
 
@@ -222,22 +222,33 @@ def _mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
 def _rest(inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of what doesn't belong to its bucket's largest component with all it may be linked to elsewhere.
 
-    Of two linked sets in one order of all elements, the first ones up to n - ceil(percent/100 n) + 1 have an element in
-    common. With rare elements first, what sets a near copy apart comes first, so a copy that is too different from the
-    others of a large group meets none of them.
+    Linked sets have need = percent/(100+percent) * (n_a + n_b) elements in common. In one order of all elements, what
+    they have in common begins at places i and j with n_a - i >= need and n_b - j >= need, so only the front of a set is
+    looked up: places with n - i >= percent/100 n, and of the smaller of two with n - i >= 2 percent/(100+percent) n.
+    With rare elements first, what sets a near copy apart comes first, so a copy that is too different from the others of
+    a large group meets almost none of them. No link is left out.
     """
     lone = F.max(F.col("label") != F.col("main")).alias("lone")
-    whole = inside.groupBy("class").agg(lone, F.first("label").alias("label"), F.first("n").alias("n"), F.first("signature").alias("signature"))
-    whole = checkpointed(whole)
+    whole = checkpointed(inside.groupBy("class").agg(lone, F.first("label").alias("label"), F.first("n").alias("n")))
     elements = sets.join(whole.select("class", "n"), "class").select("class", "n", F.explode("elements").alias("element"))
     often = elements.groupBy("element").agg(F.count(F.lit(1)).alias("k"))
     placed = elements.join(often, "element").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("k", "element"))).alias("all"))
-    start = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    starts = checkpointed(placed.select("class", F.explode(F.transform(start, lambda x: x.getField("element"))).alias("band")))
-    starts = starts.join(whole, "class").select("band", "class", "n", "signature", "label", "lone")
-    # Pairs of two lone ones are met from both sides; one is enough.
-    once = (F.col("label_a") != F.col("label_b")) & (~F.col("lone_b") | (F.col("class_a") < F.col("class_b")))
-    return _likely(starts.filter("lone"), starts, percent, MARGIN, once)
+    front = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    starts = placed.select("class", F.posexplode(F.transform(front, lambda x: x.getField("element"))).alias("place", "element"))
+    starts = checkpointed(starts.join(whole, "class").withColumn("left", F.col("n") - F.col("place")).drop("place"))
+
+    x = starts.filter("lone").select("element", *[F.col(c).alias(f"{c}_a") for c in ("class", "n", "left", "label")])
+    y = starts.select("element", *[F.col(c).alias(f"{c}_b") for c in ("class", "n", "left", "label", "lone")])
+    least_left = F.least("left_a", "left_b") * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    fit = least_left & sizes & (F.col("label_a") != F.col("label_b"))
+    smaller = F.struct("n_a", "class_a") < F.struct("n_b", "class_b")
+    # Two lone ones meet once only, where the smaller of them is a.
+    up = x.filter((100 + percent) * F.col("left_a") >= 2 * percent * F.col("n_a")).join(y, "element").filter(fit & smaller)
+    short = y.filter(~F.col("lone_b") & ((100 + percent) * F.col("left_b") >= 2 * percent * F.col("n_b")))
+    down = x.join(short, "element").filter(fit & ~smaller)
+    pairs = up.select("class_a", "class_b").union(down.select("class_a", "class_b"))
+    return pairs.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
 
 
 def linked_classes(docs: DataFrame, rows: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -254,9 +265,9 @@ def linked_classes(docs: DataFrame, rows: DataFrame, size: int, percent: int, id
     members = shared.join(brief.select("class", "n", "signature"), "class")
     release(spark)
 
-    # What estimates rule out in the first two rounds is looked at again in the last, with a margin that loses no link.
+    # What estimates rule out in the first two rounds is looked at again in the last, without estimates.
     centers = members.filter(F.col("class") == F.col("center")).select("band", "class", "n", "signature")
-    stars = _likely(members.select("band", "class", "n", "signature"), centers, percent, SURE)
+    stars = _likely(members.select("band", "class", "n", "signature"), centers, percent)
     links = _confirmed(stars, sets, percent)
     labels = components_of(links)
     for turn in range(TURNS):
@@ -265,7 +276,7 @@ def linked_classes(docs: DataFrame, rows: DataFrame, size: int, percent: int, id
         # Another member of the largest component for each bucket, so that near copies of near copies meet several.
         order = F.struct(F.xxhash64("class", "band", F.lit(turn)).alias("order"), "class", "n", "signature")
         pivots = inside.filter(main).groupBy("band").agg(F.min(order).alias("p")).select("band", "p.class", "p.n", "p.signature")
-        more = _confirmed(_likely(inside.filter(~main).select("band", "class", "n", "signature"), pivots, percent, SURE), sets, percent)
+        more = _confirmed(_likely(inside.filter(~main).select("band", "class", "n", "signature"), pivots, percent), sets, percent)
         release(spark)
         if more.isEmpty():
             break
