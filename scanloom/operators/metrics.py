@@ -70,7 +70,10 @@ def security_grade(findings: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def scan_summary(findings: DataFrame, by: Sequence[str], extra: DataFrame | None = None) -> DataFrame:
-    """One row per scan: totals, severities, score and grade; columns of ``extra`` (by scan) replace those here."""
+    """One row per scan: totals, severities, score and grade; columns of ``extra`` (by scan) replace those here.
+
+    Scans of ``extra`` without findings have totals of nought and the best score.
+    """
     summary = findings.groupBy(*by).agg(
         _total(), *severity_counts(),
         *_counts("match_type", MATCH_TYPES, ["single_line", "multi_line", "secret", "dependency"]),
@@ -79,13 +82,17 @@ def scan_summary(findings: DataFrame, by: Sequence[str], extra: DataFrame | None
     if extra is None:
         return summary
     replaced = [c for c in extra.columns if c not in by]
-    return summary.drop(*replaced).join(extra, list(by), "left")
+    joined = summary.drop(*replaced).join(extra, list(by), "full")
+    best = F.lit(100.0)
+    nothing = {c: F.lit("A+") if c == "grade" else best if c == "score" else F.lit(0)
+               for c in summary.columns if c not in (*by, *replaced)}
+    return joined.withColumns({c: F.coalesce(c, value) for c, value in nothing.items()})
 
 
 def languages_detected(files: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Sorted languages of each scan; there are no more than the known languages."""
-    known = files.filter(F.col("language") != "unknown").select(*by, "language").distinct()
-    return known.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("language")), ",").alias("languages"))
+    """Sorted languages of each scan, no more than the known languages; empty where none is known."""
+    known = F.collect_set(F.when(F.col("language") != "unknown", F.col("language")))
+    return files.groupBy(*by).agg(F.array_join(F.array_sort(known), ",").alias("languages"))
 
 
 def executive_summary(summary: DataFrame, by: Sequence[str]) -> DataFrame:

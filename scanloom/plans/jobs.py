@@ -50,11 +50,16 @@ def read_archives(spark: SparkSession, paths: str) -> DataFrame:
 
 def scan_archive_files(spark: SparkSession, paths: str, rules: Sequence[Rule] | None = None, multi_line: bool = True,
                        extensions: Sequence[str] | None = None, advisories: Sequence[dict] | None = None) -> DataFrame:
-    """Findings in all archives that ``paths`` (a folder or glob) names; unreadable archives have none."""
+    """Findings in all archives that ``paths`` (a folder or glob) names.
+
+    An archive that cannot be read has one row without a rule, whose ``error`` says why.
+    """
     archives = read_archives(spark, paths)
     members = expand_archives(archives).filter(F.col("error").isNull())
     manifests = expand_archives(archives, only=MANIFEST_FILES).filter(F.col("error").isNull())
-    return _all_passes(members, manifests, "archive", rules, multi_line, extensions, advisories)
+    found = _all_passes(members, manifests, "archive", rules, multi_line, extensions, advisories)
+    broken = expand_archives(archives, only=()).select("archive", "error").filter(F.col("error").isNotNull())
+    return found.unionByName(broken, allowMissingColumns=True)
 
 
 def scan_texts(texts: DataFrame, keep: Sequence[str], rules: Sequence[Rule] | None = None,
@@ -67,16 +72,19 @@ def scan_texts(texts: DataFrame, keep: Sequence[str], rules: Sequence[Rule] | No
 
 def record_scans(findings: DataFrame, by: str, scan_type: str, at: Column, findings_path: str, history_path: str,
                  scanned: DataFrame | None = None) -> DataFrame:
-    """Write findings, add one history entry per scan, and return the entries.
+    """Write findings with the id and time of their scan, add one history entry per scan, and return the entries.
 
-    Scans named in ``scanned`` (``by``, files_scanned) are recorded even where nothing was found.
+    ``at`` is evaluated once. Scans named in ``scanned`` (``by``, files_scanned) are recorded even where nothing was found.
     """
+    micros = findings.sparkSession.range(1).select(F.unix_micros(at.cast("timestamp"))).first()[0]
+    at = F.timestamp_micros(F.lit(micros))
+    scan_id = F.concat_ws("-", F.date_format(at, "yyyyMMddHHmmss"), by)
     findings = checkpointed(findings)
-    findings.write.mode("append").parquet(findings_path)
+    findings.withColumns({"scan_id": scan_id, "scan_ts": at}).write.mode("append").parquet(findings_path)
     if scanned is not None:
         findings = findings.unionByName(scanned.select(by), allowMissingColumns=True)
     entries = met.scan_summary(findings, [by], scanned).withColumns({
-        "id": F.concat_ws("-", F.date_format(at, "yyyyMMddHHmmss"), by), "scan_type": F.lit(scan_type),
+        "id": scan_id, "scan_type": F.lit(scan_type),
         "source": F.col(by), "ts": at})
     append_history(entries, history_path)
     return entries

@@ -529,9 +529,11 @@ GROUP BY language ORDER BY rules DESC, language LIMIT {fv.TOP_LANGUAGES}""",
 s AS (SELECT repo, count(*) AS total, {', '.join(f"{n_of('severity', x)} AS {x.lower()}" for x in fv.SEVERITY_ORDER)},
   {', '.join(f"{n_of('match_type', x)} AS {x.replace('-', '_')}" for x in fv.MATCH_TYPES)},
   {score(f'sum({WEIGHT})')} AS score FROM everything GROUP BY repo)
-SELECT s.*, {grade('score')} AS grade, files_scanned FROM s LEFT JOIN scanned USING (repo)""",
-    "languages_detected": f"""WITH {SELECTED} SELECT repo, string_agg(language, ',' ORDER BY language) AS languages
-FROM (SELECT DISTINCT repo, language FROM src WHERE language <> 'unknown') GROUP BY repo""",
+SELECT repo, {', '.join(f"coalesce({c}, 0) AS {c}" for c in ('total', *(x.lower() for x in fv.SEVERITY_ORDER), *(x.replace('-', '_') for x in fv.MATCH_TYPES)))},
+  coalesce(score, 100) AS score, coalesce({grade('score')}, 'A+') AS grade, files_scanned FROM s FULL JOIN scanned USING (repo)""",
+    "languages_detected": f"""WITH {SELECTED}
+SELECT repo, coalesce(string_agg(language, ',' ORDER BY language) FILTER (WHERE language <> 'unknown'), '') AS languages
+FROM (SELECT DISTINCT repo, language FROM src) GROUP BY repo""",
     "executive_summary": ON_CORPUS + ", s AS (" + per_repo(
         f"count(rule_id) AS total, {', '.join(n_of('severity', x) + ' AS ' + x.lower() for x in fv.SEVERITY_ORDER)}, "
         f"{score(f'sum({WEIGHT})')} AS score") + f""")

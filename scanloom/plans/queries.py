@@ -79,9 +79,9 @@ def manifests(spark: SparkSession, sf: str) -> DataFrame:
     return derived.manifests(spark, sf).withColumn("repo", repo)
 
 
-def everything(spark: SparkSession, sf: str) -> DataFrame:
+def everything(spark: SparkSession, sf: str, snippets: bool = False) -> DataFrame:
     """Rules on the selected files, secrets in all files, and all manifests."""
-    code = scan_code(corpus(spark, sf), keep=["repo"])
+    code = scan_code(corpus(spark, sf), keep=["repo"], snippets=snippets)
     issues = dep.dependency_issues(manifests(spark, sf), keep=["repo"])
     return fnd.union_findings(code, dep.dependency_findings(issues, keep=["repo"]))
 
@@ -97,7 +97,7 @@ SHORT = ["rule_id", "severity", "file_path", "line_number", "line_end", "match_t
 
 @query
 def scan_corpus_files(spark, sf):
-    return corpus_findings(spark, sf).select(*SHORT, "matched_pattern")
+    return corpus_findings(spark, sf, snippets=False).select(*SHORT, "matched_pattern")
 
 
 @query
@@ -105,12 +105,12 @@ def scan_text_rows(spark, sf):
     rows = derived.text_rows(spark, sf)
     rows = rows.withColumns({
         "language": resolve_language(F.col("declared_language"), F.col("content")), "path": F.lit("input")})
-    return scan_sast(rows, keep=["id"]).select("id", "language", *SHORT)
+    return scan_sast(rows, keep=["id"], snippets=False).select("id", "language", *SHORT)
 
 
 @query
 def scan_pages(spark, sf):
-    return scan_sast(with_language(derived.page_rows(spark, sf)), keep=["page_id"]).select("page_id", "language", *SHORT)
+    return scan_sast(with_language(derived.page_rows(spark, sf)), keep=["page_id"], snippets=False).select("page_id", "language", *SHORT)
 
 
 def _archives(spark: SparkSession, sf: str) -> DataFrame:
@@ -538,7 +538,7 @@ def dedupe_multi_line(spark, sf):
 
 @query
 def number_findings(spark, sf):
-    found = everything(spark, sf)
+    found = everything(spark, sf, snippets=True)
     return fnd.number_findings(found, "repo").select(
         "repo", "file_path", "rule_id", "line_number", "code_snippet", "finding_number", "findings_in_group")
 
@@ -552,7 +552,7 @@ def first_20(spark, sf):
 
 @query
 def order_by_severity(spark, sf):
-    return fnd.order_by_severity(corpus_findings(spark, sf)).select(*SHORT)
+    return fnd.order_by_severity(corpus_findings(spark, sf, snippets=False)).select(*SHORT)
 
 
 @query

@@ -156,3 +156,12 @@ def test_csv_and_json_reports(spark, tmp_path):
     assert head["statistics"]["by_category"] == {"A01": 2} and head["statistics"]["by_severity"]["Low"] == 1
     one = json.loads(spark.read.text(str(tmp_path / "json" / "vulnerabilities")).filter("value like '%f,%'").first()[0])
     assert one["line_end"] is None and set(one) == {"repo", *fnd.WIRE_COLUMNS}
+
+
+def test_scans_without_findings_are_summed_up(spark):
+    found = spark.createDataFrame([("one", "R", "High", "secret")], "repo string, rule_id string, severity string, match_type string")
+    scanned = spark.createDataFrame([("one", 3), ("two", 5)], "repo string, files_scanned long")
+    got = {r.repo: (r.total, r.high, r.secret, r.score, r.grade, r.files_scanned) for r in met.scan_summary(found, ["repo"], scanned).collect()}
+    assert got["two"] == (0, 0, 0, 100.0, "A+", 5) and got["one"][:3] == (1, 1, 1)
+    files = spark.createDataFrame([("a", "python"), ("a", "go"), ("a", "unknown"), ("b", "unknown")], "repo string, language string")
+    assert {r.repo: r.languages for r in met.languages_detected(files, ["repo"]).collect()} == {"a": "go,python", "b": ""}

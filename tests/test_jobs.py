@@ -43,7 +43,9 @@ def test_trees_are_scanned_and_recorded(spark, tmp_path):
     entries = jobs.record_scans(found, "repo", "repository", F.lit("2024-01-01 00:00:00").cast("timestamp"), store, history, scanned)
     assert {r.repo: (r.total, r.score, r.files_scanned) for r in entries.collect()} == {
         "one": (6, 65.0, 2), "two": (0, 100.0, 1), "three": (1, 98.0, 1)}
-    assert spark.read.parquet(store).count() == 7
+    stored = spark.read.parquet(store)
+    assert stored.count() == 7
+    assert {(r.repo, r.scan_id) for r in stored.collect()} == {("one", "20240101000000-one"), ("three", "20240101000000-three")}
     assert {r.id: r.grade for r in read_history(spark, history).collect()} == {
         "20240101000000-one": "C", "20240101000000-two": "A+", "20240101000000-three": "A+"}
 
@@ -61,7 +63,8 @@ def test_archives_are_scanned(spark, tmp_path):
     (folder / "broken.zip").write_bytes(b"x")
     found = jobs.scan_archive_files(spark, str(folder))
     got = {(a.rpartition("/")[2].removesuffix(".zip"), *rest) for a, *rest in rows(found, "archive")}
-    assert got == WANT
+    assert got == WANT | {("broken", None, None, None)}
+    assert {(r.archive.rpartition("/")[2], bool(r.error)) for r in found.filter("error IS NOT NULL").collect()} == {("broken.zip", True)}
 
 
 def test_texts(spark):
