@@ -3,7 +3,9 @@
 Base kinds are assignments to secret names, access keys and long hexadecimal runs; they are always reported. Further
 tokens (runs of 20 or more characters of encodings) are tested:
 
-* The encoding is inferred from the characters: base 16, 32, 36 or 64.
+* The encoding is inferred from the characters: base 16, 32, 36 or 64. A run that fits none as a whole, such as NAME=VALUE
+  or a path, is cut at inner ``=`` and at characters foreign to each encoding (and to letters and digits), and every part
+  of 20 or more characters is tested at its own place; of accepted parts that overlap the least like language is reported.
 * Under uniform characters of that encoding: chi-squared of the counts, runs above and below the middle of the alphabet,
   serial correlation at lag one. A token that one of them rejects (after Bonferroni) isn't random.
 * Under language: how unlikely so few coinciding characters, and so many changes between capitals, small letters and
@@ -44,6 +46,14 @@ ENCODINGS = (
     ("base64", "[A-Za-z0-9+/]+={0,2}", UPPER + LOWER + DIGITS + "+/"),
     ("base64url", "[A-Za-z0-9_-]+={0,2}", UPPER + LOWER + DIGITS + "-_"),
 )
+#: Any encoding, and the parts of runs that fit none. Only ``=`` at the end of a run can be padding, not one before a value.
+WHOLE = "^(?:" + "|".join(pattern for _, pattern, _ in ENCODINGS) + ")$"
+LEAST = 20
+PADDED = "(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
+PARTS = (
+    "[0-9A-Fa-f]{20,}", "[A-Z2-7]{14,}(?:=+(?![A-Za-z0-9+/_-]))?", "[a-z0-9]{20,}", "[A-Z0-9]{20,}",
+    "[A-Za-z0-9]{18,}" + PADDED, "[A-Za-z0-9+/]{18,}" + PADDED, "[A-Za-z0-9_-]{18,}" + PADDED,
+)
 #: Lengths at which a band begins.
 BANDS = (20, 28, 40, 64, 128)
 RANDOM_LEVEL, FALSE_DISCOVERIES = 0.001, 0.001
@@ -190,6 +200,34 @@ def limits(tokens: DataFrame) -> dict[tuple[str, int], int]:
     return {(r.encoding, r.band): r.cell for r in rows}
 
 
+def _parts(run: Column) -> Column:
+    """The run if an encoding fits it, or else its parts: ``start, end`` in the text, ``run`` (where it starts) and ``token``."""
+    start, end, token = (run.getField(f) for f in ("start", "end", "token"))
+
+    def placed(p: Column) -> Column:
+        a, b = p.getField("start"), p.getField("end")
+        return F.struct(
+            (start + a).alias("start"), (start + b).alias("end"), start.alias("run"), F.substring(token, a + 1, b - a).alias("token")
+        )
+
+    cut = F.array_distinct(F.concat(*[_located(token, pattern, 3) for pattern in PARTS]))
+    cut = F.filter(cut, lambda p: p.getField("end") - p.getField("start") >= LEAST)
+    whole = F.array(F.struct(start.alias("start"), end.alias("end"), start.alias("run"), token.alias("token")))
+    return F.when(token.rlike(WHOLE), whole).otherwise(F.transform(cut, placed))
+
+
+def _apart(parts: Column) -> Column:
+    """Of ``parts``, structs that begin with what orders them, those that no better one overlaps, as spans."""
+
+    def add(kept: Column, p: Column) -> Column:
+        start, end = p.getField("start"), p.getField("end")
+        span = F.array(F.struct(start.alias("start"), F.lit(KINDS.index("random")).alias("kind"), end.alias("end")))
+        over = F.exists(kept, lambda k: (k.getField("start") < end) & (start < k.getField("end")))
+        return F.when(over, kept).otherwise(F.concat(kept, span))
+
+    return F.aggregate(F.sort_array(parts), F.array().cast(SPANS), add)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, found``.
 
@@ -205,20 +243,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         start, end = t.getField("start"), t.getField("end")
         return F.struct(start.alias("start"), end.alias("end"), F.substring(F.col("text"), start + 1, end - start).alias("token"))
 
-    tokens = F.transform(F.filter("tokens", free), with_text)
+    tokens = F.filter(F.flatten(F.transform(F.transform("tokens", with_text), _parts)), free)
     rows = rows.select("doc_id", "base", tokens.alias("tokens")).withColumn("row", F.monotonically_increasing_id())
     rows = checkpointed(rows)  # which also fixes the row numbers
 
     likely = tested(rows.select("row", F.explode("tokens").alias("t")).select("row", "t.*")).filter(F.col("encoding").isNotNull())
     cell = F.least(F.floor(-F.log10("p_language") * CELLS), F.lit(LAST_POWER * CELLS)).cast("int")
     likely = checkpointed(likely.select(
-        "row", "start", "end", "encoding", _band(F.col("n")).alias("band"), cell.alias("cell"), "p_random"
+        "row", "run", "start", "end", "encoding", _band(F.col("n")).alias("band"), cell.alias("cell"), "p_random"
     ))
     accepted = F.lit(False)
     for (encoding, band), least in limits(likely).items():
         accepted = accepted | ((F.col("encoding") == encoding) & (F.col("band") == band) & (F.col("cell") >= least))
-    span = F.struct("start", F.lit(KINDS.index("random")).alias("kind"), "end")
-    added = likely.filter(accepted & (F.col("p_random") >= RANDOM_LEVEL)).groupBy("row").agg(F.collect_list(span).alias("added"))
+    part = F.struct((-F.col("cell")).alias("first"), (F.col("start") - F.col("end")).alias("then"), "start", "end")
+    added = likely.filter(accepted & (F.col("p_random") >= RANDOM_LEVEL)).groupBy("row", "run").agg(F.collect_list(part).alias("parts"))
+    added = added.groupBy("row").agg(F.flatten(F.collect_list(_apart(F.col("parts")))).alias("added"))
 
     rows = rows.select("row", "doc_id", "base").join(added, "row", "left")
     rows = rows.withColumn("all", F.sort_array(F.concat("base", F.coalesce("added", F.array().cast(SPANS)))))

@@ -295,6 +295,35 @@ def test_secret_scan(spark, docs, empty):
     assert secret_scan.scan(docs).count() == docs.count() and secret_scan.scan(empty).count() == 0
 
 
+def test_secrets_glued_to_names_and_paths(spark):
+    rng = random.Random(4)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    value = lambda n=40: "".join(rng.choice(alphabet) for _ in range(n))
+    forms = {
+        "env": "AWS_ACCESS_KEY={}", "plain": "export AUTH={}", "account": "né;AccountKey={}==;Endpoint=x", "hook": "io/hooks/T02-A/{}",
+        "both": "see /0123456789abcdef01234567/x_{}", "long": "DATABASE_CONNECTION_STRING_OF_PRODUCTION={} ok",
+    }
+    table, want = [], {}
+    for k, form in enumerate(forms.values()):
+        for i in range(20):
+            v = value()
+            text = form.format(v)
+            end = text.index(v) + len(v) + 2 * ("==" in form)
+            table.append((len(table), text))
+            want[len(table) - 1] = (text.index(v), end, k)
+    words = ["src/main_module/some-package/another_directory/file-name", "OPTION=longer/internationalization_texts", "=" * 30, "-/" * 20, "1" * 30 + "=" + "2" * 30]
+    table += [(len(table) + i, w) for i, w in enumerate(words)]
+    got = {r.doc_id: r.found for r in secret_scan.scan(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    exact, held = Counter(), Counter()
+    for i, (start, end, k) in want.items():
+        spans = [(s.start, s.end) for s in got[i] if s.kind == "random"]
+        assert len(spans) <= 1  # parts that overlap are reported once
+        exact[k] += spans == [(start, end)]
+        held[k] += any(a <= start and end <= b for a, b in spans)
+    assert all(exact[k] >= 18 for k in (0, 1, 2, 5)) and all(held[k] >= 18 for k in range(len(forms)))
+    assert not any(s.kind == "random" for i in range(len(want), len(table)) for s in got[i])
+
+
 def test_html_extraction(spark):
     pages = {
         1: "<body><nav><a href=/>Home</a></nav><article><h1>A &amp; B</h1><p><b>One<br>two<p>Three <a href=x>link</a>.<script>x('</p>')</script></article>"
