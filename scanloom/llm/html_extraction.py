@@ -72,8 +72,11 @@ class Node:
         self.siblings = 1
 
 
-def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
-    """The elements, parents first, and the page's text in order: (element, text), or text None where a block ends."""
+def parse(html: str, labelled: bool = False) -> tuple[list[Node], list[tuple[int, str | None]]]:
+    """The elements, parents first, and the page's text in order: (element, text), or text None where a block ends.
+
+    ``labelled``: whether the page says which elements are content (data-y).
+    """
     nodes, pieces = [Node("#page", -1, "", None)], []
     open_nodes, at, low = [0], 0, None
 
@@ -120,7 +123,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
             if key in ("class", "id", "role"):
                 given.append(value.lower())
-            elif key == "data-y":
+            elif labelled and key == "data-y" and value in ("0", "1"):
                 known = int(value)
         nodes.append(Node(name, open_nodes[-1], " ".join(given), known))
         open_nodes.append(len(nodes) - 1)
@@ -163,7 +166,7 @@ def train(pages: tuple[str, ...] = PAGES) -> dict:
     labels = [0.0] * LABELS
     pairs: dict[str, list[list[float]]] = defaultdict(lambda: [[0.0] * LABELS for _ in range(LABELS)])
     for page in pages:
-        nodes, pieces = parse(page)
+        nodes, pieces = parse(page, labelled=True)
         found = features(nodes, pieces)
         y = [OTHER] * len(nodes)
         for i, node in enumerate(nodes):

@@ -336,6 +336,13 @@ def test_html_extraction(spark):
     assert got[2] == got[3] == ("", 0) and got[4][0] == "plain <text" and got[5][0] == "x < y"
 
 
+def test_html_attributes_of_the_labels_are_any_text():
+    model = html_extraction.train()
+    for value in ("12.5", "top", "", "0", "1", "٣"):
+        html = f"<body><nav><a href=/>Home</a></nav><article data-y='{value}'><p>One two.</p></article></body>"
+        assert html_extraction.extract(html, model) == "One two."
+
+
 def test_html_extraction_on_pages(spark, sf):
     import html as h
 
