@@ -8,8 +8,9 @@ text is dropped if its element is other with a chance of one half or more. Child
 messages are weighted), so that many short comments don't outvote what their container says.
 
 Pages are read in Arrow batches; nothing is shuffled. Defined results: a null or empty page gives an empty text; unclosed
-and stray tags are tolerated; rows that repeat are read each by itself; other columns are ignored; an empty table gives
-an empty result. A line break is white space inside its block.
+and stray tags are tolerated (an icon, a button or the like without an end tag ends with its parent or where a block
+begins); rows that repeat are read each by itself; other columns are ignored; an empty table gives an empty result. A line
+break is white space inside its block.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ TAG = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"""([A-Za-z_:-][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-#: Elements whose contents are never text of the page.
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "object", "select", "button"}
+#: Elements whose contents are never text of the page: those that hold no elements, and those that do.
+RAW = {"script", "style", "title", "textarea", "iframe"}
+HIDDEN = {"noscript", "template", "svg", "object", "select", "button"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label",
@@ -53,6 +55,8 @@ CLOSE_P = {
     "address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header",
     "hr", "main", "nav", "ol", "pre", "section", "table", "ul",
 }
+#: What ends an open hidden element that has no end tag.
+BLOCKS = (CLOSE_P | ENDS.keys() | {"body"}) - {"option"}
 WORD = re.compile(r"[a-z]+")
 #: Labels. Text directly in a mixed element is kept.
 OTHER, CONTENT, MIXED = range(3)
@@ -64,68 +68,108 @@ WHOLE = ("#page", "html", "body")
 
 
 class Node:
-    __slots__ = ("name", "parent", "given", "links", "total", "known", "siblings")
+    __slots__ = ("name", "parent", "given", "links", "total", "known", "siblings", "hidden", "loose")
 
-    def __init__(self, name: str, parent: int, given: str, known: int | None):
-        self.name, self.parent, self.given, self.known = name, parent, given, known
+    def __init__(self, name: str, parent: int, given: str, known: int | None, hidden: bool = False, loose: bool = False):
+        self.name, self.parent, self.given, self.known, self.hidden, self.loose = name, parent, given, known, hidden, loose
         self.links = self.total = 0
         self.siblings = 1
 
 
+def _tags(html: str) -> list[tuple[int, int, str, bool, str]]:
+    """Start, end, name (empty for comments), whether an end tag, and attributes; ``RAW`` elements end before their end tags."""
+    found, at, low, drawings = [], 0, None, 0
+    while m := TAG.search(html, at):
+        at = m.end()
+        name, ends, given = (m[2] or m[5] or "").lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        empty = given.endswith("/")
+        if name == "svg" and not (empty and not ends):
+            drawings = max(0, drawings - 1) if ends else drawings + 1
+        # Only within a drawing can a title, say, be empty by its slash.
+        if name in RAW and not ends and not (empty and drawings):
+            low = low if low is not None else html.lower()
+            end = low.find(f"</{name}", at) if len(low) == len(html) else -1
+            if end < 0:
+                end = again.start() if (again := re.compile(f"</{name}", re.I).search(html, at)) else len(html)
+            at = end
+        found.append((m.start(), at, name, ends, given))
+    return found
+
+
+def _ended(tags: list[tuple[int, int, str, bool, str]]) -> set[int]:
+    """The hidden elements that have an end tag, by the places of their start tags."""
+    ended, opened = set(), defaultdict(list)
+    for start, _, name, ends, given in tags:
+        if name not in HIDDEN:
+            continue
+        if not ends and not given.endswith("/"):
+            opened[name].append(start)
+        elif ends and opened[name]:
+            ended.add(opened[name].pop())
+    return ended
+
+
 def parse(html: str, labelled: bool = False) -> tuple[list[Node], list[tuple[int, str | None]]]:
     """The elements, parents first, and the page's text in order: (element, text), or text None where a block ends.
 
-    ``labelled``: whether the page says which elements are content (data-y).
+    Text of hidden elements is left out. ``labelled``: whether the page says which elements are content (data-y).
     """
     nodes, pieces = [Node("#page", -1, "", None)], []
-    open_nodes, at, low = [0], 0, None
+    open_nodes, at = [0], 0
+    tags = _tags(html)
+    ended = _ended(tags)
 
     def text(end: int) -> None:
-        if end > at and (found := unescape(html[at:end])):
+        if end > at and not nodes[open_nodes[-1]].hidden and (found := unescape(html[at:end])):
             pieces.append((open_nodes[-1], found))
 
     def close(names: set[str], stop: set[str]) -> None:
         for i in range(len(open_nodes) - 1, 0, -1):
-            if nodes[open_nodes[i]].name in names:
+            node = nodes[open_nodes[i]]
+            if node.name in names:
                 del open_nodes[i:]
                 return
-            if nodes[open_nodes[i]].name in stop:
+            # What lies in a hidden element that has its end tag ends nothing outside.
+            if node.name in stop or (node.name in HIDDEN and not node.loose and not names & HIDDEN):
                 return
 
-    for m in iter(lambda: TAG.search(html, at), None):
-        text(m.start())
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+    def close_loose() -> None:
+        for i in range(len(open_nodes) - 1, 0, -1):
+            node = nodes[open_nodes[i]]
+            if not node.hidden or (node.name in HIDDEN and not node.loose):
+                return
+            if node.loose:
+                del open_nodes[i:]
+
+    for start, end, name, ends, attributes in tags:
+        text(start)
+        at = end
         if not name:
             continue
         if name not in INLINE:
             pieces.append((open_nodes[-1], " " if name in ("br", "wbr") else None))
-        if m[1] or m[4]:
+        if ends:
             close({name}, set() if name != "p" else CLOSE_P)
             continue
-        if name in VOID:
-            continue
-        if name in RAW:
-            low = low if low is not None else html.lower()
-            end = low.find(f"</{name}", at) if len(low) == len(html) else -1
-            if end < 0:
-                end = found.start() if (found := re.compile(f"</{name}", re.I).search(html, at)) else len(html)
-            at = end
+        if name in VOID or name in RAW:
             continue
+        if name in BLOCKS and nodes[open_nodes[-1]].hidden:
+            close_loose()
         if name in ENDS:
             close(*ENDS[name])
         elif name in CLOSE_P:
             close({"p"}, {"td", "th", "li", "div", "section", "article", "blockquote", "body", "a"})
-        if (m[3] or m[6] or "").endswith("/") and name not in INLINE and name not in CLOSE_P:
+        if attributes.endswith("/") and name not in INLINE and name not in CLOSE_P:
             continue
         given, known = [], None
-        for a in ATTRIBUTE.finditer(m[3] or m[6] or ""):
+        for a in ATTRIBUTE.finditer(attributes):
             key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
             if key in ("class", "id", "role"):
                 given.append(value.lower())
             elif labelled and key == "data-y" and value in ("0", "1"):
                 known = int(value)
-        nodes.append(Node(name, open_nodes[-1], " ".join(given), known))
+        hidden = name in HIDDEN or nodes[open_nodes[-1]].hidden
+        nodes.append(Node(name, open_nodes[-1], " ".join(given), known, hidden, name in HIDDEN and start not in ended))
         open_nodes.append(len(nodes) - 1)
     text(len(html))
     return nodes, pieces

@@ -343,6 +343,25 @@ def test_html_attributes_of_the_labels_are_any_text():
         assert html_extraction.extract(html, model) == "One two."
 
 
+def test_html_hidden_elements_without_end_tags():
+    model = html_extraction.train()
+    article = "<article><h1>Title</h1><p>One two.</p><p>Three.</p></article>"
+    for name in ("svg", "object", "select", "button", "noscript", "template"):
+        for hidden in (
+            f"<{name} class=x/>", f"<{name}>Menu", f"<{name}><span>Menu", f"<{name}>Menu</{name}>", f"<{name}><div>Menu</div></{name}>",
+            f"<{name}></nav></div>Menu</{name}>", f"<{name}>Menu <{name}>More</{name}>", f"<{name}><svg><title/><path/></svg>Menu</{name}>",
+        ):
+            for page in (
+                f"<body><header>{hidden}</header>{article}<footer><{name}>End</{name}></footer></body>",
+                f"<body>{hidden}{article}<footer>{hidden}</footer></body>", f"<body><div>{hidden}{article}</div></body>",
+            ):
+                assert html_extraction.extract(page, model) == "Title\nOne two.\nThree.", page
+    assert html_extraction.extract("<main><p>Text <button><div>Icon</div></button> more</p></main>", model) == "Text\nmore"
+    assert html_extraction.extract("<main><ul><li>One <button>copy<li>Two</ul></main>", model) == "One\nTwo"
+    for name in ("script", "style", "title", "textarea", "iframe"):
+        assert html_extraction.extract(f"<main><p>One</p><{name}><p>no</{name}><p>Two</p></main>", model) == "One\nTwo"
+
+
 def test_html_extraction_on_pages(spark, sf):
     import html as h
 
