@@ -30,14 +30,15 @@ MAX_REPEATED_PERCENT = 20
 MIN_GROUP = 40
 #: Share of a group that the estimate rests on, and the chi-squared quantile of that share for five dimensions.
 CORE_SHARE, CORE_QUANTILE = 0.75, 6.6257
-#: Squared distance beyond which a document is rejected; for five normal dimensions one in a million lies beyond 36.
-CUTOFF = 45.0
+#: Squared distance beyond which a document is rejected: the 0.999 quantile of chi-squared for five dimensions.
+CUTOFF = 20.515
 STEPS = 4
 #: Distances are told apart by cells of this relative width; so are the values of each dimension at the start.
 DISTANCE_CELLS, VALUE_CELLS = 16, 100
 
 #: The vector: its parts, and the least spread of each, so that a group of like documents rejects nothing close to them.
-#: Counts are shrunk towards usual values by pseudo-counts, as rates of short texts vary much.
+#: Counts are shrunk towards usual values by pseudo-counts, as rates of short texts vary much. Many groups have no symbols or
+#: repeats at all, so some least spread is needed; the README has what half, a fifth and less of these would reject.
 VECTOR = {
     "log_words": ("ln(1 + n_words)", 1.0),
     "word_length": ("(word_chars + 100) / (n_words + 20)", 0.4),

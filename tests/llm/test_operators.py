@@ -128,6 +128,18 @@ def test_quality_outliers(spark):
     assert all(got[i] for i in range(300)) and not any(got[i] for i in range(300, 305))
 
 
+def test_quality_outliers_with_few_symbols(spark):
+    rng = random.Random(9)
+    text = lambda n: ["abcdefghijklmnop"[: rng.randint(2, 9)] + str(rng.randrange(999)) for _ in range(n)]
+    clean, broken = [text(rng.randint(60, 300)) for _ in range(300)], [text(200) for _ in range(5)]
+    for t in broken:
+        for k in rng.sample(range(200), 85):
+            t[k] = f"{t[k][:1]}|{t[k][1:]}"
+    table = [(i, " ".join(t), "en", "s") for i, t in enumerate(clean + broken)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(table, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(got[i].kept for i in range(300)) >= 298 and not any(got[i].kept for i in range(300, 305))
+
+
 def test_near_dedup(docs, rows, empty):
     def shingles(t):
         w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words(t)]
