@@ -96,6 +96,15 @@ def _iban_end(found: str) -> int:
     return 0
 
 
+def _accounts(text: str) -> Iterator[tuple[str, int, int]]:
+    """Confirmed account numbers; after one the search goes on at its end, or else at the next word of what was proposed."""
+    at = 0
+    while m := IBAN.search(text, at):
+        if n := _iban_end(m[0]):
+            yield "iban", m.start(), m.start() + n
+        at = m.start() + (n or m[0].find(" ") + 1 or len(m[0]))
+
+
 def _social_ok(found: str) -> bool:
     area, group, serial = found.split("-")
     return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
@@ -121,7 +130,7 @@ def spans_of(text: str) -> list[tuple[str, int, int, float]]:
     spans = [(*s, score(s[0], text, s[1], s[2])) for s in found]
 
     taken = sorted((s, e) for _, s, e in found)
-    loose = [("iban", m.start(), m.start() + n) for m in IBAN.finditer(text) if (n := _iban_end(m[0]))]
+    loose = list(_accounts(text))
     loose += [("social", *m.span()) for m in SOCIAL.finditer(text) if _social_ok(m[0])]
     loose += [("local_phone", *m.span()) for m in LOCAL_PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 12]
     for kind, start, end in loose:

@@ -285,6 +285,14 @@ def test_personal_data(spark, docs, empty):
     assert personal_data.find_personal_data(docs).count() == docs.count() and personal_data.find_personal_data(empty).count() == 0
 
 
+def test_account_numbers_that_one_match_runs_into():
+    one, two = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    for text in (f"{one} {two}", f"{two} {one} {two}", f"XY12 CODE 7 {one}", f"AB99 {one} {two} EF56 {one}", f"{one.replace(' ', '')} {two}"):
+        want = [m.span() for m in re.finditer(f"{one}|{two}|{one.replace(' ', '')}", text)]
+        assert [s[1:3] for s in personal_data.spans_of(text) if s[0] == "iban"] == want
+    assert personal_data.spans_of("AB12" * 5 + " " + "AB12 " * 2000) == []
+
+
 def test_secret_scan(spark, docs, empty):
     rng = random.Random(2)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
