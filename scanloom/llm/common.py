@@ -14,6 +14,8 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 #: The tokenizer file of the queries, which must lie there on the driver and on every executor.
 TOKENIZER = os.environ.get("SCANLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+#: The same vocabulary as ranks.
+RANKS = os.environ.get("SCANLOOM_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Parts that an order is cut into so that no key's rows must be sorted by one task.
 ORDER_BUCKETS = 4096
 
@@ -22,6 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def split_pattern() -> str:
+    """The pattern that cuts a text before byte-level merges."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def text_of(column: str | Column) -> Column:
     """The text, null being empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
