@@ -9,7 +9,7 @@ of a million letters ends like a million words. Matches that are tokens themselv
 what is remembered changes no result.
 
 Everything happens inside a row, in Arrow batches: nothing is shuffled and no state is shared, so a lost executor costs its
-batches only. A task holds one batch of texts and their ids.
+batches only. A task holds one batch of texts, and ids of part of it.
 
 The rank file is read from a path on every executor. Letters, numbers and white space are those of Unicode 16, which
 ``tiktoken`` knows; later ones, in ``LATER_LETTERS``, count as other signs there and so here.
@@ -24,8 +24,10 @@ from __future__ import annotations
 
 import base64
 import sys
+from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import cloudpickle
@@ -36,9 +38,11 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, Stru
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Matches that a task remembers with their ids (these and as many earlier ones), and the longest it does that for.
-REMEMBERED, REMEMBERED_LENGTH = 1 << 18, 48
-#: A node of the tree has 16 children: most matches are short, and the least of 16 numbers is found as fast as that of two.
+REMEMBERED, REMEMBERED_LENGTH = 1 << 17, 48
+#: A node of the tree has 16 children: most matches are short, and the least of 16 numbers is found fast.
 FAN_BITS = 4
+#: Results leave a task in batches of about so many ids.
+BATCH_IDS = 500_000
 #: Larger than any rank.
 NO_RANK = 1 << 31
 #: Code points that became letters or numbers after Unicode 16, first and last of each run.
@@ -76,35 +80,32 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         rank = rank_of(piece[i : i + 2])
         if rank is not None:
             leaves[i] = rank << width | i
-    levels = [leaves, *_levels(leaves)]
-    top, root = len(levels), levels[-1]
+    levels = _levels(leaves)
+    depth, highest = len(levels), levels[-1]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while (least := root[0]) < never:
+    while (least := min(highest)) < never:
         first = least & ((1 << width) - 1)
         second = after[first]
         third = after[first] = after[second]
-        block = -1
         if third < n:  # the right token gives its pair to the merged one
             before[third] = first
             rank = rank_of(piece[first : after[third]])
             leaves[first] = never if rank is None else rank << width | first
-            leaves[second], block = never, second >> FAN_BITS
+            leaves[second] = never
         else:
             leaves[first] = never
-        changed = [first, second] if block >= 0 and block != first >> FAN_BITS else [first]
+        left = before[first]
         if first:
-            left = before[first]
             rank = rank_of(piece[left:third])
             leaves[left] = never if rank is None else rank << width | left
-            if left >> FAN_BITS != first >> FAN_BITS:
-                changed.append(left)
-        for at in changed:
-            for level in range(1, top):
-                at >>= FAN_BITS
-                least = min(levels[level - 1][at << FAN_BITS : (at + 1) << FAN_BITS])
-                if levels[level][at] == least:
-                    break
-                levels[level][at] = least
+        if depth > 1:
+            for at in {first >> FAN_BITS, min(second, n - 2) >> FAN_BITS, max(left, 0) >> FAN_BITS}:
+                for below, nodes in zip(levels, levels[1:]):
+                    least = min(below[at << FAN_BITS : (at + 1) << FAN_BITS])
+                    if nodes[at] == least:
+                        break
+                    nodes[at] = least
+                    at >>= FAN_BITS
     ids, start = [], 0
     while start < n:
         ids.append(ranks[piece[start : after[start]]])
@@ -112,13 +113,13 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-def _levels(below: list[int]) -> Iterator[list[int]]:
-    """The inner nodes, level by level, each the least of the 16 nodes below it, up to the root."""
-    while True:
-        below = [min(below[i : i + (1 << FAN_BITS)]) for i in range(0, len(below), 1 << FAN_BITS)]
-        yield below
-        if len(below) == 1:
-            return
+def _levels(leaves: list[int]) -> list[list[int]]:
+    """The tree by levels, from the leaves up: each node the least of 16 below it. The last level has 16 at most; their least is the root."""
+    levels = [leaves]
+    while len(levels[-1]) > 1 << FAN_BITS:
+        below = levels[-1]
+        levels.append([min(below[i : i + (1 << FAN_BITS)]) for i in range(0, len(below), 1 << FAN_BITS)])
+    return levels
 
 
 def encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[str], list[int]]:
@@ -163,8 +164,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
         of = None
         for batch in batches:
             of = of or encoder(read_ranks(ranks_path), pattern)
-            ids = pa.array([of(text.as_py() or "") for text in batch.column(batch.num_columns - 1)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], schema.names)
+            ids, ends, start = array("i"), array("i", [0]), 0
+            for i, text in enumerate(batch.column(batch.num_columns - 1)):
+                ids.extend(of(text.as_py() or ""))
+                ends.append(len(ids))
+                if len(ids) >= BATCH_IDS or i == batch.num_rows - 1:
+                    found = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(ids, np.int32)))
+                    same = [c.slice(start, i + 1 - start) for c in batch.columns[:-1]]
+                    yield pa.RecordBatch.from_arrays([*same, found], schema.names)
+                    ids, ends, start = array("i"), array("i", [0]), i + 1
 
     rows = docs.select(*[_named(x) for x in stays], _named(text_col).alias("__text"))
     return rows.mapInArrow(run, schema)
@@ -178,9 +186,16 @@ def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str
         tokens = None
         for batch in batches:
             tokens = tokens or {rank: token for token, rank in read_ranks(ranks_path).items()}
-            ids = batch.column(batch.num_columns - 1)
-            decoded = pa.array([b"".join([tokens.get(i, b"") for i in x.as_py() or []]) for x in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], decoded], schema.names)
+            decoded, start, held = [], 0, 0
+            for i, ids in enumerate(batch.column(batch.num_columns - 1)):
+                numbers = ids.values if ids.is_valid else pa.array([], pa.int32())
+                numbers = numbers.to_pylist() if numbers.null_count else numbers.to_numpy().tolist()
+                decoded.append(b"".join([tokens.get(n, b"") for n in numbers]))
+                held += len(numbers)
+                if held >= BATCH_IDS or i == batch.num_rows - 1:
+                    same = [c.slice(start, i + 1 - start) for c in batch.columns[:-1]]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(decoded, pa.binary())], schema.names)
+                    decoded, start, held = [], i + 1, 0
 
     return rows.select(*[_named(x) for x in stays], _named(ids_col).alias("__ids")).mapInArrow(run, schema)
 
