@@ -120,3 +120,6 @@ HISTORY_KEEP = 50
 TREND_SCANS = 7
 FIRST_FINDINGS = 20
 TOP_LANGUAGES = 8
+
+# Kinds of scan whose reports list the language rules' findings of all files before all other findings.
+CODE_FIRST_SCANS = ["zip", "repository"]

@@ -1,12 +1,14 @@
 """Dependency manifests: packages out of manifest texts, advisories for them, findings.
 
-Every manifest is read once: its packages are computed as one array inside the row, exploded, and joined (broadcast)
-to the advisories.
+Every manifest is read once: its packages are computed as one array inside the row, exploded, and joined to the
+advisories. Go and Rust manifests are searched for listed names. A name is not tried on every line: short texts are cut
+from the line and joined with those that the names are filed under, and only the names met that way are compared.
 """
 
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +24,9 @@ from scanloom.rules import read_pack
 from scanloom.sources.local import local_table
 
 ADVISORY_SCHEMA = "ecosystem string, package string, severity string, reason string, safe_version string"
-PACKAGE = "struct<package:string,name:string,operator:string,version:string,line_number:int>"
+PACKAGE = "struct<package:string,name:string,operator:string,version:string,line_number:int,filed_under:string,line:string>"
+#: Names of Go modules are filed under so many of their characters, the rarest; shorter ones under all.
+GRAM = 8
 
 # The shape of a requirement line, and the wording of dependency findings.
 REQUIREMENT = r"^([A-Za-z0-9_\-\.]+)\s*([><=!~]{0,2})\s*([A-Za-z0-9\._\-\*]*)"
@@ -50,9 +54,13 @@ def load_advisories(extra: Sequence[dict] = ()) -> list[dict]:
     return list(listed.values())
 
 
-def read_advisories(path: str) -> list[dict]:
-    with open(path, encoding="utf-8") as f:
-        return load_advisories(json.load(f)["advisories"])
+def read_advisories(path: str, spark: SparkSession | None = None) -> list[dict]:
+    """Packaged advisories and those of a JSON file, read from wherever Spark can read."""
+    spark = spark or SparkSession.active()
+    texts = spark.read.text(path, wholetext=True).collect()
+    if len(texts) != 1:
+        raise ValueError(f"{path} must be one JSON file")
+    return load_advisories(json.loads(texts[0][0])["advisories"])
 
 
 def advisories_df(spark: SparkSession, advisories: Sequence[dict] | None = None) -> DataFrame:
@@ -75,7 +83,8 @@ def _package(package: Column, name: Column, line_number: Column, operator: Colum
     nothing = F.lit(None).cast("string")
     return F.struct(
         package.alias("package"), name.alias("name"), (nothing if operator is None else operator).alias("operator"),
-        (nothing if version is None else version).alias("version"), line_number.cast("int").alias("line_number"))
+        (nothing if version is None else version).alias("version"), line_number.cast("int").alias("line_number"),
+        name.alias("filed_under"), nothing.alias("line"))
 
 
 def npm_entries(content: Column) -> Column:
@@ -120,15 +129,23 @@ def pypi_name(package: Column) -> Column:
     return F.replace(F.lower(package), F.lit("-"), F.lit("_"))
 
 
-def _named_in_lines(rows: Column, names: Sequence[str], hit) -> Column:
-    listed = F.array(*[F.lit(n) for n in names]).cast("array<string>")
-    return F.flatten(F.transform(rows, lambda row: F.transform(
-        F.filter(listed, lambda name: hit(row["line"], name)),
-        lambda name: _package(name, name, row["line_number"]))))
+def _looked_up(rows: Column, cut) -> Column:
+    """For each line the texts that ``cut`` takes from it, to look names up by."""
+    nothing = F.lit(None).cast("string")
+    return F.flatten(F.transform(rows, lambda row: F.transform(F.array_distinct(cut(row["line"])), lambda text: F.struct(
+        nothing.alias("package"), nothing.alias("name"), nothing.alias("operator"), nothing.alias("version"),
+        row["line_number"].cast("int").alias("line_number"), text.alias("filed_under"), row["line"].alias("line")))))
+
+
+def filed_names(names: Sequence[str]) -> list[tuple[str, str]]:
+    """Each name of a Go module with the part of it that it is filed under: the one that fewest names have."""
+    parts = {name: [name[i:i + GRAM] for i in range(max(len(name) - GRAM, 0) + 1)] for name in names}
+    held_by = Counter(part for of in parts.values() for part in set(of))
+    return [(min(of, key=lambda part: (held_by[part], part)), name) for name, of in parts.items()]
 
 
-def go_entries(content: Column, names: Sequence[str], block_aware: bool = False) -> Column:
-    """Listed modules named in ``require …`` lines or in lines with a tab inside.
+def go_entries(content: Column, lengths: Sequence[int], block_aware: bool = False) -> Column:
+    """What ``require …`` lines, or lines with a tab inside, hold of the given lengths, to look modules up by.
 
     Lines are stripped first, so entries of a ``require (`` block do not count unless ``block_aware``.
     """
@@ -140,31 +157,50 @@ def go_entries(content: Column, names: Sequence[str], block_aware: bool = False)
             wanted = wanted | F.rlike(line, F.lit(r"^\S+\s+v\d"))
         return (line != "") & ~F.startswith(line, F.lit("//")) & wanted
 
-    return _named_in_lines(F.filter(_numbered_lines(content), looked_at), names, F.contains)
+    def cut(line: Column) -> Column:
+        def of_length(n: int) -> Column:
+            starts = F.when(F.length(line) >= n, F.sequence(F.lit(1), F.length(line) - n + 1))
+            return F.coalesce(F.transform(starts, lambda i: F.substr(line, i, F.lit(n))), F.array().cast("array<string>"))
+        return F.concat(F.array().cast("array<string>"), *[of_length(n) for n in lengths])
+
+    return _looked_up(F.filter(_numbered_lines(content), looked_at), cut)
+
+
+def cargo_entries(content: Column, lengths: Sequence[int]) -> Column:
+    """The beginnings of lines, of any section, that are as long as some crate's name."""
 
+    def cut(line: Column) -> Column:
+        fit = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(line))
+        return F.transform(fit, lambda n: F.left(line, n))
 
-def cargo_entries(content: Column, names: Sequence[str]) -> Column:
-    """Listed crates that a line, of any section, begins with."""
-    return _named_in_lines(_numbered_lines(content), names, F.startswith)
+    return _looked_up(_numbered_lines(content), cut)
 
 
 def packages(manifests: DataFrame, keep: Sequence[str] = (), advisories: Sequence[dict] | None = None,
              block_aware: bool = False) -> DataFrame:
     """One row per package found in a manifest (path, content): for npm and PyPI all, for Go and Rust the listed."""
     advisories = load_advisories() if advisories is None else advisories
-    names = {eco: [a["package"] for a in advisories if a["ecosystem"] == eco] for eco in ("go", "cargo")}
+    names = {eco: list(dict.fromkeys(a["package"] for a in advisories if a["ecosystem"] == eco)) for eco in ("go", "cargo")}
+    filed = [("go", *x) for x in filed_names(names["go"])] + [("cargo", name, name) for name in names["cargo"]]
+    go_lengths = sorted({len(part) for eco, part, _ in filed if eco == "go"})
     eco, content = F.col("ecosystem"), F.col("content")
     entries = (
         F.when(eco == "npm", npm_entries(content))
         .when(eco == "pypi", pypi_entries(content))
-        .when(eco == "go", go_entries(content, names["go"], block_aware))
-        .when(eco == "cargo", cargo_entries(content, names["cargo"]))
+        .when(eco == "go", go_entries(content, go_lengths, block_aware))
+        .when(eco == "cargo", cargo_entries(content, sorted({len(n) for n in names["cargo"]})))
     )
     keep = [*keep, "path"]
     scanned = manifests.select(*keep, ecosystem_of(F.col("path")).alias("ecosystem"), "content").filter(eco.isNotNull())
     # explode_outer, as in rule matching: no filter that would compute the array twice.
     rows = scanned.select(*keep, "ecosystem", F.explode_outer(entries.cast(f"array<{PACKAGE}>")).alias("p"))
-    return rows.select(*keep, "ecosystem", "p.*").filter(F.col("package").isNotNull())
+    listed = local_table(manifests.sparkSession, [{"ecosystem": e, "filed_under": part, "listed": n} for e, part, n in filed],
+                         "ecosystem string, filed_under string, listed string")
+    rows = rows.select(*keep, "ecosystem", "p.*").join(listed, ["ecosystem", "filed_under"], "left")
+    # The part that a module is filed under may stand in a line without the rest of the name.
+    met = F.when(F.contains("line", "listed"), F.col("listed"))
+    rows = rows.withColumns({"package": F.coalesce("package", met), "name": F.coalesce("name", met)})
+    return rows.filter(F.col("package").isNotNull()).select(*keep, "ecosystem", "package", "name", "operator", "version", "line_number")
 
 
 # ---- issues and findings --------------------------------------------------------------------------------

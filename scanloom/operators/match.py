@@ -207,9 +207,10 @@ def _all_hits_column(snippets: bool) -> Column:
 
 
 def explode_hits(files: DataFrame, bundles: DataFrame, keep: list[str], multi_line: bool = True,
-                 snippets: bool = True, keep_clean: bool = False) -> DataFrame:
+                 snippets: bool = True, keep_clean: bool = False, once: list[str] = ()) -> DataFrame:
     """One row per hit, the text left behind; ``keep_clean`` adds one row without a rule for each clean file.
 
+    ``once`` names columns that stay with the first row of their file only and are null in the others.
     ``files`` has content and language. Where it has a boolean ``in_scan``, files without it get secret rules only.
     """
     known = F.col("language").isin([*LANGUAGE_KEYS])
@@ -217,16 +218,21 @@ def explode_hits(files: DataFrame, bundles: DataFrame, keep: list[str], multi_li
         known = known & F.col("in_scan")
     kinds = ("single_rules", "multi_rules") if multi_line else ("single_rules",)
     prepared = (
-        files.select(*keep, "content", F.when(known, F.col("language")).otherwise(UNKNOWN).alias("_key"))
+        files.select(*keep, *once, "content", F.when(known, F.col("language")).otherwise(UNKNOWN).alias("_key"))
         .withColumn("_folded", fold_case(F.col("content")))
         .withColumns({"_lines": lines_of(F.col("content")), "_folded_lines": lines_of(F.col("_folded"))})
         .join(F.broadcast(bundles.withColumnRenamed("language", "_key")), "_key")
         .withColumn("_possible", _possible(kinds))
     )
     hits = prepared.withColumn("_single", _single_column(snippets))
-    hits = hits.select(*keep, _all_hits_column(snippets) if multi_line else F.col("_single").alias("_hits"))
+    hits = hits.select(*keep, *once, _all_hits_column(snippets) if multi_line else F.col("_single").alias("_hits"))
     # An inner explode makes Spark filter on "array not empty" first, which would compute the array twice.
-    exploded = hits.select(*keep, F.explode_outer("_hits").alias("h")).select(*keep, "h.*")
+    if once:
+        exploded = hits.select(*keep, *once, F.posexplode_outer("_hits").alias("_at", "h"))
+        first = F.coalesce(F.col("_at"), F.lit(0)) == 0
+        exploded = exploded.select(*keep, *[F.when(first, F.col(c)).alias(c) for c in once], "h.*")
+    else:
+        exploded = hits.select(*keep, F.explode_outer("_hits").alias("h")).select(*keep, "h.*")
     return exploded if keep_clean else exploded.filter(F.col("rule_ord").isNotNull())
 
 

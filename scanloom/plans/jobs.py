@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from scanloom.fixed_values import MANIFEST_FILES
 from scanloom.functions.language import resolve_language
 from scanloom.operators import dependencies as dep
 from scanloom.operators import metrics as met
@@ -15,32 +15,56 @@ from scanloom.operators.findings import union_findings
 from scanloom.plans.scan import scan_code, with_language
 from scanloom.rules import Rule
 from scanloom.sources.checkpoint import checkpointed
-from scanloom.sources.files import decode_strict, decode_text, expand_archives, read_tree, with_selection
-from scanloom.sources.history import append_history
+from scanloom.sources.files import (
+    MAX_FILE_BYTES, decode_strict, decode_text, expand_archives, list_tree, read_tree, unread_files, with_selection,
+)
+from scanloom.sources.history import append_history, read_history
+from scanloom.streaming.incremental import append_findings
 
 
-def _all_passes(files: DataFrame, manifests: DataFrame, by: str, rules: Sequence[Rule] | None, multi_line: bool,
-                extensions: Sequence[str] | None, advisories: Sequence[dict] | None) -> DataFrame:
-    """Language rules on selected files, secret rules on all, advisories on manifests. Paths are those inside ``by``."""
-    texts = with_selection(files, extensions=extensions).withColumns(
-        {"path": F.col("inner_path"), "content": decode_text(F.col("raw"))}).drop("raw")
-    code = scan_code(with_language(texts), rules, keep=[by], multi_line=multi_line)
+def _dependencies(manifests: DataFrame, by: str, advisories: Sequence[dict] | None) -> DataFrame:
+    """Findings in manifests (``by``, inner_path, raw)."""
     strict = manifests.withColumns({"path": F.col("inner_path"), "content": decode_strict(F.col("raw"))})
-    issues = dep.dependency_issues(strict, [by], advisories)
-    return union_findings(code, dep.dependency_findings(issues, [by]))
+    return dep.dependency_findings(dep.dependency_issues(strict, [by], advisories), [by])
+
+
+def _texts(files: DataFrame, extensions: Sequence[str] | None) -> DataFrame:
+    """Files as texts with language and selection. Paths are those inside the repository or archive."""
+    named = with_selection(files, extensions=extensions).withColumns(
+        {"path": F.col("inner_path"), "content": decode_text(F.col("raw"))})
+    return with_language(named.drop("raw"))
 
 
 def scan_trees(spark: SparkSession, root: str, repo_depth: int = 1, rules: Sequence[Rule] | None = None,
                multi_line: bool = True, extensions: Sequence[str] | None = None,
-               advisories: Sequence[dict] | None = None) -> DataFrame:
-    """Findings in all repositories below ``root``, in one job."""
-    return _all_passes(read_tree(spark, root, repo_depth), read_tree(spark, root, repo_depth, only=dep.is_manifest),
-                       "repo", rules, multi_line, extensions, advisories)
+               advisories: Sequence[dict] | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """Findings in all repositories below ``root``: language rules on selected files, secret rules on all, advisories
+    on manifests.
+
+    A file that could not be read has one row without a rule, whose ``error`` says why. Findings are checkpointed,
+    since which files were read is known only from the scan itself.
+    """
+    files = _texts(read_tree(spark, root, repo_depth, max_bytes=max_bytes), extensions)
+    scanned = checkpointed(scan_code(files, rules, keep=["repo"], multi_line=multi_line, keep_clean=True))
+    seen = scanned.select("repo", F.col("file_path").alias("inner_path"))
+    unread = unread_files(list_tree(spark, root, repo_depth), seen, max_bytes).withColumnRenamed("inner_path", "file_path")
+    manifests = read_tree(spark, root, repo_depth, only=dep.is_manifest, max_bytes=max_bytes)
+    return union_findings(scanned.filter(F.col("rule_id").isNotNull()), _dependencies(manifests, "repo", advisories), unread)
+
+
+def scan_arriving_files(spark: SparkSession, root: str, output: str, checkpoint: str, repo_depth: int = 1,
+                        rules: Sequence[Rule] | None = None, multi_line: bool = True,
+                        extensions: Sequence[str] | None = None, advisories: Sequence[dict] | None = None) -> StreamingQuery:
+    """All three passes over files as they arrive below ``root``; each file is scanned once, manifests included."""
+    arriving = read_tree(spark, root, repo_depth, stream=True)
+    code = scan_code(_texts(arriving, extensions), rules, keep=["repo"], multi_line=multi_line)
+    issues = _dependencies(arriving.filter(dep.is_manifest(F.col("inner_path"))), "repo", advisories)
+    return append_findings(union_findings(code, issues), output, checkpoint)
 
 
 def tree_files_scanned(spark: SparkSession, root: str, repo_depth: int = 1) -> DataFrame:
     """Files per repository after pruning; only names are read."""
-    return met.files_scanned(with_selection(read_tree(spark, root, repo_depth).drop("raw")), ["repo"])
+    return met.files_scanned(with_selection(list_tree(spark, root, repo_depth)), ["repo"])
 
 
 def read_archives(spark: SparkSession, paths: str) -> DataFrame:
@@ -54,12 +78,16 @@ def scan_archive_files(spark: SparkSession, paths: str, rules: Sequence[Rule] |
 
     An archive that cannot be read has one row without a rule, whose ``error`` says why.
     """
-    archives = read_archives(spark, paths)
-    members = expand_archives(archives).filter(F.col("error").isNull())
-    manifests = expand_archives(archives, only=MANIFEST_FILES).filter(F.col("error").isNull())
-    found = _all_passes(members, manifests, "archive", rules, multi_line, extensions, advisories)
-    broken = expand_archives(archives, only=()).select("archive", "error").filter(F.col("error").isNotNull())
-    return found.unionByName(broken, allowMissingColumns=True)
+    # One pass: each archive is decompressed once, and the bytes of a manifest stay with the first row of its file.
+    members = expand_archives(read_archives(spark, paths))
+    manifest = F.when(dep.is_manifest(F.col("inner_path")), F.col("raw"))
+    files = _texts(members.withColumn("manifest", manifest), extensions)
+    rows = checkpointed(scan_code(files, rules, keep=["archive"], multi_line=multi_line, keep_clean=True, once=["manifest", "error"]).filter(
+        F.col("rule_id").isNotNull() | F.col("manifest").isNotNull() | F.col("error").isNotNull()))
+    manifests = rows.filter(F.col("manifest").isNotNull()).select(
+        "archive", F.col("file_path").alias("inner_path"), F.col("manifest").alias("raw"))
+    found = rows.filter(F.col("rule_id").isNotNull() | F.col("error").isNotNull()).drop("manifest")
+    return union_findings(found, _dependencies(manifests, "archive", advisories))
 
 
 def scan_texts(texts: DataFrame, keep: Sequence[str], rules: Sequence[Rule] | None = None,
@@ -74,17 +102,21 @@ def record_scans(findings: DataFrame, by: str, scan_type: str, at: Column, findi
                  scanned: DataFrame | None = None) -> DataFrame:
     """Write findings with the id and time of their scan, add one history entry per scan, and return the entries.
 
-    ``at`` is evaluated once. Scans named in ``scanned`` (``by``, files_scanned) are recorded even where nothing was found.
+    ``at`` is evaluated once; a job that may be tried again passes a fixed time. A scan is stored under its id (the time
+    and ``by``): findings replace those stored under the same id before, and the history entry comes last and only once,
+    so a job that is tried again, wherever it broke off, leaves what one run leaves. Scans named in ``scanned`` (``by``, files_scanned) are recorded even where nothing was found.
     """
     micros = findings.sparkSession.range(1).select(F.unix_micros(at.cast("timestamp"))).first()[0]
     at = F.timestamp_micros(F.lit(micros))
     scan_id = F.concat_ws("-", F.date_format(at, "yyyyMMddHHmmss"), by)
     findings = checkpointed(findings)
-    findings.withColumns({"scan_id": scan_id, "scan_ts": at}).write.mode("append").parquet(findings_path)
+    stored = findings.withColumns({"scan_id": scan_id, "scan_ts": at}).write.partitionBy("scan_id")
+    stored.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(findings_path)
     if scanned is not None:
         findings = findings.unionByName(scanned.select(by), allowMissingColumns=True)
     entries = met.scan_summary(findings, [by], scanned).withColumns({
         "id": scan_id, "scan_type": F.lit(scan_type),
         "source": F.col(by), "ts": at})
-    append_history(entries, history_path)
+    recorded = read_history(findings.sparkSession, history_path).select("id")
+    append_history(entries.join(recorded, "id", "left_anti"), history_path)
     return entries

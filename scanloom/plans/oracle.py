@@ -415,12 +415,17 @@ rule_language AS (
   SELECT DISTINCT language, id AS rule_id FROM (SELECT id, unnest(languages) AS key FROM catalog) JOIN keys USING (key))"""
 
 FIRST = fv.FIRST_FINDINGS
-NUMBERED = EVERYTHING + """, numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY repo ORDER BY file_path COLLATE C, pass_ord,
+def numbered(first: str) -> str:
+    return EVERYTHING + f""", numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {first}file_path COLLATE C, pass_ord,
       CASE WHEN pass_ord = 1 THEN rule_id END NULLS FIRST, line_number, rule_ord, pattern_idx, rule_id, rule_name) AS finding_number,
     count(*) OVER (PARTITION BY repo) AS findings_in_group
   FROM everything)
 """
+
+
+#: A repository's report has the language rules' findings of all files first.
+NUMBERED = numbered("CASE WHEN pass_ord > 1 THEN 1 ELSE 0 END, ")
 ADVISED = f"WITH {MANIFESTS} SELECT path, CAST(line_number AS INTEGER) AS line_number, package"
 
 ORACLE = {
@@ -428,11 +433,11 @@ ORACLE = {
     "scan_text_rows": findings(TEXTS) + f"SELECT id, language, {SHORT} FROM findings",
     "scan_pages": findings(PAGES) + f"SELECT page_id, language, {SHORT} FROM findings",
     "expand_archives": f"""WITH {CORPUS}
-SELECT 'a' || doc_id AS archive, inner_path, md5(content) AS content_md5, false AS failed FROM corpus WHERE doc_id % 50 <> 7
-UNION ALL SELECT 'a' || doc_id, 'NOTE', md5('packed' || chr(10)), false FROM corpus WHERE doc_id % 50 <> 7
-UNION ALL SELECT 'a' || doc_id, NULL, NULL, true FROM corpus WHERE doc_id % 50 = 7""",
+SELECT 'a' || doc_id AS archive, inner_path, md5(content) AS content_md5, false AS failed FROM corpus
+UNION ALL SELECT 'a' || doc_id, 'NOTE', md5('packed' || chr(10)), false FROM corpus
+UNION ALL SELECT 'b' || doc_id, NULL, NULL, true FROM corpus WHERE doc_id % 50 = 7""",
     "scan_archives": ON_CORPUS + f"""SELECT 'a' || doc_id AS archive, rule_id, severity, inner_path AS file_path, line_number,
-  line_end, match_type FROM findings WHERE doc_id % 50 <> 7""",
+  line_end, match_type FROM findings""",
     "scan_by_repo": ON_CORPUS + "SELECT repo, inner_path AS file_path, count(*) AS findings FROM findings GROUP BY ALL",
     "files_scanned_by_repo": f"WITH {FILES} SELECT repo, count(*) FILTER (WHERE listed) AS files_scanned FROM files GROUP BY repo",
     "rule_catalog": findings(f"{SELECTED}, {CATALOG}") + """
@@ -548,7 +553,8 @@ UNION ALL SELECT repo, 7, 'Security Grade', {grade('score')} FROM s""",
     "first_20": NUMBERED + f"""SELECT repo, finding_number, file_path, rule_id, line_number,
   greatest(findings_in_group - {FIRST}, 0) AS remaining FROM numbered WHERE finding_number <= {FIRST}""",
     "order_by_severity": ON_CORPUS + f"SELECT {SHORT} FROM findings ORDER BY {RANK}, file_path, line_number, rule_ord",
-    "canonical_order": EVERYTHING + f"SELECT repo, {SHORT} FROM everything ORDER BY repo, file_path, pass_ord, line_number, rule_ord",
+    "canonical_order": EVERYTHING + f"SELECT repo, {SHORT} FROM everything ORDER BY repo, pass_ord > 1, file_path, pass_ord, line_number, rule_ord",
+    "number_findings_of_files": numbered("") + "SELECT repo, file_path, rule_id, line_number, finding_number FROM numbered",
     "scan_trend": HISTORY + f"""SELECT id, source, critical, high, medium, low
 FROM (SELECT * FROM history ORDER BY ts DESC, id DESC LIMIT {fv.TREND_SCANS}) ORDER BY ts, id""",
     "all_findings": EVERYTHING + f"SELECT repo, language, {SHORT}, rule_name, category, matched_pattern FROM everything",
@@ -567,6 +573,7 @@ UNION ALL SELECT path, 'ws', '^9' FROM manifest WHERE manifest_id % 4 = 0""",
   CAST(line_number AS INTEGER) AS line_number, code_snippet, description, remediation, match_type, cwe, owasp FROM dep_findings""",
     "secret_findings": SECRETS + f"SELECT repo, {SHORT}, code_snippet FROM findings",
     "stream_scan": ON_CORPUS + f"SELECT repo, {SHORT} FROM findings",
+    "stream_all_findings": EVERYTHING + f"SELECT repo, language, {SHORT}, rule_name, category, matched_pattern FROM everything",
     "stream_daily_kpis": f"""SELECT strftime(ts, '%Y-%m-%d') AS day,
   count(*) FILTER (WHERE event_type IN ('error', 'signup', 'purchase', 'view')) AS total, {n_of('event_type', 'error')} AS critical,
   {n_of('event_type', 'signup')} AS high, {n_of('event_type', 'purchase')} AS medium, {n_of('event_type', 'view')} AS low

@@ -31,6 +31,7 @@ from scanloom.streaming import incremental
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+REPOSITORY, SINGLE_FILE = "repository", "single_file"
 AS_OF = "2024-02-01 12:00:00"
 GENERATED_AT = "2024-02-01T12:00:00"
 SEARCH_TEXT = "INJECTION"
@@ -114,13 +115,11 @@ def scan_pages(spark, sf):
 
 
 def _archives(spark: SparkSession, sf: str) -> DataFrame:
-    """Each corpus file packed with a note: as zip, tar.gz or, one in fifty, as bytes that are no archive."""
+    """Each corpus file packed with a note, as zip or tar.gz; and beside every fiftieth one, bytes that are no archive."""
 
     def pack(doc_id: int, name: str, data: bytes) -> bytes:
         out = io.BytesIO()
         members = [(name, data), ("NOTE", b"packed\r\n")]
-        if doc_id % 50 == 7:
-            return b"no archive"
         if doc_id % 2:
             with tarfile.open(fileobj=out, mode="w:gz") as tf:
                 for n, d in members:
@@ -135,8 +134,9 @@ def _archives(spark: SparkSession, sf: str) -> DataFrame:
 
     def pack_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            raw = [pack(d, n, c.encode()) for d, n, c in zip(b["doc_id"], b["inner_path"], b["content"])]
-            yield pd.DataFrame({"archive": [f"a{d}" for d in b["doc_id"]], "raw": raw})
+            rows = [(f"a{d}", pack(d, n, c.encode())) for d, n, c in zip(b["doc_id"], b["inner_path"], b["content"])]
+            rows += [(f"b{d}", b"no archive") for d in b["doc_id"] if d % 50 == 7]
+            yield pd.DataFrame(rows, columns=["archive", "raw"])
 
     files = derived.corpus_files(spark, sf)
     files = files.select("doc_id", relative_path(F.col("path"), F.col("repo")).alias("inner_path"), "content")
@@ -539,14 +539,14 @@ def dedupe_multi_line(spark, sf):
 @query
 def number_findings(spark, sf):
     found = everything(spark, sf, snippets=True)
-    return fnd.number_findings(found, "repo").select(
+    return fnd.number_findings(found, "repo", REPOSITORY).select(
         "repo", "file_path", "rule_id", "line_number", "code_snippet", "finding_number", "findings_in_group")
 
 
 @query
 def first_20(spark, sf):
     found = everything(spark, sf)
-    return fnd.first_findings(found, "repo").select(
+    return fnd.first_findings(found, "repo", scan_type=REPOSITORY).select(
         "repo", "finding_number", "file_path", "rule_id", "line_number", "remaining")
 
 
@@ -557,7 +557,14 @@ def order_by_severity(spark, sf):
 
 @query
 def canonical_order(spark, sf):
-    return fnd.canonical_order(everything(spark, sf), ["repo"]).select("repo", *SHORT)
+    return fnd.canonical_order(everything(spark, sf), ["repo"], REPOSITORY).select("repo", *SHORT)
+
+
+@query
+def number_findings_of_files(spark, sf):
+    """The same findings as a scan of single files reports them: file by file."""
+    return fnd.number_findings(everything(spark, sf), "repo", SINGLE_FILE).select(
+        "repo", "file_path", "rule_id", "line_number", "finding_number")
 
 
 @query
@@ -652,6 +659,21 @@ def stream_scan(spark, sf):
     return spark.read.parquet(output).select("repo", *SHORT)
 
 
+@query
+def stream_all_findings(spark, sf):
+    """Documents as code and manifests, each arriving as a stream, in one query with all three passes."""
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    documents = spark.readStream.schema(schema).parquet(f"{sf}/documents*.parquet").select("doc_id", "text")
+    files = derived.corpus_of(documents).withColumn("inner_path", relative_path(F.col("path"), F.col("repo")))
+    arriving = fresh_dir(spark, "stream-manifests")
+    manifests(spark, sf).write.parquet(arriving)
+    lists = spark.readStream.schema(spark.read.parquet(arriving).schema).parquet(arriving)
+    output, state = fresh_dir(spark, "stream-out"), fresh_dir(spark, "stream-state")
+    incremental.run_to_end(lambda: incremental.scan_stream(
+        with_language(with_selection(files)), output, state, manifests=lists, keep=["repo"]))
+    return spark.read.parquet(output).select("repo", "language", *SHORT, "rule_name", "category", "matched_pattern")
+
+
 @query
 def stream_daily_kpis(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
@@ -660,5 +682,5 @@ def stream_daily_kpis(spark, sf):
         ("error", "Critical"), ("signup", "High"), ("purchase", "Medium"), ("view", "Low"))])
     scans = events.select(F.col("ts").cast("timestamp").alias("ts"), severity.alias("severity"))
     output, state = fresh_dir(spark, "stream-out"), fresh_dir(spark, "stream-state")
-    incremental.run_to_end(lambda: incremental.keep_latest(incremental.daily_severity(scans), output, state))
-    return incremental.read_latest(spark, output, "day", ["total", "critical", "high", "medium", "low"])
+    incremental.run_to_end(lambda: incremental.count_daily(scans, output, state))
+    return incremental.read_daily(spark, output)

@@ -24,12 +24,13 @@ def with_language(files: DataFrame) -> DataFrame:
 
 def scan_code(files: DataFrame, rules: Sequence[Rule] | None = None, secrets: Sequence[Rule] | None = None,
               keep: Sequence[str] = (), multi_line: bool = True, snippets: bool = True,
-              keep_clean: bool = False) -> DataFrame:
+              keep_clean: bool = False, once: Sequence[str] = ()) -> DataFrame:
     """Language rules and secret rules over the same files, the text being read once.
 
     ``files`` has path, content, language and the ``keep`` columns. Where it also has a boolean ``in_scan``,
     language rules only run on files that have it set. ``keep_clean`` adds one row with a null rule_id for every
-    file without findings, so that totals need no join back to the files.
+    file without findings, so that totals need no join back to the files. Columns named in ``once`` come with the
+    first row of each file.
     """
     rules = builtin_rules() if rules is None else rules
     secrets = secret_rules() if secrets is None else secrets
@@ -37,11 +38,11 @@ def scan_code(files: DataFrame, rules: Sequence[Rule] | None = None, secrets: Se
     bundles = rule_bundles(files.sparkSession, rules, secrets, multi_line)
     passes = [(SAST_SINGLE, "single", rules), (SECRET, "single", secrets)]
     passes += [(SAST_MULTI, "multi", rules)] if multi_line else []
-    hits = explode_hits(files, bundles, keep, multi_line, snippets, keep_clean)
+    hits = explode_hits(files, bundles, keep, multi_line, snippets, keep_clean, list(once))
     found = with_rule(hits, passes, keep_clean).withColumnRenamed("path", "file_path")
     pattern = F.when(F.col("pass_ord") == SECRET, F.lit("")).otherwise(F.col("matched_pattern"))
     found = found.withColumns({"matched_pattern": pattern, "cwe": F.lit(""), "owasp": F.lit("")})
-    return found.select(*keep[:-2], "language", *FINDING_COLUMNS, *ORDER_COLUMNS)
+    return found.select(*keep[:-2], "language", *FINDING_COLUMNS, *ORDER_COLUMNS, *once)
 
 
 def scan_sast(files: DataFrame, rules: Sequence[Rule] | None = None, **options) -> DataFrame:

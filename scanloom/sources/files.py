@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tarfile
+import tempfile
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -18,6 +19,8 @@ from scanloom.functions.text import base_name, extension, newline_normalized
 REPLACEMENT, STAND_IN = "\ufffd", "\ufddf"
 
 ARCHIVE_BATCH_BYTES = 16 * 1024 * 1024
+#: The largest value that a column holds.
+MAX_FILE_BYTES = (1 << 31) - 1
 
 
 def decode_text(raw: Column) -> Column:
@@ -68,25 +71,50 @@ def with_selection(files: DataFrame, inner_path: str = "inner_path",
 TREE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
+def _inside_tree(spark: SparkSession, files: DataFrame, root: str, repo_depth: int) -> tuple[Column, Column, Column]:
+    """Repository, path below ``root`` and path inside the repository of each file."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
+    url = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    path = F.regexp_extract(url, r"(?s)^[a-z0-9+.-]+:(?://[^/]*)?\Q" + base + r"\E/(.*)\z", 1)
+    inner = F.regexp_extract(path, r"(?s)^(?:[^/]*/){%d}(.*)\z" % repo_depth, 1)
+    repo = F.regexp_extract(path, r"(?s)^((?:[^/]*/){%d})" % repo_depth, 1)
+    return F.rtrim(repo, F.lit("/")), path, inner
+
+
 def read_tree(spark: SparkSession, root: str, repo_depth: int = 1, only: Callable[[Column], Column] | None = None,
-              stream: bool = False) -> DataFrame:
+              stream: bool = False, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """All files below ``root``, or as a stream those that arrive there: repo, path, inner_path, raw.
 
     The first ``repo_depth`` folders name the repository. ``only`` is a condition on the path inside it; it is put
-    on file metadata, so files it leaves out are dropped while files are listed and never read.
+    on file metadata, so files it leaves out are dropped while files are listed and never read. Files that cannot be
+    read, or are larger than one value may be, are left out; ``unread_files`` names them.
     """
     reader = spark.readStream.schema(TREE_SCHEMA) if stream else spark.read
-    files = reader.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
-    url = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    path = F.regexp_extract(url, r"(?s)^[a-z0-9+.-]+:(?://[^/]*)?\Q" + base + r"\E/(.*)\z", 1)
-    inner = F.regexp_extract(path, r"(?s)^(?:[^/]*/){%d}(.*)\z" % repo_depth, 1)
+    reader = reader.format("binaryFile").option("recursiveFileLookup", True)
+    files = reader.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(root)
+    files = files.filter(F.col("length") <= max_bytes)
+    repo, path, inner = _inside_tree(spark, files, root, repo_depth)
     if only is not None:
         files = files.filter(only(inner))
-    repo = F.regexp_extract(path, r"(?s)^((?:[^/]*/){%d})" % repo_depth, 1)
-    return files.select(F.rtrim(repo, F.lit("/")).alias("repo"), path.alias("path"), inner.alias("inner_path"),
-                        F.col("content").alias("raw"))
+    return files.select(repo.alias("repo"), path.alias("path"), inner.alias("inner_path"), F.col("content").alias("raw"))
+
+
+def list_tree(spark: SparkSession, root: str, repo_depth: int = 1) -> DataFrame:
+    """All files below ``root`` by metadata alone, none being opened: repo, path, inner_path, length."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    repo, path, inner = _inside_tree(spark, files, root, repo_depth)
+    return files.select(repo.alias("repo"), path.alias("path"), inner.alias("inner_path"), "length")
+
+
+def unread_files(listed: DataFrame, seen: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """Of the listed files those that a scan has not ``seen`` (repo, inner_path), each with the reason as ``error``.
+
+    ``seen`` must come from what was read, not from another listing. Only names are shuffled.
+    """
+    missed = listed.join(seen.select("repo", "inner_path").distinct(), ["repo", "inner_path"], "left_anti")
+    reason = F.when(F.col("length") > max_bytes, F.concat(F.lit("larger than "), F.lit(str(max_bytes)), F.lit(" bytes")))
+    return missed.select("repo", "inner_path", F.coalesce(reason, F.lit("could not be read")).alias("error"))
 
 
 def _expander(names: frozenset[str] | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -113,22 +141,35 @@ def _expander(names: frozenset[str] | None) -> Callable[[Iterator[pd.DataFrame]]
                 if member.isfile() and wanted(member.name):
                     yield member.name, tf.extractfile(member).read()
 
+    def spooled(raw: bytes, kept) -> list[tuple[str, int]]:
+        """Reads the archive through once, its wanted members one after another into ``kept``: their names and sizes."""
+        listed = []
+        for inner, data in members(raw, lambda path: True):
+            if wanted(inner):
+                kept.write(data)
+                listed.append((inner.removeprefix("./"), len(data)))
+        kept.seek(0)
+        return listed
+
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["archive", "inner_path", "raw", "error"]
         rows, held = [], 0
         for batch in batches:
             for archive, raw in zip(batch["archive"], batch["raw"]):
-                try:
-                    for _ in members(raw, lambda path: True):
-                        pass  # an archive broken anywhere has no members at all, so read it through first
-                    for inner, data in members(raw, wanted):
-                        rows.append((archive, inner.removeprefix("./"), data, None))
-                        held += len(data)
+                # An archive broken anywhere has no members at all, so they wait until it has been read to its end:
+                # small ones in memory, others in a file of this task, which goes with it.
+                with tempfile.SpooledTemporaryFile(max_size=ARCHIVE_BATCH_BYTES) as kept:
+                    try:
+                        listed = spooled(raw, kept)
+                    except Exception as e:  # one broken archive must not stop the others
+                        rows.append((archive, None, None, str(e)))
+                        continue
+                    for inner, size in listed:
+                        rows.append((archive, inner, kept.read(size), None))
+                        held += size
                         if held > ARCHIVE_BATCH_BYTES:
                             yield pd.DataFrame(rows, columns=columns)
                             rows, held = [], 0
-                except Exception as e:  # one broken archive must not stop the others
-                    rows.append((archive, None, None, str(e)))
         if rows:
             yield pd.DataFrame(rows, columns=columns)
 
@@ -138,7 +179,7 @@ def _expander(names: frozenset[str] | None) -> Callable[[Iterator[pd.DataFrame]]
 def expand_archives(archives: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
     """Members of zip and tar archives (archive STRING, raw BINARY) as archive, inner_path, raw, error.
 
-    Members leave in batches of bounded size. An archive that cannot be read gives one row with its error.
+    Each archive is decompressed once. Members leave in batches of bounded size. An archive that cannot be read gives one row with its error.
     ``only`` restricts members to these base names (lower case).
     """
     names = None if only is None else frozenset(only)

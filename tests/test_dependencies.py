@@ -1,3 +1,5 @@
+import random
+
 import json
 
 import pytest
@@ -76,8 +78,8 @@ def test_requirements(spark):
 def test_go(spark):
     text = "\n".join(["module x", "require golang.org/x/net v0.1", "require (", "\tgolang.org/x/crypto v1", ")",
                       "// golang.org/x/net\ty", "replace golang.org/x/net\t=> golang.org/x/crypto"])
-    assert [(p[0], p[3]) for p in packages(spark, "go.mod", text)] == [
-        ("golang.org/x/net", 2), ("golang.org/x/crypto", 7), ("golang.org/x/net", 7)]
+    assert sorted((p[3], p[0]) for p in packages(spark, "go.mod", text)) == [
+        (2, "golang.org/x/net"), (7, "golang.org/x/crypto"), (7, "golang.org/x/net")]
     assert ("golang.org/x/crypto", 4) in [(p[0], p[3]) for p in packages(spark, "go.mod", text, block_aware=True)]
     assert issues(spark, "go.mod", "require github.com/dgrijalva/jwt-go v1") == [
         ("DEP-GO-JWT-GO", "github.com/dgrijalva/jwt-go", None, "Critical", 1)]
@@ -116,3 +118,30 @@ def test_extra_advisories(spark):
     extra = dep.load_advisories([{"ecosystem": "go", "package": "example.org/m", "severity": "High", "reason": "r"}])
     assert issues(spark, "go.mod", "require example.org/m v1", advisories=extra) == [
         ("DEP-GO-M", "example.org/m", None, "High", 1)]
+
+
+def test_fifty_thousand_names_are_looked_up(spark):
+    """Every listed module in a line, and every crate that a line begins with, as a plain search finds them."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9)))
+    go = sorted({f"github.com/{word()}/{word()}" for _ in range(50_000)} | {"x/y", "a", "github.com/", "é漢/mod"})
+    cargo = sorted({word() for _ in range(3_000)})
+    listed = [{"ecosystem": eco, "package": n, "severity": "High", "reason": "r"} for eco, names in (("go", go), ("cargo", cargo)) for n in names]
+    mod = [f"require {n}{rng.choice(['', '/v2', 'x'])} v1" for n in rng.sample(go, 30)] + ["require nothing", "é漢/mod\tx", "// github.com/a/b\tc", ""]
+    toml = [f'{rng.choice(["", "  "])}{rng.choice(cargo)}{word()} = "1"' for _ in range(30)] + ["", "#", "[x]"]
+    files = [("m/go.mod", "\n".join(mod)), ("m/Cargo.toml", "\n".join(toml))]
+    got = dep.packages(spark.createDataFrame(files, "path string, content string"), advisories=listed)
+    want = []
+    for i, line in enumerate(mod, 1):
+        line = line.strip()
+        if not line.startswith("//") and (line.startswith("require") or "\t" in line):
+            want += [("m/go.mod", n, i) for n in go if n in line]
+    for i, line in enumerate(toml, 1):
+        want += [("m/Cargo.toml", n, i) for n in cargo if line.strip().startswith(n)]
+    assert sorted(map(tuple, got.select("path", "name", "line_number").collect())) == sorted(want) and len(want) > 60
+
+
+def test_names_are_filed_under_their_rarest_part():
+    filed = {name: part for part, name in dep.filed_names(["github.com/a/b", "github.com/a/cdefghij", "x/y"])}
+    assert filed["x/y"] == "x/y" and not filed["github.com/a/cdefghij"].startswith("github")
+    assert all(part in name for name, part in filed.items())

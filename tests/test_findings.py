@@ -65,6 +65,35 @@ def test_report_order(spark):
         (0, "Z", 2), (0, "Z", 7), (1, "A", 9), (1, "B", 1), (2, "S", 2), (3, "D", 1)]
 
 
+@pytest.mark.parametrize("kind, want", [
+    ("repository", [(0, "a"), (1, "a"), (0, "b"), (2, "a"), (3, "a"), (2, "b")]),
+    ("zip", [(0, "a"), (1, "a"), (0, "b"), (2, "a"), (3, "a"), (2, "b")]),
+    ("multi_file", [(0, "a"), (1, "a"), (2, "a"), (3, "a"), (0, "b"), (2, "b")]),
+])
+def test_order_by_kind_of_scan(spark, kind, want):
+    specs = [("r", f, p, "R", 1, "Low") for f, p in [("b", 2), ("a", 3), ("b", 0), ("a", 2), ("a", 1), ("a", 0)]]
+    df = rows(spark, specs)
+    assert [(r.pass_ord, r.file_path) for r in fnd.canonical_order(df, scan_type=kind).collect()] == want
+    numbered = fnd.number_findings(df, "repo", kind).collect()
+    assert [(r.pass_ord, r.file_path) for r in sorted(numbered, key=lambda r: r.finding_number)] == want
+    first = fnd.first_findings(df, "repo", 4, kind).collect()
+    assert [(r.pass_ord, r.file_path, r.remaining) for r in sorted(first, key=lambda r: r.finding_number)] == [(*w, 2) for w in want[:4]]
+
+
+def test_numbering_of_a_group_without_a_name(spark):
+    df = rows(spark, [(None, "f", 0, "R", i, "Low") for i in range(3)] + [("a", "f", 0, "R", 1, "Low")])
+    assert sorted((r.repo or "", r.finding_number, r.findings_in_group) for r in fnd.number_findings(df, "repo").collect()) == [
+        ("", 1, 3), ("", 2, 3), ("", 3, 3), ("a", 1, 1)]
+    assert fnd.first_findings(df, "repo", 2).count() == 3
+
+
+def test_only_keys_are_ranked(spark):
+    """What is shuffled, sorted and kept by rank must not carry the findings' texts."""
+    df = fnd._with_row_id(rows(spark, [("a", "f", 0, "R", 1, "Low")]))
+    keys, order = fnd._keys(df, "repo", "zip")
+    assert keys.columns == ["_group", *order] and len(order) == len(fnd.report_order("zip")) + 1
+
+
 def test_order_by_severity(spark):
     specs = [("a", "f", 0, "R", i, s) for i, s in enumerate(["Low", "odd", "Critical", "Medium", "High", "Critical"])]
     got = fnd.order_by_severity(rows(spark, specs)).collect()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from scanloom.plans import jobs
+from scanloom.plans.scan import scan_code, with_language
 from scanloom.sources.history import read_history
 
 FILES = {
@@ -50,6 +51,40 @@ def test_trees_are_scanned_and_recorded(spark, tmp_path):
         "20240101000000-one": "C", "20240101000000-two": "A+", "20240101000000-three": "A+"}
 
 
+def test_recording_a_scan_again_changes_nothing(spark, tmp_path):
+    store, history = str(tmp_path / "findings"), str(tmp_path / "history")
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    texts = spark.createDataFrame([("one", "a.py", "except:\n"), ("two", "b.py", "except:\nexcept:")], "repo string, path string, content string")
+    found = scan_code(with_language(texts), keep=["repo"])
+
+    def record(rows, when=at):
+        jobs.record_scans(rows, "repo", "repository", when, store, history)
+        stored = spark.read.parquet(store).groupBy("scan_id").count()
+        return sorted(map(tuple, stored.collect())), sorted((r.id, r.total) for r in read_history(spark, history).collect())
+
+    once = record(found)
+    assert once == ([("20240101000000-one", 1), ("20240101000000-two", 2)],) * 2
+    assert record(found) == once
+    # Another scan does not disturb those stored.
+    later = record(found.filter("repo = 'one'"), F.lit("2024-01-02 00:00:00").cast("timestamp"))
+    assert later == tuple(sorted([*part, ("20240102000000-one", 1)]) for part in once)
+    assert spark.read.parquet(store).count() == 4 and read_history(spark, history).count() == 3
+
+
+def test_files_that_cannot_be_read_are_named(spark, tmp_path):
+    for name, text in {"r/a.py": "except:\n", "r/bad.py": "except:\n", "r/big.py": "except:\n" * 500, "s/z.py": "except:\n"}.items():
+        path = tmp_path / "trees" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+    # A checksum beside the file that it does not have: reading it fails, listing it does not.
+    (tmp_path / "trees/r/.bad.py.crc").write_bytes(b"crc\x00\x00\x00\x02\x00\x01\x02\x03\x04")
+    rows = jobs.scan_trees(spark, str(tmp_path / "trees"), max_bytes=2000).collect()
+    assert sorted((r.repo, r.file_path, r.rule_id, r.error) for r in rows if r.error is None) == [
+        ("r", "a.py", "BP-PY-001", None), ("s", "z.py", "BP-PY-001", None)]
+    assert sorted((r.repo, r.file_path, r.rule_id, r.error) for r in rows if r.error is not None) == [
+        ("r", "bad.py", None, "could not be read"), ("r", "big.py", None, "larger than 2000 bytes")]
+
+
 def test_archives_are_scanned(spark, tmp_path):
     folder = tmp_path / "archives"
     folder.mkdir()
@@ -87,4 +122,4 @@ print("ROWS", QUERIES["expand_archives"](spark, {SMALL!r}).count())
 """)
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
-    assert "ROWS 396" in done.stdout, done.stderr[-2000:]
+    assert "ROWS 404" in done.stdout, done.stderr[-2000:]
