@@ -6,7 +6,8 @@ national form are proposed more loosely; words nearby raise or lower their score
 ``MIN_SCORE`` and overlap no span reported before are added. Offsets count code points, ends are exclusive.
 
 Texts are scanned in Arrow batches within their partitions; nothing is shuffled. Defined results: a null or empty text
-has no spans; rows that repeat are scanned each by itself; other columns are ignored; an empty table gives an empty
+has no spans; very long texts are scanned whole, in time that grows with their length; of added spans that overlap, the
+first by kind and start stays; rows that repeat are scanned each by itself; other columns are ignored; an empty table gives an empty
 result.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 import sys
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,8 +27,12 @@ from pyspark.sql import functions as F
 # Executors need not have this package: its functions travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# A mail address is found by its @, so that a long run of letters before one is read once and not from each letter; a
+# network address begins where a run of digits does, which changes no match: they end where runs end, and from inside a
+# run nothing matches that does not match from its start.
+MAIL_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+MAIL_HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
@@ -58,6 +64,45 @@ SCHEMA = (
 )
 
 
+def mails(text: str) -> Iterator[tuple[str, int, int]]:
+    """Leftmost non-overlapping mail addresses."""
+    end = 0
+    at = text.find("@")
+    while at >= 0:
+        following = at + 1
+        if host := MAIL_HOST.match(text, at + 1):
+            start = at
+            while start > end and text[start - 1] in MAIL_NAME:
+                start -= 1
+            if start < at:
+                end = following = host.end()
+                yield "email", start, end
+        at = text.find("@", following)
+
+
+class Taken:
+    """Spans reported so far, as disjoint stretches of the text in order."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def add(self, start: int, end: int) -> bool:
+        """Takes the span if it overlaps none."""
+        at = bisect_right(self.starts, start)
+        if (at and self.ends[at - 1] > start) or (at < len(self.starts) and self.starts[at] < end):
+            return False
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+        return True
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -120,8 +165,7 @@ def score(kind: str, text: str, start: int, end: int) -> float:
 def spans_of(text: str) -> list[tuple[str, int, int, float]]:
     """All spans, base kinds in their order and then the others, each by start."""
     found: list[tuple[str, int, int]] = []
-    if "@" in text:
-        found += [("email", *m.span()) for m in EMAIL.finditer(text)]
+    found += mails(text)
     if "." in text:
         found += [("ip", *m.span()) for m in IP.finditer(text) if _ip_ok(m[0])]
     found += [("card", *m.span()) for m in CARD.finditer(text) if m.end() - m.start() >= 16 and _card_ok(m[0])]
@@ -129,15 +173,14 @@ def spans_of(text: str) -> list[tuple[str, int, int, float]]:
         found += [("phone", *m.span()) for m in PHONE.finditer(text) if _phone_ok(m[0])]
     spans = [(*s, score(s[0], text, s[1], s[2])) for s in found]
 
-    taken = sorted((s, e) for _, s, e in found)
+    taken = Taken([(s, e) for _, s, e in found])
     loose = list(_accounts(text))
     loose += [("social", *m.span()) for m in SOCIAL.finditer(text) if _social_ok(m[0])]
     loose += [("local_phone", *m.span()) for m in LOCAL_PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 12]
     for kind, start, end in loose:
         points = score(kind, text, start, end)
-        if points >= MIN_SCORE and not any(s < end and start < e for s, e in taken):
+        if points >= MIN_SCORE and taken.add(start, end):
             spans.append((kind, start, end, points))
-            taken.append((start, end))
     return sorted(spans, key=lambda s: (ORDER[s[0]], s[1]))
 
 
