@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm.common import release, text_of
-from scanloom.llm.wordhash import M1, WordHashes, mixed, windows, words_of
+from scanloom.llm.wordhash import M1, M3, WordHashes, mixed, words_of
 from scanloom.sources.checkpoint import checkpointed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -52,12 +52,34 @@ def anchor_positions(words: int, length: int) -> np.ndarray:
 
 def candidates(anchors: np.ndarray, words: int, length: int) -> np.ndarray:
     """Starts of the windows that hold an anchor of ``anchors`` at a place that two equal windows may share."""
+    anchors = anchors[anchors <= words - (length - PERIOD + 1)]  # others belong to a text that shares the short key
     marks = np.zeros(words + 2, np.int32)
     np.add.at(marks, np.maximum(anchors - (PERIOD - 1), 0), 1)
     np.add.at(marks, anchors + 1, -1)
     return np.flatnonzero(np.cumsum(marks)[: max(0, words - length + 1)] > 0)
 
 
+class Runs:
+    """Hashes of runs of words of any length, from sums of the words' hashes times powers of one odd number.
+
+    The sums are taken once for a text; a run is a difference of two of them, divided by the power that it begins with.
+    """
+
+    def __init__(self, base: np.uint64):
+        self.base = base
+        self.back = np.uint64(pow(int(base), -1, 1 << 64))
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def of(self, hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+        if len(self.powers) < len(hashes):
+            n = 2 * len(hashes)
+            self.powers, self.inverse = (
+                np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, x)])) for x in (self.base, self.back))
+        sums = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * self.powers[: len(hashes)], out=sums[1:])
+        return mixed((sums[starts + size] - sums[starts]) * self.inverse[starts])
+
+
 def covered(starts: np.ndarray, words: int, length: int) -> np.ndarray:
     """Which words lie under the windows that begin at ``starts``."""
     marks = np.zeros(words + 1, np.int32)
@@ -72,7 +94,7 @@ def _digest(words: list[bytes]) -> str:
 
 def _anchors(length: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, size = WordHashes(), length - PERIOD + 1
+        hashes, runs, size = WordHashes(), Runs(M1), length - PERIOD + 1
         for batch in batches:
             keys, found, places = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -80,7 +102,7 @@ def _anchors(length: int):
                 at = anchor_positions(len(words), length)
                 if len(at):
                     keys.append(np.full(len(at), key, np.int64))
-                    found.append(windows(hashes.of(words), size)[at].view(np.int64))
+                    found.append(runs.of(hashes.of(words), at, size).view(np.int64))
                     places.append(at)
             if keys:
                 yield pa.RecordBatch.from_arrays(
@@ -114,16 +136,16 @@ def _words(blob: pa.Scalar, size: pa.Scalar) -> list[bytes]:
 
 def _windows(length: int):
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, runs, others = WordHashes(), Runs(M1), Runs(M3)
         for batch in batches:
             for key, blob, size, copies, places in zip(*batch.columns, strict=True):
                 words = _words(blob, size)
                 own = hashes.of(words)
                 starts = candidates(np.asarray(places.as_py(), np.int64), len(words), length)
                 if len(starts):
-                    # Two hashes of different mixtures of the words, 128 bits together.
-                    one = windows(own, length)[starts].view(np.int64)
-                    two = windows(mixed(own ^ M1), length)[starts].view(np.int64)
+                    # Two hashes of different mixtures of the words by different powers, 128 bits together.
+                    one = runs.of(own, starts, length).view(np.int64)
+                    two = others.of(mixed(own ^ M1), starts, length).view(np.int64)
                     n = len(starts)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([key.as_py()] * n, pa.binary()), pa.array(one), pa.array(two), pa.array(starts.astype(np.int32)),
@@ -160,7 +182,8 @@ def _with_candidates(texts: DataFrame, length: int) -> DataFrame:
 
     packed = texts.mapInArrow(_packed, "key binary, blob binary, size long")
     packed = packed.groupBy("key").agg(F.first("blob").alias("blob"), F.first("size").alias("size"), F.count(F.lit(1)).alias("copies"))
-    # Texts that share the short key only get each other's places, which makes candidates but no results.
+    # Texts that share the short key only get each other's places, which makes candidates but no results:
+    # places beyond a text are left out, and windows are compared by all their words.
     return checkpointed(packed.select("*", short_key).join(found, "short_key").select("key", "blob", "size", "copies", "places"))
 
 

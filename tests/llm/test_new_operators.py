@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import tiktoken
 
-from scanloom.llm import byte_bpe, divergence, hard_negatives
+from scanloom.llm import byte_bpe, divergence, hard_negatives, personal_data, substring_dedup
 from scanloom.llm.common import RANKS, split_pattern
 
 SCHEMA = "doc_id long, text string, lang string, source string, n long, item string, ids string, decoded string, term string"
@@ -201,3 +201,67 @@ def test_reading_stops_early():
         if most is not None and most < scores.max():
             break
     assert seen < 100
+
+
+def test_mail_and_network_addresses_as_the_patterns_find_them():
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = random.Random(8)
+    for pool in ("ab.@-+é ", "019.x ", "a1.@"):
+        for _ in range(6000):
+            text = "".join(rng.choice(pool) for _ in range(rng.randrange(1, 30)))
+            found = personal_data.spans_of(text)
+            assert [s[1:3] for s in found if s[0] == "email"] == [m.span() for m in email.finditer(text)], text
+            assert [s[1:3] for s in found if s[0] == "ip"] == [m.span() for m in ip.finditer(text) if personal_data._ip_ok(m[0])], text
+
+
+@pytest.mark.parametrize("text", [
+    "x" * 3_000_000 + " @", "x" * 3_000_000 + "@", "1" * 3_000_000 + ".", "1." * 1_000_000, "a@" * 1_000_000, "+49 30 1234567, " * 60_000,
+    "call 555-123-4567 " * 60_000,
+], ids=["letters", "at the end", "digits", "dots", "ats", "phones", "local phones"])
+def test_personal_data_in_one_long_text_takes_linear_time(text):
+    start = time.monotonic()
+    personal_data.spans_of(text)
+    assert time.monotonic() - start < 45
+
+
+def test_added_spans_overlap_none():
+    rng = random.Random(9)
+    for _ in range(300):
+        spans = [(s, s + rng.randrange(1, 12)) for s in (rng.randrange(100) for _ in range(6))]
+        taken, held = personal_data.Taken(spans), list(spans)
+        for _ in range(20):
+            start = rng.randrange(100)
+            end = start + rng.randrange(1, 9)
+            free = not any(s < end and start < e for s, e in held)
+            assert taken.add(start, end) == free
+            held += [(start, end)] * free
+
+
+def test_places_beyond_a_text_are_left_out():
+    assert substring_dedup.candidates(np.array([500]), 100, 35).tolist() == []
+    assert substring_dedup.candidates(np.array([24, 500]), 100, 35).tolist() == substring_dedup.candidates(np.array([24]), 100, 35).tolist()
+
+
+def test_texts_that_share_the_short_key(spark, monkeypatch):
+    """All texts under one short key: each gets the places of all, and the result is that of each by itself."""
+    rng = random.Random(10)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(50)]
+    texts = [" ".join([*[word() for _ in range(n)], *passage, word()]) for n in (0, 7, 400)] + [" ".join(word() for _ in range(60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = sorted(map(tuple, substring_dedup.remove_repeats(docs).collect()))
+    conv = substring_dedup.F.conv
+    monkeypatch.setattr(substring_dedup.F, "conv", lambda *a: substring_dedup.F.lit("7"))
+    forced = sorted(map(tuple, substring_dedup.remove_repeats(docs).collect()))
+    monkeypatch.setattr(substring_dedup.F, "conv", conv)
+    assert forced == plain and [r[2] for r in plain] == [50, 50, 50, 0]
+
+
+def test_hashes_of_runs():
+    hashes = np.random.default_rng(1).integers(0, 1 << 63, 300).astype(np.uint64)
+    both = np.concatenate([hashes, hashes[100:180], hashes[:7]])
+    runs = substring_dedup.Runs(substring_dedup.M1)
+    found = runs.of(both, np.arange(len(both) - 34), 35)
+    assert (found[300:346] == found[100:146]).all() and len(set(found.tolist())) == len(found) - 46
+    assert (runs.of(both[60:], np.arange(200), 35) == found[60:260]).all()
