@@ -26,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm.common import release, text_of
-from scanloom.llm.wordhash import M1, M3, WordHashes, mixed, words_of
+from scanloom.llm.wordhash import M1, M2, M3, mixed, words_of
 from scanloom.sources.checkpoint import checkpointed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -39,6 +40,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LENGTH = 35
 #: A perfect difference set: every difference modulo PERIOD is one of two of its members.
 COVER, PERIOD = (3, 6, 7, 12, 14), 21
+#: Bytes of a text that are hashed at once; a longer word is hashed by itself.
+STRETCH = 1 << 20
+#: Which bytes are not ASCII white space.
+IN_WORD = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 
 
 def anchor_positions(words: int, length: int) -> np.ndarray:
@@ -70,7 +75,7 @@ class Runs:
         self.back = np.uint64(pow(int(base), -1, 1 << 64))
         self.powers = self.inverse = np.ones(1, np.uint64)
 
-    def of(self, hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    def of(self, hashes: np.ndarray, starts: np.ndarray, size: int | np.ndarray) -> np.ndarray:
         if len(self.powers) < len(hashes):
             n = 2 * len(hashes)
             self.powers, self.inverse = (
@@ -80,6 +85,36 @@ class Runs:
         return mixed((sums[starts + size] - sums[starts]) * self.inverse[starts])
 
 
+def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a text, and where its words start and end."""
+    data = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = IN_WORD[data]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return data, edges[::2], edges[1::2]
+
+
+class WordHashes:
+    """A hash for each word of a text, from sums over its bytes, a stretch of the text at a time."""
+
+    def __init__(self):
+        self.runs = Runs(M2)
+        self.codes = mixed(np.arange(1, 257, dtype=np.uint64) * M1)
+
+    def of(self, raw: bytes) -> np.ndarray:
+        data, starts, ends = word_places(raw)
+        found, at = np.empty(len(starts), np.uint64), 0
+        while at < len(starts):
+            to = max(at + 1, int(np.searchsorted(ends, starts[at] + STRETCH, "right")))
+            low, high = int(starts[at]), int(ends[to - 1])
+            if high - low > STRETCH:  # one long word
+                found[at] = xxhash.xxh3_64_intdigest(raw[low:high])
+            else:
+                found[at:to] = self.runs.of(self.codes[data[low:high]], starts[at:to] - low, ends[at:to] - starts[at:to])
+            at = to
+        return found
+
+
 def covered(starts: np.ndarray, words: int, length: int) -> np.ndarray:
     """Which words lie under the windows that begin at ``starts``."""
     marks = np.zeros(words + 1, np.int32)
@@ -98,11 +133,11 @@ def _anchors(length: int):
         for batch in batches:
             keys, found, places = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = words_of(text.as_py())
-                at = anchor_positions(len(words), length)
+                own = hashes.of((text.as_py() or "").encode("utf-8", "replace"))
+                at = anchor_positions(len(own), length)
                 if len(at):
                     keys.append(np.full(len(at), key, np.int64))
-                    found.append(runs.of(hashes.of(words), at, size).view(np.int64))
+                    found.append(runs.of(own, at, size).view(np.int64))
                     places.append(at)
             if keys:
                 yield pa.RecordBatch.from_arrays(
@@ -130,8 +165,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), blobs, pa.array(list(map(len, raw)), pa.int64())], ["key", "blob", "size"])
 
 
-def _words(blob: pa.Scalar, size: pa.Scalar) -> list[bytes]:
-    return pa.decompress(blob.as_py(), size.as_py(), codec="zstd", asbytes=True).split()
+def _unpacked(blob: pa.Scalar, size: pa.Scalar) -> bytes:
+    return pa.decompress(blob.as_py(), size.as_py(), codec="zstd", asbytes=True)
 
 
 def _windows(length: int):
@@ -139,9 +174,8 @@ def _windows(length: int):
         hashes, runs, others = WordHashes(), Runs(M1), Runs(M3)
         for batch in batches:
             for key, blob, size, copies, places in zip(*batch.columns, strict=True):
-                words = _words(blob, size)
-                own = hashes.of(words)
-                starts = candidates(np.asarray(places.as_py(), np.int64), len(words), length)
+                own = hashes.of(_unpacked(blob, size))
+                starts = candidates(np.asarray(places.as_py(), np.int64), len(own), length)
                 if len(starts):
                     # Two hashes of different mixtures of the words by different powers, 128 bits together.
                     one = runs.of(own, starts, length).view(np.int64)
@@ -161,7 +195,7 @@ def _cut(length: int):
         for batch in batches:
             removed, texts = [], []
             for _, blob, size, starts in zip(*batch.columns, strict=True):
-                words = _words(blob, size)
+                words = _unpacked(blob, size).split()
                 gone = covered(np.asarray(starts.as_py(), np.int64), len(words), length)
                 removed.append(int(gone.sum()))
                 texts.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]))

@@ -265,3 +265,18 @@ def test_hashes_of_runs():
     found = runs.of(both, np.arange(len(both) - 34), 35)
     assert (found[300:346] == found[100:146]).all() and len(set(found.tolist())) == len(found) - 46
     assert (runs.of(both[60:], np.arange(200), 35) == found[60:260]).all()
+
+
+def test_words_and_their_hashes_in_stretches(monkeypatch):
+    rng = random.Random(11)
+    hashes = substring_dedup.WordHashes()
+    for stretch in (1 << 20, 12):
+        monkeypatch.setattr(substring_dedup, "STRETCH", stretch)
+        seen = {}
+        for _ in range(300):
+            text = "".join(rng.choice("ab é\t\n\x0b\x1c") for _ in range(rng.randrange(0, 60))).encode()
+            words, found = text.split(), hashes.of(text).tolist()
+            assert len(words) == len(found)
+            for word, x in zip(words, found, strict=True):
+                assert seen.setdefault(word, x) == x
+        assert len(set(seen.values())) == len(seen) > 200
