@@ -1,7 +1,8 @@
 """Main text of web pages by a tree-structured graphical model.
 
 Every element of a page is a node with a hidden label: content, other, or mixed if it holds both. The words of its
-class, id and role, and whether most of its text is links, give node potentials. Edge potentials say how likely an
+class, id and role, whether there are none that the model knows, whether most of its text is links, and length and
+sentence ends of the text of a block give node potentials. Edge potentials say how likely an
 element of that name and label is below a parent of a label; inline elements have a table of their own. Both are learned
 from labelled pages (``labelled_pages``). Sum-product messages go from the leaves to the root and back and give marginals;
 text is dropped if its element is other with a chance of one half or more. Children of one name share one vote (their
@@ -10,7 +11,8 @@ messages are weighted), so that many short comments don't outvote what their con
 Pages are read in Arrow batches; nothing is shuffled. Defined results: a null or empty page gives an empty text; unclosed
 and stray tags are tolerated (an icon, a button or the like without an end tag ends with its parent or where a block
 begins); rows that repeat are read each by itself; other columns are ignored; an empty table gives an empty result. A line
-break is white space inside its block.
+break is white space inside its block. A tag that isn't closed ends where the next one begins. A very long page is read
+whole, in time and memory in proportion to its length. A chance of just one half (a tie) is other.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 import re
 import sys
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from html import unescape
 from math import exp, log
 
@@ -32,10 +34,10 @@ from scanloom.llm.labelled_pages import PAGES
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?][^>]*(?:>|\Z)""",
+    r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/<>]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/<>]*)([^<>]*)(?:>|(?=<)|\Z)|<[!?][^>]*(?:>|\Z)""",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""([A-Za-z_:-][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+ATTRIBUTE = re.compile(r"""(?<![\w:.-])([A-Za-z_:-][\w:.-]*+)\s*+=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 #: Elements whose contents are never text of the page: those that hold no elements, and those that do.
 RAW = {"script", "style", "title", "textarea", "iframe"}
 HIDDEN = {"noscript", "template", "svg", "object", "select", "button"}
@@ -58,6 +60,12 @@ CLOSE_P = {
 #: What ends an open hidden element that has no end tag.
 BLOCKS = (CLOSE_P | ENDS.keys() | {"body"}) - {"option"}
 WORD = re.compile(r"[a-z]+")
+CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
+SENTENCE_END = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"'\u201d\u00bb)]*(?:\s|\Z)")
+#: Containers whose class, id and role would tell what they hold.
+NAMED = {"div", "section", "table", "td", "ul", "ol"}
+#: Texts of blocks are told apart below these lengths.
+SHORT, MIDDLE = 25, 70
 #: Labels. Text directly in a mixed element is kept.
 OTHER, CONTENT, MIXED = range(3)
 LABELS = 3
@@ -116,6 +124,7 @@ def parse(html: str, labelled: bool = False) -> tuple[list[Node], list[tuple[int
     """
     nodes, pieces = [Node("#page", -1, "", None)], []
     open_nodes, at = [0], 0
+    counts: dict[str, int] = defaultdict(int)  # open elements by name
     tags = _tags(html)
     ended = _ended(tags)
 
@@ -123,11 +132,18 @@ def parse(html: str, labelled: bool = False) -> tuple[list[Node], list[tuple[int
         if end > at and not nodes[open_nodes[-1]].hidden and (found := unescape(html[at:end])):
             pieces.append((open_nodes[-1], found))
 
+    def cut(i: int) -> None:
+        for j in open_nodes[i:]:
+            counts[nodes[j].name] -= 1
+        del open_nodes[i:]
+
     def close(names: set[str], stop: set[str]) -> None:
+        if not any(counts[n] for n in names):
+            return
         for i in range(len(open_nodes) - 1, 0, -1):
             node = nodes[open_nodes[i]]
             if node.name in names:
-                del open_nodes[i:]
+                cut(i)
                 return
             # What lies in a hidden element that has its end tag ends nothing outside.
             if node.name in stop or (node.name in HIDDEN and not node.loose and not names & HIDDEN):
@@ -139,7 +155,7 @@ def parse(html: str, labelled: bool = False) -> tuple[list[Node], list[tuple[int
             if not node.hidden or (node.name in HIDDEN and not node.loose):
                 return
             if node.loose:
-                del open_nodes[i:]
+                cut(i)
 
     for start, end, name, ends, attributes in tags:
         text(start)
@@ -165,24 +181,31 @@ def parse(html: str, labelled: bool = False) -> tuple[list[Node], list[tuple[int
         for a in ATTRIBUTE.finditer(attributes):
             key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
             if key in ("class", "id", "role"):
-                given.append(value.lower())
+                given.append(CASE.sub(" ", value).lower())
             elif labelled and key == "data-y" and value in ("0", "1"):
                 known = int(value)
         hidden = name in HIDDEN or nodes[open_nodes[-1]].hidden
         nodes.append(Node(name, open_nodes[-1], " ".join(given), known, hidden, name in HIDDEN and start not in ended))
         open_nodes.append(len(nodes) - 1)
+        counts[name] += 1
     text(len(html))
     return nodes, pieces
 
 
-def features(nodes: list[Node], pieces: list[tuple[int, str | None]]) -> list[list[str]]:
-    linked = [False] * len(nodes)
+def features(nodes: list[Node], pieces: list[tuple[int, str | None]], known: Container[str] | None = None) -> list[list[str]]:
+    """What the model may see of each element; ``known`` are the words of names that it has seen (None: all)."""
+    linked, block = [False] * len(nodes), [0] * len(nodes)
     for i, node in enumerate(nodes):
         linked[i] = node.name == "a" or (node.parent >= 0 and linked[node.parent])
+        block[i] = block[node.parent] if node.name in INLINE and node.parent >= 0 else i
+    own, sentences = [0] * len(nodes), [False] * len(nodes)
     for i, text in pieces:
         if text and (n := len(text.strip())):
             nodes[i].total += n
             nodes[i].links += n * linked[i]
+            if not linked[i]:
+                own[block[i]] += n
+                sentences[block[i]] = sentences[block[i]] or SENTENCE_END.search(text) is not None
     groups: dict[tuple[int, str], int] = defaultdict(int)
     for node in nodes:
         groups[node.parent, node.name] += 1
@@ -192,12 +215,19 @@ def features(nodes: list[Node], pieces: list[tuple[int, str | None]]) -> list[li
             nodes[node.parent].total += node.total
             nodes[node.parent].links += node.links
     found = []
-    for node in nodes:
+    for i, node in enumerate(nodes):
         if node.name in INLINE or node.name in WHOLE or not node.total:
             found.append([])
             continue
-        linked_share = ["links"] if node.links >= 0.7 * node.total else []
-        found.append([*sorted({f"word={w}" for w in WORD.findall(node.given)}), *linked_share])
+        words = sorted({f"word={w}" for w in WORD.findall(node.given) if known is None or f"word={w}" in known})
+        if not words and node.name in NAMED:
+            words.append("unnamed")
+        if node.links >= 0.7 * node.total:
+            words.append("links")
+        elif own[i]:
+            size = "short" if own[i] < SHORT else "middle" if own[i] < MIDDLE else "long"
+            words.append(f"text={size},{sentences[i]}")
+        found.append(words)
     return found
 
 
@@ -209,9 +239,18 @@ def train(pages: tuple[str, ...] = PAGES) -> dict:
     counts: dict[str, list[float]] = defaultdict(lambda: [0.0] * LABELS)
     labels = [0.0] * LABELS
     pairs: dict[str, list[list[float]]] = defaultdict(lambda: [[0.0] * LABELS for _ in range(LABELS)])
-    for page in pages:
-        nodes, pieces = parse(page, labelled=True)
+    read = [parse(page, labelled=True) for page in pages]
+    # A word that is on this page alone would be unknown, were the page not learned from.
+    on_pages: dict[str, int] = defaultdict(int)
+    for nodes, _ in read:
+        for w in {w for node in nodes for w in WORD.findall(node.given)}:
+            on_pages[f"word={w}"] += 1
+    elsewhere = {w for w, n in on_pages.items() if n > 1}
+    for nodes, pieces in read:
         found = features(nodes, pieces)
+        for node, seen_here in zip(nodes, found, strict=True):
+            if node.name in NAMED and seen_here and "unnamed" not in seen_here and not elsewhere & set(seen_here):
+                seen_here.append("unnamed")
         y = [OTHER] * len(nodes)
         for i, node in enumerate(nodes):
             y[i] = node.known if node.known is not None else y[node.parent] if node.parent >= 0 else OTHER
@@ -289,7 +328,7 @@ def marginals(nodes: list[Node], found: list[list[str]], model: dict) -> list[li
 
 def extract(html: str | None, model: dict) -> str:
     nodes, pieces = parse(html or "")
-    believed = marginals(nodes, features(nodes, pieces), model)
+    believed = marginals(nodes, features(nodes, pieces, model["seen"]), model)
     blocks, block = [], []
     for i, text in [*pieces, (0, None)]:
         if text is None:

@@ -81,4 +81,31 @@ PAGES = (
     """<html data-y="0"><body><div><div class="header">Menu</div><div data-y="1"><p>Here the text begins.</p><p>Here it goes on.</p></div></div></body></html>""",
     """<html data-y="0"><body><div class="top">Welcome</div><div data-y="1"><h1>Heading</h1><p>Text.</p><p>More text.</p></div><div class="footer">End</div></body></html>""",
     """<html data-y="0"><body><div><h2 data-y="1">Heading</h2><p data-y="1">Text.</p></div><div class="promo">Offer</div></body></html>""",
+    # Pages that name nothing: what a block is shows by its text, its links and where it stands.
+    """<html data-y="0"><body><div><a href="/">Start</a> <a href="/b">Books</a> <a href="/m">Maps</a></div><div data-y="1"><h1>The old mill</h1>
+    <p>The mill by the river was built four hundred years ago, and for most of that time it ground the corn of the whole valley.</p>
+    <p>Its wheel was taken out when the railway came. The building itself still stands, and is now a school for carpenters.</p></div>
+    <div>Open daily</div></body></html>""",
+    """<html data-y="0"><body><div><div><ul><li><a href="/1">First</a></li><li><a href="/2">Second</a></li></ul></div><div data-y="1"><div><h2>On bread</h2>
+    <p>Good bread needs flour, water, salt and above all time, which is the one thing that bakers in a hurry do not have.</p></div><div>
+    <p>Let the dough rest overnight in a cool place. In the morning it will have doubled, and you can shape it on a board.</p></div></div></div></body></html>""",
+    """<html data-y="0"><body><main><div data-y="1"><h1>Night trains</h1><p>Night trains are running again between the large cities, after years in which one
+    after another was cut from the timetable.</p><p>Most of them are sold out weeks ahead.</p></div></main></body></html>""",
+    """<html data-y="0"><body><section data-y="1"><h1>Snow in April</h1><p>It snowed for three days, and the roads over the pass were closed to all traffic.</p>
+    <p>Farmers fear for the blossom of their trees, which had begun to open a week before.</p></section><section><h3>More</h3><ul><li><a href="/x">Rain
+    in May</a></li><li><a href="/y">Wind in June</a></li></ul></section></body></html>""",
+    """<html data-y="0"><body><table><tr><td><a href="/a">Home</a><br><a href="/b">News</a><br><a href="/c">Links</a></td><td data-y="1"><h1>Keeping bees</h1>
+    <p>A hive should face the morning sun, and stand where no wind from the north can reach it.</p><p>Look at the bees once a week, and write down what you
+    see. After a year you will know what is usual.</p></td></tr></table></body></html>""",
+    """<html data-y="0"><body><div id="q7"><div id="q8"><a href="/">Index</a> <a href="/z">Search</a></div><div id="q9" data-y="1">
+    <h1>Tides</h1>The sea rises and falls twice a day, because the moon pulls at the water on the near side more than at the earth itself.
+    <p>The sun does the same, but less. When both pull in one line the tides are highest, and we call them spring tides.</p></div></div></body></html>""",
+    """<html data-y="0"><body><div data-y="1">The letter came on a Friday. Nobody had expected it, and for a whole day it lay unopened on the table in the hall.<br>On
+    Saturday the youngest of the children read it out, and then there was a long silence.</div></body></html>""",
+    """<html data-y="0"><body><header><h2>The Courier</h2><nav><a href="/1">City</a><a href="/2">Land</a></nav></header><div data-y="1"><h1>Bridge to be rebuilt</h1>
+    <p>The council decided on Tuesday to rebuild the old bridge, which has been closed to lorries since the flood of last autumn.</p>
+    <p>Work is to begin in spring.</p><ul><li>Two lanes for cars</li><li>One path for cyclists</li></ul></div><div><a href="/p">Older</a> <a href="/n">Newer</a>
+    </div><footer>All rights reserved.</footer></body></html>""",
+    """<html data-y="0"><body><div><div><div><a href="/in">Sign in</a></div></div><div><div data-y="1"><h1>A short history of glass</h1></div><div data-y="1"><p>Glass was
+    first made by chance, they say, by sailors who cooked on a beach and used blocks of soda to hold their pots over the fire.</p></div></div></div></body></html>""",
 )
