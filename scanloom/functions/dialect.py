@@ -206,8 +206,16 @@ def choose_gates(needs: list[list[tuple[str, ...]]]) -> list[tuple[str, ...]]:
     A text is stood for by the shortest text it contains ("execute" by "exec"), and patterns prefer texts that
     are looked for anyway. A pattern that requires nothing has an empty gate.
     """
-    known = sorted({t for need in needs for texts in need for t in texts if len(t) >= GATE_LENGTH}, key=lambda t: (len(t), t))
-    root = {t: next((k for k in known if k in t), t) for need in needs for texts in need for t in texts}
+    texts_needed = {t for need in needs for texts in need for t in texts}
+    known = {t for t in texts_needed if len(t) >= GATE_LENGTH}
+
+    def shortest_within(text: str) -> str:
+        for n in range(GATE_LENGTH, len(text)):
+            if found := known.intersection(text[i:i + n] for i in range(len(text) - n + 1)):
+                return min(found)
+        return text
+
+    root = {t: shortest_within(t) for t in texts_needed}
     options = [[tuple(dict.fromkeys(root[t] for t in texts)) for texts in need] for need in needs]
     uses: dict[str, int] = {}
     for choices in options:

@@ -3,6 +3,10 @@
 Each file is joined (broadcast) to the rules of its language, all its matches are computed as one array inside its
 row, and that array is exploded once: neither the text nor its lines are copied per line or per rule. A regex only
 runs on a file, and then on a line, that holds the plain text every match of it must contain.
+
+Rules reach the files in chunks of a measured size (``CHUNK_BYTES``), each a broadcast of its own. A pack that needs one
+chunk is a single pass. A larger one goes over the files chunk by chunk, a checkpoint in between, so that no stage holds
+more than one chunk; the hits of a file add up in its row.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from scanloom.functions.language import UNKNOWN
 from scanloom.functions.reuse import built_once
 from scanloom.functions.text import fold_case, lines_of
 from scanloom.rules import Pattern, Rule, language_rules, patterns_df
+from scanloom.sources.checkpoint import checkpointed
 from scanloom.sources.local import local_table
 
 SAST_SINGLE, SAST_MULTI, SECRET, DEPENDENCY = range(4)  # order of the passes in a report
@@ -36,6 +41,12 @@ OPEN, CLOSE, STAND_IN = "\ufdd0", "\ufdd1", "\ufdd2"
 
 DEDUPE_GAP = 3
 
+#: Most bytes of the rules that are broadcast at once, over all languages; a lone rule, or the rules of one id if some have
+#: multi-line patterns, are not parted. What findings repeat from their rules is broadcast up to the same size.
+CHUNK_BYTES = 16 << 20
+#: What a pattern takes beside its texts, for headers and offsets of the arrays it is kept in.
+PATTERN_OVERHEAD = 256
+
 
 # ---- rules as data --------------------------------------------------------------------------------------
 
@@ -46,11 +57,46 @@ def _row(pass_ord: int, rule: Rule, p: Pattern) -> dict:
 
 def _multi_group(rules: list[Rule]) -> list[dict]:
     """Multi-line patterns of the rules that share one id, each with the single-line patterns of the same text."""
-    return [
-        _row(SAST_MULTI, r, p)
-        | {"twins": [{"rule_ord": s.ord, "idx": q.idx} for s in rules for q in s.single if q.text == p.text]}
-        for r in rules for p in r.multi
-    ]
+    same_text: dict[str, list[dict]] = {}
+    for s in rules:
+        for q in s.single:
+            same_text.setdefault(q.text, []).append({"rule_ord": s.ord, "idx": q.idx})
+    return [_row(SAST_MULTI, r, p) | {"twins": same_text.get(p.text, [])} for r in rules for p in r.multi]
+
+
+def _bytes_of(rule: Rule, everywhere: bool = False) -> int:
+    """What a rule takes in the bundles of its languages; a text it requires may be listed as a gate, too."""
+    keys = set(rule.languages)
+    languages = len(LANGUAGE_KEYS) + 1 if everywhere else sum(1 for names in LANGUAGE_KEYS.values() if keys.intersection(names))
+    size = sum(
+        PATTERN_OVERHEAD + len(p.java.encode()) + 3 * sum(len(t.encode()) + 8 for texts in p.required for t in texts)
+        for p in (*rule.single, *rule.multi))
+    return size * languages
+
+
+def rule_chunks(rules: Sequence[Rule], secrets: Sequence[Rule], chunk_bytes: int = CHUNK_BYTES) -> list[tuple[list[Rule], list[Rule]]]:
+    """Rules and secret rules dealt into chunks of at most so many bytes, each rule into one; at least one chunk.
+
+    Rules of one id stay together if any of them has multi-line patterns, as their matches are thinned out together.
+    """
+    by_id: dict[str, list[Rule]] = {}
+    for rule in rules:
+        by_id.setdefault(rule.id, []).append(rule)
+    units: list[tuple[list[Rule], list[Rule]]] = []
+    for group in by_id.values():
+        units += [(group, [])] if any(r.multi for r in group) else [([r], []) for r in group]
+    units += [([], [r]) for r in secrets]
+    chunks: list[tuple[list[Rule], list[Rule]]] = [([], [])]
+    filled = 0
+    for some_rules, some_secrets in units:
+        size = sum(map(_bytes_of, some_rules)) + sum(_bytes_of(r, everywhere=True) for r in some_secrets)
+        if filled and filled + size > chunk_bytes:
+            chunks.append(([], []))
+            filled = 0
+        chunks[-1][0].extend(some_rules)
+        chunks[-1][1].extend(some_secrets)
+        filled += size
+    return chunks
 
 
 def rule_bundles(spark: SparkSession, rules: Sequence[Rule], secrets: Sequence[Rule], multi_line: bool = True) -> DataFrame:
@@ -206,26 +252,32 @@ def _all_hits_column(snippets: bool) -> Column:
     return F.concat(single, multi).alias("_hits")
 
 
-def explode_hits(files: DataFrame, bundles: DataFrame, keep: list[str], multi_line: bool = True,
+def explode_hits(files: DataFrame, bundles: Sequence[DataFrame], keep: list[str], multi_line: bool = True,
                  snippets: bool = True, keep_clean: bool = False, once: list[str] = ()) -> DataFrame:
     """One row per hit, the text left behind; ``keep_clean`` adds one row without a rule for each clean file.
 
-    ``once`` names columns that stay with the first row of their file only and are null in the others.
+    ``bundles`` are those of each chunk of the rules. ``once`` names columns that stay with the first row of their file only and are null in the others.
     ``files`` has content and language. Where it has a boolean ``in_scan``, files without it get secret rules only.
     """
     known = F.col("language").isin([*LANGUAGE_KEYS])
     if "in_scan" in files.columns:
         known = known & F.col("in_scan")
     kinds = ("single_rules", "multi_rules") if multi_line else ("single_rules",)
-    prepared = (
-        files.select(*keep, *once, "content", F.when(known, F.col("language")).otherwise(UNKNOWN).alias("_key"))
-        .withColumn("_folded", fold_case(F.col("content")))
-        .withColumns({"_lines": lines_of(F.col("content")), "_folded_lines": lines_of(F.col("_folded"))})
-        .join(F.broadcast(bundles.withColumnRenamed("language", "_key")), "_key")
-        .withColumn("_possible", _possible(kinds))
-    )
-    hits = prepared.withColumn("_single", _single_column(snippets))
-    hits = hits.select(*keep, *once, _all_hits_column(snippets) if multi_line else F.col("_single").alias("_hits"))
+    rows = files.select(*keep, *once, "content", F.when(known, F.col("language")).otherwise(UNKNOWN).alias("_key"))
+    for i, chunk in enumerate(bundles):
+        if i and not rows.isStreaming:
+            rows = checkpointed(rows)
+        prepared = (
+            rows.withColumn("_folded", fold_case(F.col("content")))
+            .withColumns({"_lines": lines_of(F.col("content")), "_folded_lines": lines_of(F.col("_folded"))})
+            .join(F.broadcast(chunk.withColumnRenamed("language", "_key")), "_key")
+            .withColumn("_possible", _possible(kinds))
+        )
+        found = prepared.withColumn("_single", _single_column(snippets))
+        column = _all_hits_column(snippets) if multi_line else F.col("_single")
+        more = ["content", "_key"] if i + 1 < len(bundles) else []
+        rows = found.select(*keep, *once, *more, (F.concat("_hits", column) if i else column).alias("_hits"))
+    hits = rows
     # An inner explode makes Spark filter on "array not empty" first, which would compute the array twice.
     if once:
         exploded = hits.select(*keep, *once, F.posexplode_outer("_hits").alias("_at", "h"))
@@ -237,6 +289,9 @@ def explode_hits(files: DataFrame, bundles: DataFrame, keep: list[str], multi_li
 
 
 def with_rule(hits: DataFrame, passes: list[tuple[int, str, Sequence[Rule]]], keep_clean: bool = False) -> DataFrame:
-    """Attach what findings repeat from their rule."""
+    """Attach what findings repeat from their rule; broadcast if the rules are found small."""
     dim = patterns_df(hits.sparkSession, passes)
-    return hits.join(F.broadcast(dim), ["pass_ord", "rule_ord", "pattern_idx"], "left" if keep_clean else "inner")
+    size = sum(
+        sum(len(t.encode()) for t in (r.id, r.name, r.category, r.severity, r.description, r.remediation, p.text)) + PATTERN_OVERHEAD
+        for _, kind, rules in passes for r in rules for p in getattr(r, kind))
+    return hits.join(F.broadcast(dim) if size <= CHUNK_BYTES else dim, ["pass_ord", "rule_ord", "pattern_idx"], "left" if keep_clean else "inner")

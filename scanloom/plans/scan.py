@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.functions.language import detect_language
-from scanloom.operators.match import SAST_MULTI, SAST_SINGLE, SECRET, explode_hits, rule_bundles, with_rule
+from scanloom.operators.match import (
+    CHUNK_BYTES, SAST_MULTI, SAST_SINGLE, SECRET, explode_hits, rule_bundles, rule_chunks, with_rule,
+)
 from scanloom.rules import Rule, builtin_rules, secret_rules
 
 FINDING_COLUMNS = [
@@ -24,18 +26,18 @@ def with_language(files: DataFrame) -> DataFrame:
 
 def scan_code(files: DataFrame, rules: Sequence[Rule] | None = None, secrets: Sequence[Rule] | None = None,
               keep: Sequence[str] = (), multi_line: bool = True, snippets: bool = True,
-              keep_clean: bool = False, once: Sequence[str] = ()) -> DataFrame:
+              keep_clean: bool = False, once: Sequence[str] = (), chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Language rules and secret rules over the same files, the text being read once.
 
     ``files`` has path, content, language and the ``keep`` columns. Where it also has a boolean ``in_scan``,
     language rules only run on files that have it set. ``keep_clean`` adds one row with a null rule_id for every
     file without findings, so that totals need no join back to the files. Columns named in ``once`` come with the
-    first row of each file.
+    first row of each file. A pack of more than ``chunk_bytes`` is broadcast in chunks, one after the other.
     """
     rules = builtin_rules() if rules is None else rules
     secrets = secret_rules() if secrets is None else secrets
     keep = [*keep, "path", "language"]
-    bundles = rule_bundles(files.sparkSession, rules, secrets, multi_line)
+    bundles = [rule_bundles(files.sparkSession, *chunk, multi_line) for chunk in rule_chunks(rules, secrets, chunk_bytes)]
     passes = [(SAST_SINGLE, "single", rules), (SECRET, "single", secrets)]
     passes += [(SAST_MULTI, "multi", rules)] if multi_line else []
     hits = explode_hits(files, bundles, keep, multi_line, snippets, keep_clean, list(once))

@@ -181,13 +181,13 @@ def merge_rules(builtin: DataFrame, custom: DataFrame) -> DataFrame:
 
 
 def collect_rules(spark: SparkSession, merged: DataFrame) -> list[Rule]:
-    """Bring a merged pack to the driver to become plan literals."""
+    """Bring a merged pack to the driver, where what its patterns require is worked out. A pack is settings, not data."""
     rows = merged.orderBy("block", "rule_ord", "position").collect()
     rules = [Rule.of(i, row.asDict()) for i, row in enumerate(rows, 1)]
-    # Python accepts these patterns; let Java reject what it cannot run here rather than inside a task.
-    probes = [F.lit("").rlike(p.java) for r in rules for p in (*r.single, *r.multi)]
-    if probes:
-        spark.range(1).select(F.array(*probes)).collect()
+    # Python accepts these patterns; let Java reject what it cannot run here rather than inside a task. They are rows, not
+    # parts of a plan, which would grow with the pack.
+    probes = [{"java": p.java} for r in rules for p in (*r.single, *r.multi)]
+    local_table(spark, probes, "java string").agg(F.count_if(F.rlike(F.lit(""), F.col("java")))).collect()
     return rules
 
 
