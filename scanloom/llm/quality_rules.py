@@ -7,9 +7,10 @@ beyond ``CUTOFF`` is rejected, and so is one that fails the base rules. Distance
 grouping with partial sums: no group is ever sorted or collected, and no text is shuffled.
 
 Only DataFrame functions are used. Defined results: a null or empty text has no words and fails the base rules; null
-languages and sources are values of their own; rows that repeat are judged each by itself, alike; a group with fewer
-than ``MIN_GROUP`` documents that pass the base rules rejects nothing more; extra columns are ignored; an empty table
-gives an empty result.
+languages and sources are values of their own; rows that repeat, and so ties, are judged each by itself, alike; a group with fewer
+than ``MIN_GROUP`` documents that pass the base rules is judged by the estimate of its whole language, and where that has
+fewer, too, by that of all documents, whatever their number (``pools``); a very long text is read whole, by one task;
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 
-#: Documents a group must have for its covariance to be trusted.
+#: Documents that a group, or else its language, must have for a covariance of its own to be trusted.
 MIN_GROUP = 40
 #: Share of a group that the estimate rests on, and the chi-squared quantile of that share for five dimensions.
 CORE_SHARE, CORE_QUANTILE = 0.75, 6.6257
@@ -80,7 +81,7 @@ def statistics(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sourc
     text = text_of("text")
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
-        F.concat_ws("/", group_key(lang_col), group_key(source_col)).alias("group"),
+        group_key(lang_col).alias("lang"), F.concat_ws("/", group_key(lang_col), group_key(source_col)).alias("group"),
     )
 
     def counts(words: Column) -> Column:
@@ -92,12 +93,12 @@ def statistics(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sourc
     words = F.filter(F.split(text, rf"[{SPACE}]+"), lambda w: w != "")
     with_word = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
     rows = rows.select(
-        "doc_id", "group", bound(words, counts).alias("w"), bound(with_word, lines).alias("l"),
+        "doc_id", "lang", "group", bound(words, counts).alias("w"), bound(with_word, lines).alias("l"),
         F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
     rows = rows.select(
-        "doc_id", "group", "w.n_words", "word_chars", "n_symbols", F.col("l.n_dup_lines").cast("long").alias("n_dup_lines"),
+        "doc_id", "lang", "group", "w.n_words", "word_chars", "n_symbols", F.col("l.n_dup_lines").cast("long").alias("n_dup_lines"),
         "w.n_repeat_words", "l.n_lines",
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
@@ -179,21 +180,43 @@ def _concentrated(passed: DataFrame, groups: DataFrame) -> DataFrame:
     return _with_factor(core.select("group", "rows", *means, *_named(covariance)))
 
 
-def estimate(stats: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of each group that is large enough."""
-    passed = stats.filter(~F.col("base_failed"))
-    groups = checkpointed(_start(passed).filter(F.col("rows") >= MIN_GROUP))
+def pools(passed: DataFrame) -> DataFrame:
+    """For each group ``pool``, whose estimate it is judged by, and ``feeds``, the pools that its documents count in.
+
+    A group that is large enough is a pool of its own, and counts in its language's and the common one where a smaller
+    group of that language, or of any, needs it.
+    """
+    groups = passed.groupBy("lang", "group").agg(F.count(F.lit(1)).alias("n"))
+    by_lang = groups.groupBy("lang").agg(F.sum("n").alias("lang_n"), F.bool_or(F.col("n") < MIN_GROUP).alias("lang_needed"))
+    few = F.col("lang_n") < MIN_GROUP
+    own, of_lang, common = F.concat(F.lit("group "), "group"), F.concat(F.lit("lang "), "lang"), F.lit("all")
+    rows = checkpointed(groups.join(by_lang, "lang").select(
+        "group", F.when(F.col("n") >= MIN_GROUP, own).when(few, common).otherwise(of_lang).alias("pool"), own.alias("own"),
+        F.when(F.col("lang_needed") & ~few, of_lang).alias("of_lang"),
+    ))
+    common_needed = bool(rows.filter(F.col("pool") == common).limit(1).count())
+    fed = F.array(F.when(F.col("pool") == F.col("own"), F.col("own")), F.col("of_lang"), F.when(F.lit(common_needed), common))
+    return rows.select("group", "pool", F.array_compact(fed).alias("feeds"))
+
+
+def estimate(stats: DataFrame, pooled: DataFrame) -> DataFrame:
+    """Mean and Cholesky factor of each pool."""
+    passed = stats.filter(~F.col("base_failed")).join(broadcast_if_small(pooled.select("group", "feeds")), "group")
+    passed = passed.select(F.explode("feeds").alias("group"), *NAMES)
+    groups = checkpointed(_start(passed))
     for _ in range(STEPS):
-        groups = checkpointed(_concentrated(passed.join(broadcast_if_small(groups.select("group")), "group", "semi"), groups))
+        groups = checkpointed(_concentrated(passed, groups))
     return groups
 
 
 def judge(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source"
 ) -> DataFrame:
-    """One row per document: its id, six statistics, ``base_failed``, ``kept`` and ``distance`` (null: group too small)."""
+    """One row per document: its id, six statistics, ``base_failed``, ``kept`` and ``distance`` (null: all of its group fail the base rules)."""
     stats = checkpointed(statistics(docs, id_col, text_col, lang_col, source_col))
-    rows = _with_distance(stats, estimate(stats))
+    pooled = pools(stats.filter(~F.col("base_failed")))
+    rows = stats.join(broadcast_if_small(pooled.select("group", "pool")), "group", "left").drop("group").withColumnRenamed("pool", "group")
+    rows = _with_distance(rows, estimate(stats, pooled))
     outlier = F.coalesce(F.col("distance") > CUTOFF, F.lit(False))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
