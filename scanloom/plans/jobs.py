@@ -16,7 +16,7 @@ from scanloom.plans.scan import scan_code, with_language
 from scanloom.rules import Rule
 from scanloom.sources.checkpoint import checkpointed
 from scanloom.sources.files import (
-    MAX_FILE_BYTES, decode_strict, decode_text, expand_archives, list_tree, read_tree, unread_files, with_selection,
+    MAX_FILE_BYTES, dealt, decode_strict, decode_text, expand_archives, list_tree, read_tree, unread_files, with_selection,
 )
 from scanloom.sources.history import append_history, read_history
 from scanloom.streaming.incremental import append_findings
@@ -73,13 +73,13 @@ def read_archives(spark: SparkSession, paths: str) -> DataFrame:
 
 
 def scan_archive_files(spark: SparkSession, paths: str, rules: Sequence[Rule] | None = None, multi_line: bool = True,
-                       extensions: Sequence[str] | None = None, advisories: Sequence[dict] | None = None) -> DataFrame:
-    """Findings in all archives that ``paths`` (a folder or glob) names.
+                       extensions: Sequence[str] | None = None, advisories: Sequence[dict] | None = None, partitions: int = 0) -> DataFrame:
+    """Findings in all archives that ``paths`` (a folder or glob) names, dealt to so many ``partitions`` if not 0.
 
     An archive that cannot be read has one row without a rule, whose ``error`` says why.
     """
     # One pass: each archive is decompressed once, and the bytes of a manifest stay with the first row of its file.
-    members = expand_archives(read_archives(spark, paths))
+    members = expand_archives(dealt(read_archives(spark, paths), partitions))
     manifest = F.when(dep.is_manifest(F.col("inner_path")), F.col("raw"))
     files = _texts(members.withColumn("manifest", manifest), extensions)
     rows = checkpointed(scan_code(files, rules, keep=["archive"], multi_line=multi_line, keep_clean=True, once=["manifest", "error"]).filter(
@@ -91,9 +91,11 @@ def scan_archive_files(spark: SparkSession, paths: str, rules: Sequence[Rule] |
 
 
 def scan_texts(texts: DataFrame, keep: Sequence[str], rules: Sequence[Rule] | None = None,
-               multi_line: bool = True) -> DataFrame:
-    """Findings in texts (content, declared_language) as they were pasted; they are not recorded in a history."""
-    named = texts.withColumns({
+               multi_line: bool = True, partitions: int = 0) -> DataFrame:
+    """Findings in texts (content, declared_language) as they were pasted; they are not recorded in a history.
+
+    ``partitions`` deals texts that come from few row groups to so many tasks."""
+    named = dealt(texts, partitions).withColumns({
         "path": F.lit("input"), "language": resolve_language(F.col("declared_language"), F.col("content"))})
     return scan_code(named, rules, keep=keep, multi_line=multi_line)
 

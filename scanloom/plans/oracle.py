@@ -112,6 +112,13 @@ HEREDOC = f"""src AS MATERIALIZED (
       || {_filler.format(n=7)} || {lit(d.HEREDOC)} AS content
   FROM documents)"""
 
+CATALOGUE = f"""raw_cat AS (
+  SELECT doc_id AS fid, 'cat/d' || doc_id || '/' || {pick([n for n, _ in d.CATALOGUE_FILES], f'doc_id % {len(d.CATALOGUE_FILES)}')} AS path,
+    concat_ws(chr(10), text, {pick([chr(10).join(x) for _, x in d.CATALOGUE_FILES], f'doc_id % {len(d.CATALOGUE_FILES)}')},
+      {pick(d.SECRET_LINES, f'doc_id % {len(d.SECRET_LINES)}')}) AS content
+  FROM documents),
+src AS MATERIALIZED (SELECT *, {language_case('path', 'content')} AS language FROM raw_cat)"""
+
 _names: dict[str, str] = {}
 for _language, _keys in fv.LANGUAGE_KEYS.items():
     for _key in [*_keys, _language]:
@@ -572,6 +579,15 @@ UNION ALL SELECT path, 'ws', '^9' FROM manifest WHERE manifest_id % 4 = 0""",
     "dependency_findings": f"""WITH {ISSUES} SELECT rule_id, rule_name, category, severity, file_path,
   CAST(line_number AS INTEGER) AS line_number, code_snippet, description, remediation, match_type, cwe, owasp FROM dep_findings""",
     "secret_findings": SECRETS + f"SELECT repo, {SHORT}, code_snippet FROM findings",
+    "catalogue_findings": findings(CATALOGUE, multi_line=False) + "SELECT file_path, rule_id, line_number, matched_pattern FROM findings",
+    "catalogue_secrets": findings(CATALOGUE, secrets_from="src", language_rules_too=False) + f"SELECT {SHORT}, code_snippet FROM findings",
+    "custom_pack_findings": f"""WITH brands AS (
+  SELECT *, CAST(substr(p_brand, 7) AS INTEGER) AS n, {pick(d.BRAND_FILES, f'p_partkey % {len(d.BRAND_FILES)}')} AS ext FROM part)
+SELECT CASE n WHEN 1 THEN {lit(d.REPLACED_RULE)} ELSE 'PACK-' || n END AS rule_id,
+  {pick([x.capitalize() for x in d.BRAND_SEVERITIES], f'n % {len(d.BRAND_SEVERITIES)}')} AS severity,
+  'parts/p' || p_partkey || ext AS file_path, CAST(3 AS INTEGER) AS line_number, CAST(NULL AS INTEGER) AS line_end,
+  'single-line' AS match_type, p_brand AS rule_name
+FROM brands WHERE ext = '.py' OR n % 2 = 1""",
     "stream_scan": ON_CORPUS + f"SELECT repo, {SHORT} FROM findings",
     "stream_all_findings": EVERYTHING + f"SELECT repo, language, {SHORT}, rule_name, category, matched_pattern FROM everything",
     "stream_daily_kpis": f"""SELECT strftime(ts, '%Y-%m-%d') AS day,

@@ -19,7 +19,7 @@ from scanloom.operators import findings as fnd
 from scanloom.operators import history as hist
 from scanloom.operators import metrics as met
 from scanloom.plans.scan import scan_code, scan_sast, scan_secrets, with_language
-from scanloom.rules import builtin_rules, catalog_df, merge_rules, parse_rule_packs
+from scanloom.rules import builtin_rules, catalog_df, load_rules, merge_rules, parse_rule_packs
 from scanloom.sources import derived
 from scanloom.sources import history as history_store
 from scanloom.sources import reports
@@ -644,6 +644,28 @@ def secret_findings(spark, sf):
     return scan_secrets(corpus(spark, sf), keep=["repo"]).select("repo", *SHORT, "code_snippet")
 
 
+@query
+def catalogue_findings(spark, sf):
+    """Files of all languages, in which every live rule with single-line patterns has something to find."""
+    files = with_language(derived.catalogue_files(spark, sf))
+    return scan_sast(files, multi_line=False).select("file_path", "rule_id", "line_number", "matched_pattern")
+
+
+@query
+def catalogue_secrets(spark, sf):
+    """Every kind of secret, in files of all languages."""
+    return scan_secrets(with_language(derived.catalogue_files(spark, sf))).select(*SHORT, "code_snippet")
+
+
+@query
+def custom_pack_findings(spark, sf):
+    """A pack that is written, loaded from its folder, merged with the built-in rules and scanned with."""
+    folder = fresh_dir(spark, "pack")
+    derived.brand_pack(spark, sf).coalesce(1).write.text(folder)
+    files = with_language(derived.brand_files(spark, sf))
+    return scan_sast(files, load_rules(spark, folder)).select(*SHORT, "rule_name")
+
+
 # ---- streams --------------------------------------------------------------------------------------------
 
 @query

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions.reuse import built_once
 from scanloom.functions.scoring import grade, score_of_penalty
+from scanloom.sources.files import dealt
 
 CORPUS_DIRS = ["src", "src/api", "node_modules/x", "lib", "vendor", "app/Build", "infra", "docs"]
 
@@ -43,6 +44,49 @@ MULTILINE_BLOCKS = [
     (".py", "subprocess.run(cmd,\n  shell=True)"),
 ]
 
+# File name, lines; every live rule of the language matches one of them.
+CATALOGUE_FILES = [
+    ("main.js", ["user.isAdmin = true;", "const h = sha1(x);", 'const q = "SELECT a" + id + " FROM t";', "db.query(`SELECT ${a} FROM t`);",
+                 "document.write(x);", "child_process.exec(base + arg);", "app.post('/login', handler);", 'const token = "abcd";',
+                 "debug: true,", "const _ = require('lodash');", "sessionStorage.setItem('token', t);", "const f = JSON.parse(s);",
+                 "console.log(password);", "fetch($url);", "function f(a) { return a }", "multer({dest: d});"]),
+    ("index.php", ["if (!isset($_SESSION['user'])) exit;", "$h = md5($p);", "mysql_query($q);", "$a = <<<SQL SELECT $x SQL;",
+                   "echo $_GET['name'];", "shell_exec($c);", "$password = 'abcd';", "session_start();", "error_log($e);",
+                   "readfile($f);", "$f = $_FILES['a'];", "unserialize($s);"]),
+    ("app.py", ["@app.route('/x')", "h = hashlib.sha1(b)", "f = Fernet('abcdefghijkl')", "cursor.execute('select %s')",
+                "render_template_string(t)", "eval(request.data)", "@app.route('/login')", "SECRET_KEY = 'abcd'", "DEBUG = True",
+                "import pickle", "SESSION_COOKIE_SECURE = False", "if len(password) < 8:", "pickle.loads(b)", "print(request)",
+                "requests.get(request.url)", "except:", "request.args.get('a')"]),
+    ("Main.java", ['st.executeQuery("SELECT a FROM t WHERE b = " + b);', "Runtime.getRuntime().exec(cmd);",
+                   'MessageDigest.getInstance("MD5");', 'String password = "abcd1234";', "in.readObject();",
+                   "DocumentBuilderFactory.newInstance();", "new SearchControls();"]),
+    ("lib.c", ["strcpy(a, b);", "printf(msg);", "system(cmd);", "int r = rand();", "free(p); free(p);"]),
+    ("App.cs", ['new SqlCommand("SELECT a" + b);', "new BinaryFormatter();", 'string password = "abcd1234";', "new DirectorySearcher();"]),
+    ("svc.go", ["db.Query(fmt.Sprintf(q, id))", 'exec.Command("sh", "-c", c)', 'token := "abcd1234"', "http.Get(url)"]),
+    ("job.rb", ["eval(s)", 'where("a = #{b}")', "YAML.load(s)"]),
+    ("deploy.sh", ["eval $CMD", 'TOKEN="abcd1234"', "chmod 777 /srv"]),
+    ("setup.ps1", ["Invoke-Expression $c", "$Password = 'abcd1234'", "$w.DownloadString('u')"]),
+    ("q.sql", ["EXEC (@stmt)", "GRANT ALL PRIVILEGES ON db TO app;"]),
+    ("Dockerfile", ["FROM node:latest", "USER root", "ADD https://h/a", "# --privileged"]),
+    ("main.tf", ['cidr_blocks = ["0.0.0.0/0"]', 'secret = "abcd1234"', "encrypted = false"]),
+    ("pod.yaml", ["privileged: true", "image: nginx", "password: abcd1234"]),
+    ("App.kt", ['val password = "abcd1234"', 'db.rawQuery("SELECT $id", null)']),
+    ("App.swift", ['let token = "abcd1234"', "NSAllowsArbitraryLoads true"]),
+    ("App.scala", ['SQL(s"SELECT $x")']),
+]
+
+# One line for each kind of secret; none is a real one.
+SECRET_LINES = [
+    "AKIA" + "A" * 16, "ghp_" + "a" * 36, "xoxb-" + "1" * 12, "AIza" + "b" * 35, "sk_live_" + "c" * 16,
+    "eyJ" + "d" * 8 + ".eyJ" + "e" * 8 + ".f", "-----BEGIN PRIVATE KEY-----", "password = 'abcd1234'", "db://user:word@host",
+]
+
+# Languages of the rules made of brands, and of the files made of parts.
+BRAND_LANGUAGES = [["python"], ["python", "golang"]]
+BRAND_SEVERITIES = ["low", "HIGH", "Critical"]
+BRAND_FILES = [".py", ".go"]
+REPLACED_RULE = "BP-PY-001"
+
 NPM_NAMES = ["lodash", "jquery", "axios", "express", "ws", "ejs", "vm2", "chalk", "react", "vue", "left-pad", "Moment",
              "semver", "tar", "yaml", "debug", "moment", "minimist", "node-fetch", "glob"]
 NPM_VERSIONS = ["^1.2.3", "~2.0", "*", "latest", "1.0.0", ">=3.1", "4.5.6", "x"]
@@ -80,6 +124,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table of texts. A small file is read by one task; the setting ``spark.scanloom.partitions`` deals
+    its rows to so many."""
+    return dealt(table(spark, sf_dir, name).select(*columns), int(spark.conf.get("spark.scanloom.partitions", "0")))
+
+
 def pick(values: list[str], index: Column) -> Column:
     """Entry ``index`` (from 0) of a short list."""
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
@@ -87,7 +137,7 @@ def pick(values: list[str], index: Column) -> Column:
 
 def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as source files of ten repositories: doc_id, repo, path, content."""
-    return corpus_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return corpus_of(texts(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def corpus_of(documents: DataFrame) -> DataFrame:
@@ -118,7 +168,7 @@ def multiline_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
     block = pick([b for _, b in MULTILINE_BLOCKS], doc % 4)
     filler = F.repeat(F.lit("x = 1\n"), (doc % 5).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", "text").select(
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id",
         F.concat(F.lit("ml/d"), doc.cast("string"), pick([s for s, _ in MULTILINE_BLOCKS], doc % 4)).alias("path"),
         F.concat(F.col("text"), F.lit("\n"), block,
@@ -126,10 +176,49 @@ def multiline_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def catalogue_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as one file each, in turn of every language, with the lines of that language and one kind of secret."""
+    doc = F.col("doc_id")
+    kind = doc % len(CATALOGUE_FILES)
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select(
+        "doc_id",
+        F.concat(F.lit("cat/d"), doc.cast("string"), F.lit("/"), pick([n for n, _ in CATALOGUE_FILES], kind)).alias("path"),
+        F.concat_ws("\n", "text", pick(["\n".join(lines) for _, lines in CATALOGUE_FILES], kind),
+                    pick(SECRET_LINES, doc % len(SECRET_LINES))).alias("content"),
+    )
+
+
+def brand_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A custom rule pack as one JSON text, with a rule for each brand of ``part``; Brand#1 takes a built-in rule's id.
+
+    Brands are a fixed list, however many parts there are.
+    """
+    number = F.substr("p_brand", F.lit(7)).cast("int")
+    languages = F.array(*[F.array(*map(F.lit, names)) for names in BRAND_LANGUAGES])
+    rule = F.struct(
+        F.when(number == 1, F.lit(REPLACED_RULE)).otherwise(F.concat(F.lit("PACK-"), number.cast("string"))).alias("id"),
+        F.col("p_brand").alias("name"),
+        pick(BRAND_SEVERITIES, number % len(BRAND_SEVERITIES)).alias("severity"),
+        F.get(languages, number % len(BRAND_LANGUAGES)).alias("languages"),
+        F.array(F.concat("p_brand", F.lit("$"))).alias("patterns"),
+    )
+    brands = table(spark, sf_dir, "part").select("p_brand").distinct()
+    return brands.agg(F.to_json(F.struct(F.array_sort(F.collect_list(rule)).alias("rules"))).alias("json"))
+
+
+def brand_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``part`` as one small file each, whose last line is the brand."""
+    key = F.col("p_partkey")
+    return texts(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand").select(
+        F.concat(F.lit("parts/p"), key.cast("string"), pick(BRAND_FILES, key % len(BRAND_FILES))).alias("path"),
+        F.concat_ws("\n", "p_name", F.lit("except:"), "p_brand").alias("content"),
+    )
+
+
 def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pasted texts with a language named by hand: all turns of ``conversations``."""
     turn = F.col("turn")
-    return table(spark, sf_dir, "conversations").select(
+    return texts(spark, sf_dir, "conversations", "conv_id", "turn", "text").select(
         F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string")).alias("id"),
         pick([d for d, _ in DECLARED], turn % len(DECLARED)).alias("declared_language"),
         F.concat_ws("\n", "text", pick([line for _, line in DECLARED], turn % len(DECLARED))).alias("content"),
@@ -141,7 +230,7 @@ def heredoc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
     filler = F.repeat(F.lit("x = 1\n"), (doc % 7).cast("int"))
     second = F.when(doc % 2 == 1, F.lit(ONE_LINE_HEREDOC + "\n")).otherwise("")
-    return table(spark, sf_dir, "documents").select("doc_id", "text").select(
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id",
         F.concat(F.lit("h/d"), doc.cast("string"), F.lit(".php")).alias("path"),
         F.concat(F.col("text"), F.lit(f"\n{ONE_LINE_HEREDOC}\n"), filler, second, filler, F.lit(HEREDOC)
@@ -172,7 +261,7 @@ def custom_rule_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without a name, whose language only their content tells: all ``pages``, a line added."""
     line = pick(PAGE_LINES, F.col("page_id") % len(PAGE_LINES))
-    return table(spark, sf_dir, "pages").select(
+    return texts(spark, sf_dir, "pages", "page_id", "html").select(
         "page_id", F.lit("input").alias("path"), F.concat_ws("\n", "html", line).alias("content"))
 
 

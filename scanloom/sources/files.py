@@ -23,6 +23,12 @@ ARCHIVE_BATCH_BYTES = 16 * 1024 * 1024
 MAX_FILE_BYTES = (1 << 31) - 1
 
 
+def dealt(rows: DataFrame, partitions: int = 0) -> DataFrame:
+    """``rows`` in so many partitions; 0 leaves them as they were read. A file of one row group, such as a small table,
+    is read by a single task, whatever the number of cores; large inputs split by themselves and need no dealing."""
+    return rows.repartition(partitions) if partitions > 0 else rows
+
+
 def decode_text(raw: Column) -> Column:
     """Bytes as UTF-8 text: bad bytes are dropped, and every line break becomes a newline."""
     text = F.replace(raw.cast("string"), F.lit(REPLACEMENT), F.lit(STAND_IN))
