@@ -16,7 +16,9 @@ tokens (runs of 20 or more characters of encodings) are tested:
 
 Only DataFrame functions are used and texts are not shuffled. Offsets count code points, ends are exclusive. Defined
 results: a null or empty text has no spans; rows that repeat are scanned each by itself and count in the rule each; other
-columns are ignored; an empty table gives an empty result.
+columns are ignored; an empty table gives an empty result. A text of any length is scanned whole, in time that grows with
+its length and matches. Of accepted parts that overlap and are equally unlike language the longer one is reported, then
+the earlier one; spans that start at one place are listed by kind.
 """
 
 from __future__ import annotations
@@ -63,26 +65,85 @@ SAME_TWO, SAME_THREE, CHANGE = 0.066, 0.0055, 0.08
 CELLS, LAST_POWER = 20, 300
 
 SPANS = "array<struct<start:int,kind:int,end:int>>"
+TOKENS = "array<struct<start:int,end:int,token:string>>"
+#: Values of a block of running sums.
+BLOCK = 256
 
 
-def _located(text: Column, pattern: str, kind: int, keep=None) -> Column:
-    """Spans of all matches, from the lengths of what lies between them. ``keep(i)``: whether the i-th match counts."""
+def _running(values: Column, add=lambda x, y: x + y) -> Column:
+    """Running sums of an array, or what else ``add`` makes of its values.
+
+    A fold that appends copies its array at each step, so it goes over blocks, and over what comes out of each: the time
+    grows with the array, and not with its square.
+    """
+
+    def fold(array: Column) -> Column:
+        def step(state: Column, v: Column) -> Column:
+            last = F.when(state.getField("last").isNull(), v).otherwise(add(state.getField("last"), v))
+            return F.struct(last.alias("last"), F.array_append(state.getField("all"), last).alias("all"))
+
+        start = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(array, start, step, lambda state: state.getField("all"))
+
+    def of_values(array: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(array), F.lit(BLOCK))
+        return bound(F.transform(firsts, lambda first: fold(F.slice(array, first, BLOCK))), of_blocks)
+
+    def of_blocks(blocks: Column) -> Column:
+        def shifted(ends: Column) -> Column:
+            return F.flatten(F.transform(blocks, lambda block, i: F.transform(
+                block, lambda v: F.when(i == 0, v).otherwise(add(F.get(ends, i - 1), v)))))
+
+        return bound(fold(F.transform(blocks, lambda block: F.element_at(block, -1))), shifted)
+
+    return F.when(F.size(values) > 0, bound(values, of_values)).otherwise(F.array().cast("array<int>"))
+
+
+def _located(text: Column, pattern: str, kind: int | None, keep=None) -> Column:
+    """Spans of all matches, from the lengths of what lies between them. ``keep(i)``: whether the i-th match counts.
+    Without a kind, the spans have the text of the match (``token``) instead."""
 
     def from_matches(matches: Column) -> Column:
         def from_parts(parts: Column) -> Column:
-            def add(state: Column, i: Column) -> Column:
-                start = state.getField("at") + F.length(F.get(parts, i))
-                end = start + F.length(F.get(matches, i))
-                span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-                spans = F.concat(state.getField("spans"), span)
-                return F.struct(end.alias("at"), (spans if keep is None else F.when(keep(i), spans).otherwise(state.getField("spans"))).alias("spans"))
+            # What lies before a match and the match in turn, each ending where the lengths up to it add up to.
+            lengths = F.flatten(F.transform(matches, lambda m, i: F.array(F.length(F.get(parts, i)), F.length(m))))
+            return bound(_running(lengths), from_ends)
+
+        def from_ends(ends: Column) -> Column:
+            def span(m: Column, i: Column) -> Column:
+                start, end = F.get(ends, i * 2).alias("start"), F.get(ends, i * 2 + 1).alias("end")
+                return F.struct(start, end, m.alias("token")) if kind is None else F.struct(start, F.lit(kind).alias("kind"), end)
 
-            start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
-            return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, add, lambda s: s.getField("spans"))
+            spans = F.transform(matches, span)
+            return spans if keep is None else F.filter(spans, lambda _, i: keep(i))
 
-        return F.when(F.size(matches) > 0, bound(F.split(text, pattern, -1), from_parts)).otherwise(F.array().cast(SPANS))
+        return bound(F.split(text, pattern, -1), from_parts)
 
-    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), from_matches)
+    none = F.array().cast(TOKENS if kind is None else SPANS)
+    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, from_matches(m)).otherwise(none))
+
+
+def _overlapped(base: Column, reach: Column):
+    """Whether any of ``base``, sorted by start, overlaps a span. ``reach``: the largest end up to each. By bisection."""
+
+    def test(t: Column) -> Column:
+        start, end = t.getField("start"), t.getField("end")
+
+        def halve(state: Column, _: Column) -> Column:
+            low, high = state.getField("low"), state.getField("high")
+            middle = F.floor((low + high) / 2).cast("int")
+            before = F.get(base, middle).getField("start") < end
+            done = low >= high
+            return F.struct(
+                F.when(~done & before, middle + 1).otherwise(low).alias("low"),
+                F.when(done | before, high).otherwise(middle).alias("high"),
+            )
+
+        whole = F.struct(F.lit(0).alias("low"), F.size(base).alias("high"))
+        count = F.aggregate(F.sequence(F.lit(1), F.length(F.bin(F.size(base)))), whole, halve, lambda state: state.getField("low"))
+        return bound(count, lambda n: (n > 0) & F.coalesce(F.get(reach, n - 1) > start, F.lit(False)))
+
+    return test
 
 
 def base_spans(text: Column) -> Column:
@@ -206,14 +267,14 @@ def _parts(run: Column) -> Column:
 
     def placed(p: Column) -> Column:
         a, b = p.getField("start"), p.getField("end")
-        return F.struct(
-            (start + a).alias("start"), (start + b).alias("end"), start.alias("run"), F.substring(token, a + 1, b - a).alias("token")
-        )
+        return F.struct((start + a).alias("start"), (start + b).alias("end"), start.alias("run"), p.getField("token").alias("token"))
+
+    def once(parts: Column) -> Column:
+        return F.filter(parts, lambda p, i: (i == 0) | (p != F.get(parts, i - 1)))
 
-    cut = F.array_distinct(F.concat(*[_located(token, pattern, 3) for pattern in PARTS]))
-    cut = F.filter(cut, lambda p: p.getField("end") - p.getField("start") >= LEAST)
+    cut = F.filter(F.concat(*[_located(token, pattern, None) for pattern in PARTS]), lambda p: p.getField("end") - p.getField("start") >= LEAST)
     whole = F.array(F.struct(start.alias("start"), end.alias("end"), start.alias("run"), token.alias("token")))
-    return F.when(token.rlike(WHOLE), whole).otherwise(F.transform(cut, placed))
+    return F.when(token.rlike(WHOLE), whole).otherwise(F.transform(bound(F.sort_array(cut), once), placed))
 
 
 def _apart(parts: Column) -> Column:
@@ -234,16 +295,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     ``found`` is the spans as an array of kind, start and end.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    rows = rows.select("doc_id", "text", base_spans(F.col("text")).alias("base"), _located(F.col("text"), TOKEN, 3).alias("tokens"))
+    rows = rows.select("doc_id", base_spans(F.col("text")).alias("base"), _located(F.col("text"), TOKEN, None).alias("tokens"))
 
-    def free(t: Column) -> Column:
-        return ~F.exists("base", lambda b: (b.getField("start") < t.getField("end")) & (t.getField("start") < b.getField("end")))
-
-    def with_text(t: Column) -> Column:
-        start, end = t.getField("start"), t.getField("end")
-        return F.struct(start.alias("start"), end.alias("end"), F.substring(F.col("text"), start + 1, end - start).alias("token"))
+    def free(base: Column) -> Column:
+        reach = _running(F.transform(base, lambda b: b.getField("end")), F.greatest)
+        return bound(reach, lambda r: F.filter(parts, lambda t: ~_overlapped(base, r)(t)))
 
-    tokens = F.filter(F.flatten(F.transform(F.transform("tokens", with_text), _parts)), free)
+    parts = F.flatten(F.transform("tokens", _parts))
+    tokens = F.when(F.size("base") > 0, free(F.col("base"))).otherwise(parts)
     rows = rows.select("doc_id", "base", tokens.alias("tokens")).withColumn("row", F.monotonically_increasing_id())
     rows = checkpointed(rows)  # which also fixes the row numbers
 
@@ -256,7 +315,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     for (encoding, band), least in limits(likely).items():
         accepted = accepted | ((F.col("encoding") == encoding) & (F.col("band") == band) & (F.col("cell") >= least))
     part = F.struct((-F.col("cell")).alias("first"), (F.col("start") - F.col("end")).alias("then"), "start", "end")
-    added = likely.filter(accepted & (F.col("p_random") >= RANDOM_LEVEL)).groupBy("row", "run").agg(F.collect_list(part).alias("parts"))
+    likely = likely.filter(accepted & (F.col("p_random") >= RANDOM_LEVEL))
+    # Parts of a run that overlap, also by way of others, are chosen from together; the rest of a run is not looked at.
+    earlier = Window.partitionBy("row", "run").orderBy("start", "end")
+    first = F.coalesce(F.col("start") >= F.max("end").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    likely = likely.withColumn("first", first)
+    likely = likely.withColumn("cluster", F.sum(F.col("first").cast("int")).over(earlier.rowsBetween(Window.unboundedPreceding, 0)))
+    added = likely.groupBy("row", "run", "cluster").agg(F.collect_list(part).alias("parts"))
     added = added.groupBy("row").agg(F.flatten(F.collect_list(_apart(F.col("parts")))).alias("added"))
 
     rows = rows.select("row", "doc_id", "base").join(added, "row", "left")
