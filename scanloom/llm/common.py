@@ -6,6 +6,7 @@ import gc
 import os
 import time
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 #: The tokenizer file of the queries, which must lie there on the driver and on every executor.
-TOKENIZER = os.environ.get("SCANLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+TOKENIZER = os.environ.get("SCANLOOM_TOKENIZER") or public_tokenizers.path("byte_bpe_50k.json")
 #: The same vocabulary as ranks.
-RANKS = os.environ.get("SCANLOOM_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+RANKS = os.environ.get("SCANLOOM_RANKS") or public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Parts that an order is cut into so that no key's rows must be sorted by one task.
 ORDER_BUCKETS = 4096
 
@@ -26,8 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def split_pattern() -> str:
     """The pattern that cuts a text before byte-level merges."""
-    import public_tokenizers
-
     return public_tokenizers.PATTERN
 
 

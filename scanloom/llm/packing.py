@@ -2,7 +2,9 @@
 
 Each document becomes token ids and an end id, cut into full sequences, then half a one where more than half a one is
 left, then the rest: without the half, pieces that fit with few others would leave 4 % of the room empty.
-Lengths are counted in classes of ``GRAIN`` tokens; that histogram of at most 256 numbers is all the driver sees. A linear
+Lengths are counted in classes of ``GRAIN`` tokens, which the rounding loses; so lengths below ``SHORT`` are also tried as
+they are, in sequences of their own, and the plan with fewer sequences is taken. The histogram of at most ``SEQUENCE``
+numbers is all the driver sees. A linear
 program over patterns (how many pieces of each class share a sequence) starts from patterns of one class each; its dual
 values price the classes, a knapsack by dynamic programming finds the pattern worth most, and that enters the basis until
 no pattern is worth more than a sequence. Patterns are used as often as their rounded-down values say, and the few pieces
@@ -36,8 +38,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SEQUENCE = 2048
 END_ID = 1
-#: Tokens by which classes of lengths differ.
-GRAIN = 8
+#: Tokens by which classes of lengths differ, and the length below which pieces may keep theirs.
+GRAIN, SHORT = 8, 128
 #: The search ends when no pattern is worth more than a sequence by this share, which bounds the distance from the optimum
 #: by the same share, or after so many patterns; the patterns found until then always hold all pieces.
 GAP, MAX_PATTERNS = 0.002, 1_500
@@ -214,6 +216,23 @@ def patterns_for(histogram: dict[int, int], room: int = SEQUENCE // GRAIN) -> li
     return whole + [({int(sizes[i]): int(c[i]) for i in np.flatnonzero(c)}, int(times)) for c, times in found]
 
 
+def plan(lengths: dict[int, int]) -> tuple[dict[int, int], list[tuple[dict[int, int], int]]]:
+    """The class of each length in tokens, and patterns of classes: of two plans the one with fewer sequences."""
+
+    def planned(short: int) -> tuple[dict[int, int], list[tuple[dict[int, int], int]]]:
+        sizes = {n: n if n < short else -(-n // GRAIN) * GRAIN for n in lengths}
+        exact, rounded = {}, {}
+        for n, pieces in lengths.items():
+            if n < short:
+                exact[n] = pieces
+            else:
+                rounded[sizes[n] // GRAIN] = rounded.get(sizes[n] // GRAIN, 0) + pieces
+        patterns = [({size * GRAIN: k for size, k in pattern.items()}, times) for pattern, times in patterns_for(rounded)]
+        return sizes, patterns + patterns_for(exact, SEQUENCE)
+
+    return min(planned(0), planned(SHORT), key=lambda found: sum(times for _, times in found[1]))
+
+
 def places(patterns: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int]]:
     """(class, pieces of it in the pattern, first rank, rank after the last, first sequence) of each class and pattern."""
     taken: dict[int, int] = {}
@@ -233,11 +252,13 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
     spark = docs.sparkSession
     pieces = pieces_of(docs, tokenizer_path, id_col, text_col)
-    pieces = checkpointed(pieces.withColumn("size", F.ceil(F.col("length") / GRAIN).cast("int")))
-    histogram = {r["size"]: r["n"] for r in pieces.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    pieces = checkpointed(pieces)
+    lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes, patterns = plan(lengths)
+    pieces = pieces.join(F.broadcast(spark.createDataFrame(list(sizes.items()), "length long, size int")), "length")
     # At most a few thousand rows, however many pieces: patterns are as many as classes, and each leaves a few pieces over.
     found = spark.createDataFrame(
-        places(patterns_for(histogram)), "size int, per_sequence long, first_rank long, end_rank long, first_sequence long"
+        places(patterns), "size int, per_sequence long, first_rank long, end_rank long, first_sequence long"
     )
     digest = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "start", "ids_crc32"))
     ranked = running_sum(
